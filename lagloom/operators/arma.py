@@ -1,0 +1,223 @@
+"""Likelihood of regressions with ARIMA errors, for a batch of fits at once.
+
+Small NumPy helper of ``fit_arima``: every function works on arrays whose first
+axis is the fit, so one Arrow batch of (series, model, origin) tasks is filtered
+together.  Missing observations, future values included, are skipped by the
+filter, whose prediction at an unseen time is the forecast.
+"""
+
+from __future__ import annotations
+
+import numpy as np
+
+DIFFUSE = 1e6
+# Prediction variances above this belong to the diffuse start and are not scored.
+UNSCORED = 1e4
+# 5 % critical value of the level-stationarity test (fixed value).
+KPSS_5 = 0.463
+
+
+def stable(u: np.ndarray) -> np.ndarray:
+    """Map (B, p) reals to coefficients of a stationary polynomial 1 - sum c B^i."""
+    partial = np.tanh(u)
+    c = np.zeros((len(u), 0))
+    for i in range(u.shape[1]):
+        r = partial[:, i : i + 1]
+        c = np.hstack([c - r * c[:, ::-1], r])
+    return c
+
+
+def polynomials(u: np.ndarray, orders: tuple[int, int, int, int], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """AR and MA coefficients, seasonal factors multiplied in."""
+    p, q, sp, sq = orders
+    cuts = np.cumsum([p, q, sp])
+    a, b, sa, sb = (stable(part) for part in np.split(u, cuts, axis=1))
+
+    def times(c: np.ndarray, s: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(u), c.shape[1] + m * s.shape[1]))
+        out[:, : c.shape[1]] = c
+        for j in range(s.shape[1]):
+            at = m * (j + 1)
+            out[:, at - 1] += s[:, j]
+            out[:, at : at + c.shape[1]] -= c * s[:, j : j + 1]
+        return out
+
+    return times(a, sa), -times(b, sb)
+
+
+def differencing(d: int, seasonal_d: int, m: int) -> np.ndarray:
+    """delta with y_t = w_t + sum delta_i y_(t-i) for the differenced series w."""
+    poly = np.array([1.0])
+    for lag in [1] * d + [m] * seasonal_d:
+        factor = np.zeros(lag + 1)
+        factor[0], factor[-1] = 1.0, -1.0
+        poly = np.convolve(poly, factor)
+    return -poly[1:]
+
+
+def transition(x: np.ndarray, phi: np.ndarray, delta: np.ndarray) -> np.ndarray:
+    """The transition matrix applied to (B, state, columns)."""
+    r = phi.shape[1]
+    out = np.empty_like(x)
+    out[:, :r] = phi[:, :, None] * x[:, :1]
+    out[:, : r - 1] += x[:, 1:r]
+    if len(delta):
+        out[:, r] = x[:, 0] + np.tensordot(x[:, r:], delta, axes=(1, 0))
+        out[:, r + 1 :] = x[:, r:-1]
+    return out
+
+
+def predict(w: np.ndarray, seen: np.ndarray, phi: np.ndarray, theta: np.ndarray, delta: np.ndarray):
+    """One-step predictions (B, T, C) of each column and their variance (B, T).
+
+    The columns are the response and its regressors; all share the gains, so the
+    regression can be solved afterwards from their prediction errors.
+    """
+    n_fits, n_times, n_cols = w.shape
+    r = max(phi.shape[1], theta.shape[1] + 1)
+    nd = len(delta)
+    phi = np.pad(phi, ((0, 0), (0, r - phi.shape[1])))
+    shock = np.ones((n_fits, r))
+    shock[:, 1:] = np.pad(theta, ((0, 0), (0, r - 1 - theta.shape[1])))
+    noise = np.zeros((n_fits, r + nd, r + nd))
+    noise[:, :r, :r] = shock[:, :, None] * shock[:, None, :]
+    # Stationary start of the ARMA block: P = T P T' + noise, a linear system in P.
+    eye = np.eye(r)
+    t = transition(np.broadcast_to(eye, (n_fits, r, r)), phi, delta[:0])
+    kron = np.einsum("bij,bkl->bikjl", t, t).reshape(n_fits, r * r, r * r)
+    start = np.linalg.solve(np.eye(r * r) - kron, noise[:, :r, :r].reshape(n_fits, r * r, 1))
+    cov = np.zeros_like(noise)
+    cov[:, :r, :r] = start.reshape(n_fits, r, r)
+    cov[:, range(r, r + nd), range(r, r + nd)] = DIFFUSE
+    state = np.zeros((n_fits, r + nd, n_cols))
+    means, variances = np.empty(w.shape), np.empty(seen.shape)
+    for at in range(n_times):
+        mean = state[:, 0] + np.tensordot(state[:, r:], delta, axes=(1, 0))
+        gain = cov[:, :, 0] + cov[:, :, r:] @ delta
+        var = gain[:, 0] + gain[:, r:] @ delta
+        means[:, at], variances[:, at] = mean, var
+        use = np.where(seen[:, at], 1.0 / var, 0.0)[:, None]
+        k = gain * use
+        error = np.where(seen[:, at, None], w[:, at] - mean, 0.0)
+        state = transition(state + k[:, :, None] * error[:, None, :], phi, delta)
+        cov = cov - k[:, :, None] * gain[:, None, :]
+        half = transition(cov, phi, delta)
+        cov = transition(half.transpose(0, 2, 1), phi, delta) + noise
+    return means, variances
+
+
+def regress(w, seen, phi, theta, delta):
+    """Generalised least squares of column 0 on the others.
+
+    Returns coefficients, scaled residuals (0 where not scored), the number of
+    scored times, the sum of log variances, and the raw predictions.
+    """
+    means, variances = predict(w, seen, phi, theta, delta)
+    scored = seen & (variances < UNSCORED)
+    scale = np.where(scored, 1.0 / np.sqrt(variances), 0.0)
+    errors = (np.where(seen[:, :, None], w - means, 0.0)) * scale[:, :, None]
+    x, y = errors[:, :, 1:], errors[:, :, 0]
+    gram = np.einsum("bti,btj->bij", x, x)
+    ridge = 1e-12 * np.einsum("bii->b", gram)[:, None, None] * np.eye(x.shape[2])
+    rhs = np.einsum("bti,bt->bi", x, y)[:, :, None]
+    beta = np.linalg.solve(gram + ridge + 1e-300 * np.eye(x.shape[2]), rhs)[:, :, 0]
+    residual = y - np.einsum("bti,bi->bt", x, beta)
+    logs = np.where(scored, np.log(variances), 0.0).sum(axis=1)
+    return beta, residual, scored.sum(axis=1), logs, means, variances
+
+
+def fit(w, seen, orders, m, delta, iterations=25):
+    """Maximum likelihood over the ARMA coefficients by damped Gauss-Newton steps.
+
+    The concentrated likelihood is a sum of squares of scaled residuals, so the
+    steps need only their numerical derivatives; all fits step together.
+    """
+    size = sum(orders)
+    n_fits = len(w)
+
+    def residuals(u, rows):
+        phi, theta = polynomials(u, orders, m)
+        _, e, n, logs, _, _ = regress(w[rows], seen[rows], phi, theta, delta)
+        return e * np.exp(logs / (2 * np.maximum(n, 1)))[:, None]
+
+    u = np.full((n_fits, size), 0.05)
+    if size:
+        damping = np.full(n_fits, 1e-2)
+        active = np.arange(n_fits)
+        r = residuals(u, active)
+        cost = (r * r).sum(axis=1)
+        for _ in range(iterations):
+            step = 1e-5
+            moved = np.repeat(u[active], size, axis=0)
+            moved[np.arange(len(moved)), np.tile(np.arange(size), len(active))] += step
+            jac = residuals(moved, np.repeat(active, size)).reshape(len(active), size, -1)
+            jac = (jac - r[active, None, :]) / step
+            normal = np.einsum("bit,bjt->bij", jac, jac)
+            slope = np.einsum("bit,bt->bi", jac, r[active])
+            diag = np.einsum("bii->bi", normal) + 1e-8
+            damped = normal + damping[active, None, None] * (diag[:, :, None] * np.eye(size))
+            trial = np.clip(u[active] - np.linalg.solve(damped, slope[:, :, None])[:, :, 0], -6, 6)
+            r_trial = residuals(trial, active)
+            cost_trial = (r_trial * r_trial).sum(axis=1)
+            better = cost_trial < cost[active]
+            rows = active[better]
+            gain = 1 - cost_trial[better] / np.maximum(cost[rows], 1e-300)
+            u[rows], r[rows], cost[rows] = trial[better], r_trial[better], cost_trial[better]
+            damping[active] = np.where(better, damping[active] * 0.2, damping[active] * 8)
+            finished = damping[active] > 1e8
+            finished[np.flatnonzero(better)[gain < 1e-9]] = True
+            active = active[~finished]
+            if not len(active):
+                break
+    phi, theta = polynomials(u, orders, m)
+    return phi, theta, regress(w, seen, phi, theta, delta)
+
+
+def near_unit_root(c: np.ndarray) -> np.ndarray:
+    """Whether 1 - sum c B^i has a root within 1 % of the unit circle."""
+    n_fits, p = c.shape
+    if not p:
+        return np.zeros(n_fits, bool)
+    companion = np.zeros((n_fits, p, p))
+    companion[:, 0] = c
+    companion[:, range(1, p), range(p - 1)] = 1.0
+    return np.abs(np.linalg.eigvals(companion)).max(axis=1) > 1 / 1.01
+
+
+def level_statistic(e: np.ndarray) -> float:
+    """Level-stationarity statistic of one series without gaps."""
+    n = len(e)
+    if n < 4:
+        return 0.0
+    e = e - e.mean()
+    lags = int(3 * np.sqrt(n) / 13)
+    variance = (e * e).sum() / n
+    for j in range(1, lags + 1):
+        variance += 2 * (1 - j / (lags + 1)) * (e[j:] * e[:-j]).sum() / n
+    return float((np.cumsum(e) ** 2).sum() / (n * n * variance)) if variance > 0 else 0.0
+
+
+def choose_differences(y: np.ndarray, x: np.ndarray, m: int, seasonal: bool) -> tuple[int, int]:
+    """(d, D) of one series after removing its regressors.
+
+    D is 1 when the seasonal means carry most of the detrended variance; d counts
+    the differences until the level test no longer rejects, at most two.
+    """
+    design = np.column_stack([np.ones(len(y)), x])
+    e = y - design @ np.linalg.lstsq(design, y, rcond=None)[0]
+    seasonal_d = 0
+    if seasonal and len(e) > 3 * m:
+        kernel = np.ones(m + 1 - m % 2)
+        if m % 2 == 0:
+            kernel[0] = kernel[-1] = 0.5
+        half = len(kernel) // 2
+        detrended = e[half : len(e) - half] - np.convolve(e, kernel / kernel.sum(), "valid")
+        season = np.arange(len(detrended)) % m
+        pattern = np.array([detrended[season == s].mean() for s in range(m)])[season]
+        total = detrended.var()
+        if total > 0 and 1 - (detrended - pattern).var() / total > 0.64:
+            seasonal_d, e = 1, e[m:] - e[:-m]
+    d = 0
+    while d < 2 - seasonal_d and level_statistic(e) > KPSS_5:
+        d, e = d + 1, np.diff(e)
+    return d, seasonal_d

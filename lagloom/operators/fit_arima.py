@@ -1,0 +1,264 @@
+"""Log-scale regressions with ARIMA errors, the order chosen by AICc.
+
+A task is one (series, model): its history arrives as arrays of one row, sized
+by the calendar, and all its origins and orders are fitted together in the
+Arrow batch, so training rows are shuffled once per model rather than once per
+origin.  The likelihood lives in ``arma``.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterable, Iterator, Sequence
+from itertools import product
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from lagloom.functions.safe import as_list, present
+from lagloom.operators import arma
+from lagloom.operators.candidates import Candidates
+from lagloom.operators.features import KEYS, drop_incomplete
+from lagloom.operators.fit_linear import intervals
+
+# Upper bound on (fits x times x columns) held at once by one Python worker.
+CELLS = 2_000_000
+
+
+def fit_arima(
+    df: DataFrame,
+    candidates: Candidates,
+    last: int,
+    keys: str | Iterable[str] = KEYS,
+    time: str = "t",
+    value: str = "abundance",
+    freq: int = 1,
+    seasonal: bool = False,
+    first_period: int = 1,
+    max_p: int = 2,
+    max_q: int = 2,
+    orders: Sequence[tuple[int, int]] | None = None,
+    fixed_d: int | None = None,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Forecasts of the last ``last`` times of each series by every model.
+
+    The output columns are those of ``fit_linear``.  ``order`` is p, q, P, Q, m,
+    d, D.  Interior gaps are skipped by the filter.  With ``freq=2`` and
+    ``first_period=1`` both periods of the target time are forecast from earlier
+    times (two steps); with ``first_period=2`` one step from all earlier rows.
+    """
+    keys, covariates = as_list(keys), list(candidates.covariates)
+    rows = drop_incomplete(df, covariates)
+    period = F.col("period") - 1 if freq > 1 else F.lit(0)
+    step = (F.col(time) * freq + period).cast("int")
+    y = F.ln(present(F.col(value).cast("double")))
+    x = F.array(*[F.col(c).cast("double") for c in covariates]).cast("array<double>")
+    history = rows.groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct(step.alias("at"), y.alias("y"), x.alias("x")))).alias("h")
+    )
+    tasks = candidates.pair(history).select(
+        *keys,
+        "model",
+        F.col("covariates").alias("names"),
+        F.col("h.at").alias("at"),
+        F.col("h.y").alias("y"),
+        F.flatten(
+            F.transform("h", lambda r: F.transform("positions", lambda p: F.get(r["x"], p)))
+        ).alias("x"),
+    )
+    # Few long series with many candidates must still fill every executor.
+    width = partitions or max(df.sparkSession.sparkContext.defaultParallelism * 2, 1)
+    tasks = tasks.repartition(width, *keys, "model")
+    grid = list(orders) if orders is not None else list(product(range(max_p + 1), range(max_q + 1)))
+    season = list(product((0, 1), (0, 1))) if seasonal and freq > 1 else [(0, 0)]
+    search = [(p, q, sp, sq) for (p, q), (sp, sq) in product(grid, season)]
+    schema = T.StructType(
+        [tasks.schema[k] for k in keys]
+        + [
+            T.StructField("step", T.IntegerType()),
+            T.StructField("model", T.IntegerType()),
+            T.StructField("mu", T.DoubleType()),
+            T.StructField("sigma2", T.DoubleType()),
+            T.StructField("variance", T.DoubleType()),
+            T.StructField("aicc", T.DoubleType()),
+            T.StructField("order", T.ArrayType(T.IntegerType())),
+            T.StructField("coef", T.MapType(T.StringType(), T.DoubleType())),
+            T.StructField("n_obs", T.LongType()),
+            T.StructField("error", T.StringType()),
+        ]
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [f.name for f in schema.fields]
+        for batch in batches:
+            fits = _unroll(batch, last, freq, first_period, seasonal, fixed_d)
+            for (k, d, sd), same in _grouped(fits):
+                width = max(f["y"].shape[0] for f in same) * (k + 2) * 5
+                size = max(1, CELLS // width)
+                for i in range(0, len(same), size):
+                    yield pd.DataFrame(
+                        _best_orders(same[i : i + size], search, k, d, sd, freq, keys, batch),
+                        columns=names,
+                    )
+
+    fits = tasks.mapInPandas(run, schema)
+    labels = [F.col("step").alias(time)]
+    if freq > 1:
+        labels = [
+            F.floor(F.col("step") / freq).cast("int").alias(time),
+            (F.pmod("step", F.lit(freq)) + 1).cast("int").alias("period"),
+        ]
+    elif "period" in df.columns:
+        labels.append(F.lit(1).alias("period"))
+    return intervals(fits, "variance").select(
+        *keys,
+        *labels,
+        "model",
+        "predicted_abundance",
+        "lo_50",
+        "hi_50",
+        "lo_95",
+        "hi_95",
+        "aicc",
+        "sigma2",
+        "order",
+        "coef",
+        "n_obs",
+        "error",
+    )
+
+
+def _unroll(batch, last, freq, first_period, seasonal, fixed_d) -> list[dict]:
+    """One dict per (task, origin): the padded history up to the steps to forecast."""
+    fits = []
+    for row, (at, y, x) in enumerate(zip(batch["at"], batch["y"], batch["x"])):
+        at = np.asarray(at)
+        first, final = at[0], at[-1]
+        k = len(batch["names"].iat[row])
+        full_y = np.full(final - first + 1, np.nan)
+        full_x = np.zeros((len(full_y), k))
+        full_y[at - first] = np.asarray(y, dtype=float)
+        full_x[at - first] = np.asarray(x, dtype=float).reshape(-1, k)
+        present_rows = set(at.tolist())
+        top = final // freq
+        for when in range(top - last + 1, top + 1):
+            start = when * freq + first_period - 1
+            steps = [s for s in range(start, when * freq + freq) if s in present_rows]
+            if not steps or start <= first:
+                continue
+            known = full_y.copy()
+            known[start - first :] = np.nan
+            seen = ~np.isnan(known)
+            fit = {"row": row, "y": known, "x": full_x, "steps": steps, "first": first, "k": k}
+            fit["n"] = int(seen.sum())
+            fit["d"] = (0, 0)
+            if fit["n"] > k + 3:
+                fit["d"] = arma.choose_differences(known[seen], full_x[seen], freq, seasonal)
+            if fixed_d is not None:
+                fit["d"] = (fixed_d, 0)
+            fits.append(fit)
+    return fits
+
+
+def _grouped(fits: list[dict]):
+    shapes: dict[tuple[int, int, int], list[dict]] = {}
+    for f in fits:
+        shapes.setdefault((f["k"], *f["d"]), []).append(f)
+    return shapes.items()
+
+
+def _best_orders(fits, search, k, d, sd, m, keys, batch) -> list[tuple]:
+    """Fit every order to every task of one shape and keep each task's best."""
+    length = max(len(f["y"]) for f in fits)
+    n_fits = len(fits)
+    trend = np.ones(length) if d + sd == 0 else np.arange(length, dtype=float)
+    w = np.zeros((n_fits, length, k + 2))
+    seen = np.zeros((n_fits, length), bool)
+    for i, f in enumerate(fits):
+        size = len(f["y"])
+        seen[i, :size] = ~np.isnan(f["y"])
+        w[i, :size, 0] = np.where(seen[i, :size], f["y"], 0.0)
+        w[i, :size, 1 : k + 1] = f["x"]
+    w[:, :, k + 1] = trend
+    delta = arma.differencing(d, sd, m)
+    with_trend = {0: (True,), 1: (True, False)}.get(d + sd, (False,))
+    best: list[dict | None] = [None] * n_fits
+    message = ["too few observations"] * n_fits
+    count = seen.sum(axis=1) - len(delta)
+    varies = _independent(w[:, :, 1 : k + 1], seen)
+    for orders, trended in product(search, with_trend):
+        params = sum(orders) + k + trended + 1
+        able = np.flatnonzero(varies & (count > params + 1))
+        if not len(able):
+            continue
+        data = w[able] if trended else w[able][:, :, : k + 1]
+        try:
+            phi, theta, (beta, e, n, logs, means, variances) = arma.fit(
+                data, seen[able], orders, m, delta
+            )
+        except np.linalg.LinAlgError as problem:
+            for i in able:
+                message[i] = str(problem)
+            continue
+        rss = (e * e).sum(axis=1)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            loglik = -0.5 * (n * np.log(2 * np.pi * rss / n) + logs + n)
+            aicc = -2 * loglik + 2 * params + 2 * params * (params + 1) / (n - params - 1)
+            sigma2 = rss / (n - params + 1)
+        aicc[arma.near_unit_root(phi) | arma.near_unit_root(-theta) | (rss <= 1e-12)] = np.nan
+        for j, i in enumerate(able):
+            if np.isfinite(aicc[j]) and (best[i] is None or aicc[j] < best[i]["aicc"]):
+                best[i] = {
+                    "aicc": aicc[j],
+                    "sigma2": sigma2[j],
+                    "beta": beta[j],
+                    "means": means[j],
+                    "variances": variances[j],
+                    "data": data[j],
+                    "orders": orders,
+                    "phi": phi[j],
+                    "theta": theta[j],
+                    "trended": trended,
+                    "n": n[j],
+                }
+    out = []
+    for i, f in enumerate(fits):
+        row = batch.iloc[f["row"]]
+        key = tuple(row[c] for c in keys)
+        for step in f["steps"]:
+            b = best[i]
+            if b is None:
+                text = message[i] if varies[i] else "singular design"
+                out.append((*key, step, row["model"], None, None, None, None, None, None, f["n"], text))
+                continue
+            at = step - f["first"]
+            mu = b["means"][at, 0] + (b["data"][at, 1:] - b["means"][at, 1:]) @ b["beta"]
+            coef = {f"ar{j + 1}": float(v) for j, v in enumerate(b["phi"])}
+            coef |= {f"ma{j + 1}": float(v) for j, v in enumerate(b["theta"])}
+            coef |= dict(zip(row["names"], map(float, b["beta"])))
+            if b["trended"]:
+                coef["intercept" if d + sd == 0 else "drift"] = float(b["beta"][-1])
+            p, q, sp, sq = b["orders"]
+            variance = float(b["sigma2"] * b["variances"][at])
+            out.append(
+                (*key, step, row["model"], float(mu), float(b["sigma2"]), variance, float(b["aicc"]),
+                 [p, q, sp, sq, m, d, sd], coef, int(b["n"]), None)
+            )
+    return out
+
+
+def _independent(x: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """Fits whose regressors vary independently over the observed times."""
+    if not x.shape[2]:
+        return np.ones(len(x), bool)
+    centred = np.where(seen[:, :, None], x, 0.0)
+    centred = centred - (centred.sum(axis=1) / np.maximum(seen.sum(axis=1), 1)[:, None])[:, None, :]
+    centred = np.where(seen[:, :, None], centred, 0.0)
+    scale = np.sqrt((centred**2).sum(axis=1))
+    level = np.sqrt((np.where(seen[:, :, None], x, 0.0) ** 2).sum(axis=1))
+    flat = (scale <= 1e-5 * level).any(axis=1) | (scale == 0).any(axis=1)
+    unit = centred / np.where(scale > 0, scale, 1.0)[:, None, :]
+    return ~flat & (np.linalg.eigvalsh(np.einsum("bti,btj->bij", unit, unit))[:, 0] > 1e-10)
