@@ -33,7 +33,8 @@ def complete_spine(
     keys = as_list(keys)
     step = F.col(time)
     successor = F.coalesce(F.lead(time).over(along(keys, time)), step + 1 + ahead)
-    filled = df.withColumn("_slot", F.explode(F.sequence(step, F.greatest(successor - 1, step))))
+    bounded = df.withColumn("_end", F.greatest(successor - 1, step))
+    filled = bounded.withColumn("_slot", F.explode(F.sequence(step, F.col("_end"))))
     observed = F.col("_slot") == step
     rest = [c for c in df.columns if c not in (*keys, time)]
     return filled.select(

@@ -141,7 +141,7 @@ def _unroll(batch, last, freq, first_period, seasonal, fixed_d) -> list[dict]:
         full_y = np.full(final - first + 1, np.nan)
         full_x = np.zeros((len(full_y), k))
         full_y[at - first] = np.asarray(y, dtype=float)
-        full_x[at - first] = np.asarray(x, dtype=float).reshape(-1, k)
+        full_x[at - first] = np.asarray(x, dtype=float).reshape(len(at), k)
         present_rows = set(at.tolist())
         top = final // freq
         for when in range(top - last + 1, top + 1):

@@ -85,7 +85,8 @@ def period_totals(
     covariates: Sequence[str] = (),
     value: str = "abundance",
 ) -> DataFrame:
-    return labelled.groupBy(*as_list(keys), "year", "species", "period", *covariates).agg(
+    by = list(dict.fromkeys([*as_list(keys), "year", "species", "period", *covariates]))
+    return labelled.groupBy(*by).agg(
         F.sum(value).alias(value)
     )
 

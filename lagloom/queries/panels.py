@@ -165,7 +165,7 @@ feat AS (
         f"coalesce(({c} - avg({c}) OVER s) / nullif(stddev_samp({c}) OVER s, 0), 0) AS {c}" for c in COVARIATES
     )
     + """
-  FROM lagged QUALIFY abundance IS NOT NULL OR t = last_t WINDOW s AS (PARTITION BY series_id))"""
+  FROM lagged WINDOW s AS (PARTITION BY series_id) QUALIFY abundance IS NOT NULL OR t = last_t)"""
 )
 
 COHORT = (
