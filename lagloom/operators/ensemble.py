@@ -15,8 +15,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.functions.metrics import abs_log_ratio, abs_pct_error, accuracy, skill, sq_error
-from lagloom.functions.safe import as_list, per_key, ratio
+from lagloom.functions.safe import as_list, ratio
 from lagloom.operators.features import KEYS
+from lagloom.operators.rolling import with_bounds
 
 VALUES = ("predicted_abundance", "lo_50", "hi_50", "lo_95", "hi_95")
 # Scheme name -> weight column.
@@ -48,11 +49,10 @@ def targets(bounds: DataFrame, years: int, keys: str | Iterable[str] = KEYS) ->
 
 
 def in_targets(fc: DataFrame, years: int, keys: str | Iterable[str] = KEYS, time: str = "t") -> DataFrame:
-    """Forecast rows whose own time is a target, with ``_target_last`` attached."""
-    end = F.max(F.when(F.col("abundance").isNotNull(), F.col(time)))
-    bounded = per_key(fc, keys, F.max(time).alias("_last"), (end + 1).alias("_target_last"))
-    inside = (F.col(time) > F.col("_last") - years) & (F.col(time) <= F.col("_target_last"))
-    return bounded.filter(inside).drop("_last")
+    """Forecast rows whose own time is a target."""
+    step = F.col(time)
+    inside = (step > F.col("series_end") - years) & (step <= F.col("series_observed") + 1)
+    return with_bounds(fc, keys, time).filter(inside)
 
 
 def eligible(
@@ -179,9 +179,10 @@ def combine(
     """Weighted sums of forecast and bounds, one row per (target, scheme).
 
     A NULL weight or value makes the sum NULL.  All schemes and values are
-    aggregated in one pass and turned into rows afterwards.
+    aggregated in one pass and turned into rows afterwards; the observation of
+    the target comes along.
     """
-    keys = as_list(keys)
+    by = [*as_list(keys), time]
 
     def total(value: str, scheme: str) -> Column:
         term = F.col(value) * F.col(SCHEMES[scheme])
@@ -191,10 +192,10 @@ def combine(
         F.struct(F.lit(s).alias("model"), *[total(v, s) for v in VALUES]).alias(s) for s in schemes
     ]
     return (
-        weighted.groupBy(*keys, time)
-        .agg(*sums)
-        .select(*keys, time, F.explode(F.array(*schemes)).alias("_row"))
-        .select(*keys, time, "_row.*")
+        weighted.groupBy(*by)
+        .agg(F.max("abundance").alias("abundance"), *sums)
+        .select(*by, "abundance", F.explode(F.array(*schemes)).alias("_row"))
+        .select(*by, "_row.*", "abundance")
     )
 
 
@@ -227,17 +228,10 @@ def models_and_ensembles(
     fc: DataFrame, ensembles: DataFrame, years: int, keys: str | Iterable[str] = KEYS, time: str = "t"
 ) -> DataFrame:
     """Rows of models and ensembles over the last ``years`` times, with observations."""
-    keys = as_list(keys)
-    observed = fc.groupBy(*keys, time).agg(F.max("abundance").alias("abundance"))
-    combined = ensembles.join(observed, [*keys, time], "left")
-    columns = [*keys, time, "model", "abundance", *VALUES]
-    rows = fc.withColumn("model", F.col("model").cast("string")).select(*columns)
-    everything = rows.unionByName(combined.select(*columns))
-    return (
-        everything.join(fc.groupBy(*keys).agg(F.max(time).alias("_last")), keys, "left")
-        .filter(F.col(time) > F.col("_last") - years)
-        .drop("_last")
-    )
+    columns = [*as_list(keys), time, "model", "abundance", *VALUES]
+    rows = with_bounds(fc, keys, time).filter(F.col(time) > F.col("series_end") - years)
+    labelled = rows.withColumn("model", F.col("model").cast("string")).select(*columns)
+    return labelled.unionByName(ensembles.select(*columns))
 
 
 def ensemble_skill(
@@ -249,7 +243,7 @@ def ensemble_skill(
 
 def final_weights(weights: DataFrame, keys: str | Iterable[str] = KEYS, time: str = "t") -> DataFrame:
     """Weights of the last target of each series."""
-    return weights.filter(F.col(time) == F.col("_target_last")).drop("_target_last")
+    return weights.filter(F.col(time) == F.col("series_observed") + 1)
 
 
 def model_summary(

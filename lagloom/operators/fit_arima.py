@@ -42,6 +42,7 @@ def fit_arima(
     orders: Sequence[tuple[int, int]] | None = None,
     fixed_d: int | None = None,
     partitions: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """Forecasts of the last ``last`` times of each series by every model.
 
@@ -113,7 +114,7 @@ def fit_arima(
         ]
     elif "period" in df.columns:
         labels.append(F.lit(1).alias("period"))
-    return intervals(fits, "variance").select(
+    out = intervals(fits, "variance").select(
         *keys,
         *labels,
         "model",
@@ -129,6 +130,10 @@ def fit_arima(
         "n_obs",
         "error",
     )
+    if not carry:
+        return out
+    on = [*keys, time, *[c for c in ("period",) if c in df.columns]]
+    return out.join(rows.select(*on, *carry), on, "left")
 
 
 def _unroll(batch, last, freq, first_period, seasonal, fixed_d) -> list[dict]:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,10 +72,9 @@ def solve(df: DataFrame, n_covariates: int, max_vars: int, targets: bool = True)
     if max_vars <= 1:
         fitted = df.withColumns(_closed_form())
     else:
-        chosen = df.withColumns(_slices(n_covariates))
-        fitted = chosen.withColumn("_fit", _solve_batch("n_obs", "sy", "syy", "_sx", "_sxy", "_sxx"))
-        fitted = fitted.withColumns({"coef": F.col("_fit.coef"), "rss": F.col("_fit.rss")})
-        fitted = fitted.drop("_fit", "_sx", "_sxy", "_sxx")
+        chosen = df.withColumns(_slices(n_covariates)).drop("sx", "sxy", "sxx")
+        solved = T.StructType([*chosen.schema.fields, *SOLUTION.fields])
+        fitted = chosen.mapInArrow(_solve_batches, solved).drop("_sx", "_sxy", "_sxx")
     n, k = F.col("n_obs"), F.size("positions")
     params = k + 2
     spread = F.col("syy") - F.col("sy") * F.col("sy") / F.when(n > 0, n)
@@ -137,45 +136,54 @@ def _slices(p: int) -> dict[str, Column]:
     }
 
 
-@F.pandas_udf(
-    T.StructType(
-        [T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("rss", T.DoubleType())]
-    )
+SOLUTION = T.StructType(
+    [T.StructField("coef", T.ArrayType(T.DoubleType())), T.StructField("rss", T.DoubleType())]
 )
-def _solve_batch(
-    batches: Iterator[tuple[pd.Series, pd.Series, pd.Series, pd.Series, pd.Series, pd.Series]],
-) -> Iterator[pd.DataFrame]:
-    for n, sy, syy, sx, sxy, sxx in batches:
-        coef = np.empty(len(n), dtype=object)
+
+
+def _solve_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Append coefficients and residual sums of squares to each Arrow batch."""
+    for batch in batches:
+        n, sy, syy = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_obs", "sy", "syy"))
+        size = batch.column("_sx").value_lengths().to_numpy(zero_copy_only=False)
+        coef: list = [None] * len(n)
         rss = np.full(len(n), np.nan)
-        size = sx.str.len().to_numpy()
-        usable = n.to_numpy() > size + 1
-        coef[:] = None
-        for k in np.unique(size[usable]):
-            rows = np.flatnonzero(usable & (size == k))
-            count, ys = n.to_numpy()[rows].astype(float), sy.to_numpy()[rows]
-            cyy = syy.to_numpy()[rows] - ys * ys / count
-            if k == 0:
-                coef[rows] = [[v] for v in ys / count]
-                rss[rows] = cyy
-                continue
-            xs = np.stack(sx.to_numpy()[rows])
-            raw = np.stack(sxx.to_numpy()[rows]).reshape(-1, k, k)
-            cxx = raw - xs[:, :, None] * xs[:, None, :] / count[:, None, None]
-            cxy = np.stack(sxy.to_numpy()[rows]) - xs * (ys / count)[:, None]
-            scale = np.sqrt(np.einsum("bii->bi", cxx).clip(min=0))
-            raw_scale = np.sqrt(np.einsum("bii->bi", raw))
-            flat = (scale <= 1e-5 * raw_scale).any(axis=1)
-            scale = np.where(scale > 0, scale, 1.0)
-            corr = cxx / (scale[:, :, None] * scale[:, None, :])
-            fine = ~flat & (np.linalg.eigvalsh(corr)[:, 0] > 1e-10)
-            if not fine.any():
+        for k in np.unique(size):
+            rows = np.flatnonzero((size == k) & (n > k + 1))
+            if not len(rows):
                 continue
-            beta = np.linalg.solve(corr[fine], (cxy / scale)[fine][:, :, None])[:, :, 0] / scale[fine]
-            constant = ys[fine] / count[fine] - (beta * xs[fine]).sum(axis=1) / count[fine]
-            coef[rows[fine]] = list(np.column_stack([constant, beta]))
-            rss[rows[fine]] = cyy[fine] - (beta * cxy[fine]).sum(axis=1)
-        yield pd.DataFrame({"coef": coef, "rss": rss})
+            sx, sxy, sxx = (
+                batch.column(c).take(pa.array(rows)).flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+                for c in ("_sx", "_sxy", "_sxx")
+            )
+            good, beta, fit_rss = _solve_same_size(n[rows].astype(float), sy[rows], syy[rows], sx, sxy, sxx)
+            rss[rows[good]] = fit_rss
+            for row, b in zip(rows[good], beta):
+                coef[row] = b
+        solution = [pa.array(coef, pa.list_(pa.float64())), pa.array(rss, from_pandas=True)]
+        yield pa.RecordBatch.from_arrays(
+            [*batch.columns, *solution], names=[*batch.schema.names, *SOLUTION.names]
+        )
+
+
+def _solve_same_size(n, sy, syy, sx, sxy, sxx):
+    """(solvable, coefficients, rss) of fits with equally many covariates."""
+    k = sx.shape[1]
+    cyy = syy - sy * sy / n
+    if not k:
+        return np.ones(len(n), bool), (sy / n)[:, None], cyy
+    raw = sxx.reshape(-1, k, k)
+    cxx = raw - sx[:, :, None] * sx[:, None, :] / n[:, None, None]
+    cxy = sxy - sx * (sy / n)[:, None]
+    scale = np.sqrt(np.einsum("bii->bi", cxx).clip(min=0))
+    varies = (scale > 1e-5 * np.sqrt(np.einsum("bii->bi", raw))).all(axis=1)
+    scale = np.where(scale > 0, scale, 1.0)
+    corr = cxx / (scale[:, :, None] * scale[:, None, :])
+    good = varies & (np.linalg.eigvalsh(corr)[:, 0] > 1e-10)
+    beta = np.linalg.solve(corr[good], (cxy / scale)[good][:, :, None])[:, :, 0] / scale[good]
+    constant = (sy[good] - (beta * sx[good]).sum(axis=1)) / n[good]
+    rss = cyy[good] - (beta * cxy[good]).sum(axis=1)
+    return good, np.column_stack([constant, beta]), rss
 
 
 def intervals(fits: DataFrame, variance: str = "sigma2") -> DataFrame:
@@ -204,11 +212,13 @@ def fit_linear(
     freq: int = 1,
     first_period: int = 1,
     partitions: int | None = None,
+    carry: Sequence[str] = (),
 ) -> DataFrame:
     """One-step forecasts of every model for the last ``last`` times of each series.
 
     ``always`` are covariates in every model; ``ar=1`` adds the lagged log
-    response to them.  ``partitions`` spreads few series over many cores.  With
+    response to them.  ``partitions`` spreads few series over many cores;
+    ``carry`` names columns of the forecast row to keep.  With
     ``freq=2`` a row is a (time, period): starting from period 1 both periods of
     the target time are forecast from earlier times, starting from period 2 only
     that one, from all earlier rows.
@@ -234,6 +244,7 @@ def fit_linear(
         *keys,
         time,
         *tags,
+        *carry,
         (F.array(*[F.col(c).cast("double") for c in pool]) if pool else F.array().cast("array<double>")).alias("x"),
         *moments(pool, value, cross=size > 1, over=past),
         F.max(time).over(whole).alias("_max"),
@@ -269,6 +280,7 @@ def fit_linear(
         "sigma2",
         order.alias("order"),
         F.when(F.col("coef").isNotNull(), F.map_from_arrays(names, "coef")).alias("coef"),
-        F.col("n_obs").alias("n_obs"),
+        "n_obs",
         "error",
+        *carry,
     )

@@ -51,17 +51,15 @@ def choose_scheme(table: DataFrame, keys: str | Iterable[str] = KEYS) -> DataFra
 def candidate_forecasts(
     top: DataFrame,
     ensembles: DataFrame,
-    series: DataFrame,
     keys: str | Iterable[str] = KEYS,
     time: str = "t",
 ) -> DataFrame:
     """Best-individual and ensemble forecasts under one model column, with observations."""
     keys = as_list(keys)
     best = top.filter(F.col("rank") == 1).withColumn("model", F.lit(BEST))
-    rows = best.select(*keys, time, "model", "model_name", *VALUES).unionByName(
-        ensembles.withColumn("model_name", F.col("model")).select(*keys, time, "model", "model_name", *VALUES)
-    )
-    return rows.join(series.select(*keys, time, "abundance"), [*keys, time], "left")
+    columns = [*keys, time, "model", "model_name", "abundance", *VALUES]
+    named = ensembles.withColumn("model_name", F.col("model"))
+    return best.select(*columns).unionByName(named.select(*columns))
 
 
 def chosen_forecasts(

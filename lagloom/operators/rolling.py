@@ -121,19 +121,20 @@ def rank_models(
     return fc.withColumn(name, F.when(F.col(metric).isNotNull(), rank))
 
 
-def with_last(fc: DataFrame, keys: str | Iterable[str] = KEYS, time: str = "t", name: str = "_last") -> DataFrame:
-    return per_key(fc, keys, F.max(time).alias(name))
+def with_bounds(fc: DataFrame, keys: str | Iterable[str] = KEYS, time: str = "t") -> DataFrame:
+    """Attach each series' last time and last observed time, unless already there."""
+    if "series_end" in fc.columns:
+        return fc
+    observed = F.max(F.when(F.col("abundance").isNotNull(), F.col(time)))
+    return per_key(fc, keys, F.max(time).alias("series_end"), observed.alias("series_observed"))
 
 
 def top_models(
     ranked: DataFrame, n: int, years: int, keys: str | Iterable[str] = KEYS, time: str = "t"
 ) -> DataFrame:
     """Rows ranked ``n`` or better in the last ``years`` times of their series."""
-    return (
-        with_last(ranked, keys, time)
-        .filter((F.col(time) > F.col("_last") - years) & (F.col("rank") <= n))
-        .drop("_last")
-    )
+    recent = F.col(time) > F.col("series_end") - years
+    return with_bounds(ranked, keys, time).filter(recent & (F.col("rank") <= n))
 
 
 def with_names(fc: DataFrame, candidates: Candidates) -> DataFrame:

@@ -137,22 +137,26 @@ def find_stack_weights(
     keys = as_list(keys)
     if metric not in BY_NAME:
         raise ValueError(f"unknown metric {metric}")
+    key_seed = F.xxhash64(*[F.col(k).cast("string") for k in keys], F.col("target"))
+    tasks = stacked.select(*keys, "target", "models", "obs", "preds", key_seed.alias("_seed"))
+    kept = [*keys, "target", "models"]
     result = T.StructType(
-        [
+        [tasks.schema[c] for c in kept]
+        + [
             T.StructField("weights", T.ArrayType(T.DoubleType())),
             T.StructField("score", T.DoubleType()),
             T.StructField("history", T.ArrayType(T.DoubleType())),
         ]
     )
 
-    @F.pandas_udf(result)
-    def search(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for obs, preds, seeds in batches:
+    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
             chains = [
                 _chain(np.asarray(o, float), np.stack([np.asarray(r, float) for r in p]), int(s))
-                for o, p, s in zip(obs, preds, seeds)
+                for o, p, s in zip(batch["obs"], batch["preds"], batch["_seed"])
             ]
-            yield pd.DataFrame(chains, columns=["weights", "score", "history"])
+            found = pd.DataFrame(chains, columns=["weights", "score", "history"])
+            yield pd.concat([batch[kept].reset_index(drop=True), found], axis=1)
 
     def score(obs: np.ndarray, pred: np.ndarray) -> float:
         relative = (pred - obs) / obs
@@ -188,10 +192,7 @@ def find_stack_weights(
             current = proposal if keep else best
         return best, least, history
 
-    key_seed = F.xxhash64(*[F.col(k).cast("string") for k in keys], F.col("target"))
-    return stacked.withColumn("_fit", search("obs", "preds", key_seed)).select(
-        *keys, "target", "models", "_fit.*"
-    )
+    return tasks.mapInPandas(search, result)
 
 
 def weight_rows(found: DataFrame, keys: str | Iterable[str] = KEYS) -> DataFrame:

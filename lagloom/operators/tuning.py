@@ -16,7 +16,8 @@ from lagloom.functions.safe import as_list
 from lagloom.operators.ensemble import SCHEMES, combine, ensemble_skill, in_targets, past_metrics, with_stack_weights, with_weights
 from lagloom.operators.features import KEYS
 from lagloom.operators.report import BEST
-from lagloom.operators.rolling import best_individual, past_rows, rank_models, top_models, trailing_mape
+from lagloom.operators.rolling import best_individual, past_rows, rank_models, top_models, trailing_mape, with_bounds
+from lagloom.sources.writers import cut_lineage
 
 
 def _sweep(
@@ -35,13 +36,14 @@ def _sweep(
     by = ["grid", *keys]
     moment = F.col(time).cast("long")
     scored = (
-        past_rows(fc, longest, keys, time)
+        past_rows(with_bounds(fc, keys, time), longest, keys, time)
         .withColumn("grid", F.explode(grid))
         .withColumn("mape", trailing_mape("past", window, alpha))
         .withColumns(past_metrics("past", moment, window, alpha))
         .drop("past")
     )
-    ranked = rank_models(scored, metric, by, time)
+    # Ranked rows feed four branches; store them once instead of repeating the scoring.
+    ranked = cut_lineage(rank_models(scored, metric, by, time), "sweep")
     rows = in_targets(ranked, years, by, time).filter(F.col("rank") <= n)
     schemes = [s for s in SCHEMES if s != "Stack_weighted"]
     weighted = with_stack_weights(with_weights(rows, k, by, time), None, by, time)

@@ -55,7 +55,8 @@ def score(
     Both trailing operators run on the (keys, model) partitioning before the
     ranking moves the rows to (keys, time), where weighting finds them.
     """
-    rolled = ro.rolling_mape(ro.score_rows(fc), years - 1, alpha, keys, time)
+    rows = ro.with_bounds(ro.score_rows(fc), keys, time)
+    rolled = ro.rolling_mape(rows, years - 1, alpha, keys, time)
     return ro.rank_models(en.window_metrics(rolled, slide, alpha, stretch, keys, time), metric, keys, time)
 
 
@@ -77,7 +78,6 @@ def forecast(
     update_last_year: bool = False,
     fitter: Callable[..., DataFrame] = fit_linear,
     benchmark: DataFrame | None = None,
-    keep_fits: bool = False,
     keys: str | Iterable[str] = KEYS,
     time: str = "t",
     **fit_options,
@@ -86,24 +86,28 @@ def forecast(
 
     The backtest spans ``years + slide`` origins.  ``supplied`` forecasts replace
     the fitting; with ``update_last_year`` the last two origins are refitted and
-    replace theirs.  ``keep_fits`` writes the forecasts to the shared folder once,
-    so that reading several results does not repeat the fits.
+    replace theirs.  Fits and ranked forecasts, which feed every result, are
+    written once to the shared folder; the results themselves are lazy.
     """
     keys = as_list(keys)
     models = candidates.table(df.sparkSession)
     errors = None
     if supplied is None or update_last_year:
         last = 2 if update_last_year else years + slide
-        fits = bt.backtest(df, candidates, last, fitter, keys=keys, time=time, **fit_options)
-        if keep_fits:
-            fits = cut_lineage(fits, "fits")
+        fits = bt.backtest(
+            df, candidates, last, fitter, keys=keys, time=time, carry=["abundance"], **fit_options
+        )
+        fits = cut_lineage(fits, "fits")
         errors, fc = bt.failed(fits), bt.succeeded(fits)
         if supplied is not None:
-            fc = upsert(supplied, fc, keys, time)
+            fc = upsert(supplied.drop("abundance"), fc.drop("abundance"), keys, time)
     else:
         fc = supplied
     series = df.select(*keys, time, *[c for c in ("period",) if c in df.columns], "abundance")
-    ranked = score(ro.with_obs(fc, series, keys, time), years, slide, alpha, metric, stretch, keys, time)
+    observed = fc if supplied is None else ro.with_obs(fc, series, keys, time)
+    ranked = cut_lineage(
+        score(observed, years, slide, alpha, metric, stretch, keys, time), "ranked"
+    )
     top = ro.with_names(ro.top_models(ranked, n, years, keys, time), candidates)
     performance = ro.best_individual(top, keys, time)
     stack_weights = None
@@ -117,7 +121,7 @@ def forecast(
     )
     skill = en.ensemble_skill(ranked, ensembles, years, keys, time)
     table = rp.skill_table(performance, skill, benchmark, keys)
-    candidates = rp.candidate_forecasts(top, ensembles, series, keys, time)
+    shown = rp.candidate_forecasts(top, ensembles, keys, time)
     return ForecastRun(
         models=models,
         forecasts=fc,
@@ -131,7 +135,7 @@ def forecast(
         summary=en.model_summary(ranked, ensembles, weights, years, keys, time),
         skill_table=table,
         best_by_year=rp.best_by_year(top, keys, time),
-        chosen=rp.chosen_forecasts(candidates, rp.choose_scheme(table, keys), keys, time),
+        chosen=rp.chosen_forecasts(shown, rp.choose_scheme(table, keys), keys, time),
     )
 
 

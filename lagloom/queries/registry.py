@@ -29,5 +29,10 @@ def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in columns})
 
 
+def shown(df: DataFrame, keep, digits: dict) -> DataFrame:
+    """``keep`` as it is and other columns rounded: ``{digits: columns}``."""
+    return df.select(*keep, *[F.round(c, d).alias(c) for d, names in digits.items() for c in names])
+
+
 def month_number(date: str) -> Column:
     return (F.year(date) * 12 + F.month(date)).cast("int")

@@ -11,7 +11,7 @@ from lagloom.plans.forecast import forecast
 from lagloom.plans.refresh import upsert, write_refresh
 from lagloom.queries import panels as pa
 from lagloom.queries import sql
-from lagloom.queries.registry import query, rounded
+from lagloom.queries.registry import query, rounded, shown
 from lagloom.queries.scoring import (
     ENSEMBLE_SQL,
     FIT_COLUMNS,
@@ -72,8 +72,8 @@ def _sweep_window(spark, sf_dir):
     f"{sql.columns(SWEEP_VALUES, 3)} FROM sweep",
 )
 def sweep_window(spark, sf_dir):
-    out = rounded(rounded(_sweep_window(spark, sf_dir), 4, *METRICS), 3, *SWEEP_VALUES)
-    return out.select("series_id", "rolling_window", "alpha", "model", *METRICS, "t", *SWEEP_VALUES)
+    keep = ("series_id", "rolling_window", "alpha", "model", "t")
+    return shown(_sweep_window(spark, sf_dir), keep, {4: METRICS, 3: SWEEP_VALUES})
 
 
 @query(
@@ -83,8 +83,7 @@ def sweep_window(spark, sf_dir):
 )
 def sweep_alpha(spark, sf_dir):
     out = tu.sweep_alpha(observed_fits(spark, sf_dir), YEARS, TOP, SLIDE)
-    out = rounded(rounded(rounded(out, 4, *METRICS), 3, *SWEEP_VALUES), 2, "alpha")
-    return out.select("series_id", "alpha", "model", *METRICS, "t", *SWEEP_VALUES)
+    return shown(out, ("series_id", "model", "t"), {2: ("alpha",), 4: METRICS, 3: SWEEP_VALUES})
 
 
 @query(
@@ -94,7 +93,7 @@ def sweep_alpha(spark, sf_dir):
 )
 def sweep_view(spark, sf_dir):
     out = tu.sweep_view(_sweep_window(spark, sf_dir), "rolling_window")
-    return rounded(rounded(out, 4, "mape"), 3, "predicted_abundance")
+    return shown(out, ("series_id", "rolling_window"), {4: ("mape",), 3: ("predicted_abundance",)})
 
 
 # --- tables and whole runs ---------------------------------------------------
@@ -151,7 +150,8 @@ CHOSEN_SQL = (
 
 
 def _chosen_view(df):
-    return rounded(rounded(df, 4, *VALUES, "error"), 6, "pct_error", "log10_ratio")
+    keep = ("series_id", "t", "model_name", "abundance")
+    return shown(df, keep, {4: (*VALUES, "error"), 6: ("pct_error", "log10_ratio")})
 
 
 @query("q_chosen", CHOSEN_SQL)
@@ -189,8 +189,9 @@ def _series():
 @query(
     "q_chart_data",
     f"""WITH {TABLES} SELECT series_id, t, 'forecast' AS chart, line, round(value, 4) AS value FROM (
-    UNPIVOT INCLUDE NULLS (SELECT series_id, t, abundance, predicted_abundance, lo_50, hi_50, lo_95, hi_95 FROM chosen)
-    ON abundance, predicted_abundance, lo_50, hi_50, lo_95, hi_95 INTO NAME line VALUE value)
+    SELECT series_id, t, v.line, v.value FROM chosen, LATERAL (VALUES ('abundance', abundance),
+      ('predicted_abundance', predicted_abundance), ('lo_50', lo_50), ('hi_50', hi_50), ('lo_95', lo_95),
+      ('hi_95', hi_95)) v(line, value))
     UNION ALL SELECT series_id, t, 'relative_error', regexp_replace(model_name, '_', ' '), round(log10_ratio, 4) FROM chosen
     UNION ALL SELECT series_id, t, 'benchmark', 'benchmark', round(predicted_abundance, 4) FROM firsts""",
 )

@@ -19,8 +19,9 @@ from lagloom.operators.screen import screen_subsets
 from lagloom.plans.forecast import score
 from lagloom.queries import panels as pa
 from lagloom.queries import sql
-from lagloom.queries.registry import query, rounded
+from lagloom.queries.registry import query, rounded, shown
 from lagloom.queries.sql import LAST, METRICS, SLIDE, TOP, VALUES, YEARS
+from lagloom.sources.writers import cut_lineage
 
 SINGLES = Candidates(pa.COVARIATES, 0, 1)
 PAIRS = Candidates(pa.COVARIATES, 2, 2)
@@ -31,12 +32,12 @@ def fits(spark, sf_dir, candidates=SINGLES, fitter=fit_linear, last=LAST, **opti
 
 
 def observed_fits(spark, sf_dir, **options):
-    series = pa.supplier_features(spark, sf_dir)
-    return ro.with_obs(fits(spark, sf_dir, **options), series)
+    return fits(spark, sf_dir, carry=["abundance"], **options)
 
 
 def ranked(spark, sf_dir, metric="aicc", alpha=0.0, stretch=False):
-    return score(observed_fits(spark, sf_dir), YEARS, SLIDE, alpha, metric, stretch)
+    stored = cut_lineage(observed_fits(spark, sf_dir), "fits")
+    return score(stored, YEARS, SLIDE, alpha, metric, stretch)
 
 
 # --- candidates --------------------------------------------------------------
@@ -113,8 +114,8 @@ pairfits AS (SELECT series_id, t, model, model_name, my + b1 * (x1 - m1) + b2 *
 )
 def backtest_gram(spark, sf_dir):
     """Every pair of covariates solved from the shared sums of products."""
-    out = fits(spark, sf_dir, PAIRS).select("series_id", "t", "model", "predicted_abundance", "aicc", "sigma2")
-    return rounded(rounded(rounded(out, 4, "predicted_abundance"), 6, "aicc"), 8, "sigma2")
+    out = fits(spark, sf_dir, PAIRS)
+    return shown(out, ("series_id", "t", "model"), {4: ("predicted_abundance",), 6: ("aicc",), 8: ("sigma2",)})
 
 
 @query("q_backtest_all_subsets")
@@ -197,7 +198,7 @@ FIT_SQL = f"WITH {sql.FITS} SELECT series_id, t, model, {sql.columns(FIT_COLUMNS
 
 
 def _fit_view(df):
-    return rounded(rounded(df, 4, *FIT_COLUMNS), 6, "aicc").select("series_id", "t", "model", *FIT_COLUMNS, "aicc")
+    return shown(df, ("series_id", "t", "model"), {4: FIT_COLUMNS, 6: ("aicc",)})
 
 
 @query("q_backtest_linear", FIT_SQL)
@@ -351,12 +352,21 @@ ERRORS = ("error", "ape", "pct_error", "log10_ratio")
 )
 def with_errors(spark, sf_dir):
     out = me.with_errors(observed_fits(spark, sf_dir))
-    return rounded(rounded(out, 6, *ERRORS[1:]), 4, "error").select("series_id", "t", "model", *ERRORS)
+    return shown(out, ("series_id", "t", "model"), {4: ("error",), 6: ERRORS[1:]})
 
 
 # --- rolling performance -----------------------------------------------------
 
 
+@query(
+    "q_with_obs",
+    f"WITH {sql.FITS} SELECT series_id, t, model, round(predicted_abundance, 4) AS predicted_abundance, abundance FROM fits",
+)
+def with_obs(spark, sf_dir):
+    out = ro.with_obs(fits(spark, sf_dir), pa.supplier_features(spark, sf_dir))
+    return shown(out, ("series_id", "t", "model", "abundance"), {4: ("predicted_abundance",)})
+
+
 @query(
     "q_rolling_mape",
     f"WITH {sql.scored()} SELECT series_id, t, model, round(mape, 5) AS mape FROM ranked",
@@ -491,11 +501,8 @@ def _combine_query(name, **how):
         f"SELECT series_id, t, model, {sql.columns(VALUES, 4)} FROM ens",
     )
     def combined(spark, sf_dir):
-        rows = score(
-            observed_fits(spark, sf_dir), YEARS, SLIDE, how.get("alpha", 0.0), how.get("metric", "aicc"), how.get("stretch", False)
-        )
-        _, out = en.ensemble(rows, YEARS, TOP, SLIDE)
-        return rounded(out, 4, *VALUES)
+        _, out = en.ensemble(ranked(spark, sf_dir, **how), YEARS, TOP, SLIDE)
+        return rounded(out, 4, *VALUES).drop("abundance")
 
     return combined
 
