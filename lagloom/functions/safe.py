@@ -26,6 +26,13 @@ def present(c: str | Column) -> Column:
     return F.when(~F.isnan(col(c)), col(c))
 
 
+def spread(df: DataFrame, *columns: str, partitions: int | None = None) -> DataFrame:
+    """Hash rows evenly over every core before a step whose cost is not its bytes."""
+    spark = df.sparkSession
+    width = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(partitions or width, *columns)
+
+
 def per_key(df: DataFrame, keys: Iterable[str], *aggs: Column) -> DataFrame:
     """Attach per-key aggregates to every row.
 

@@ -18,7 +18,11 @@ KPSS_5 = 0.463
 
 
 def stable(u: np.ndarray) -> np.ndarray:
-    """Map (B, p) reals to coefficients of a stationary polynomial 1 - sum c B^i."""
+    """Map (B, p) reals to coefficients of a stationary polynomial 1 - sum c B^i.
+
+    Trailing zeros of ``u`` give trailing zero coefficients, so a lower order is
+    the same row with its last entries at zero.
+    """
     partial = np.tanh(u)
     c = np.zeros((len(u), 0))
     for i in range(u.shape[1]):
@@ -27,11 +31,9 @@ def stable(u: np.ndarray) -> np.ndarray:
     return c
 
 
-def polynomials(u: np.ndarray, orders: tuple[int, int, int, int], m: int) -> tuple[np.ndarray, np.ndarray]:
-    """AR and MA coefficients, seasonal factors multiplied in."""
-    p, q, sp, sq = orders
-    cuts = np.cumsum([p, q, sp])
-    a, b, sa, sb = (stable(part) for part in np.split(u, cuts, axis=1))
+def polynomials(u: np.ndarray, largest: tuple[int, int, int, int], m: int) -> tuple[np.ndarray, np.ndarray]:
+    """AR and MA coefficients of (p, q, P, Q) blocks, seasonal factors multiplied in."""
+    a, b, sa, sb = (stable(part) for part in np.split(u, np.cumsum(largest[:3]), axis=1))
 
     def times(c: np.ndarray, s: np.ndarray) -> np.ndarray:
         out = np.zeros((len(u), c.shape[1] + m * s.shape[1]))
@@ -59,7 +61,7 @@ def transition(x: np.ndarray, phi: np.ndarray, delta: np.ndarray) -> np.ndarray:
     """The transition matrix applied to (B, state, columns)."""
     r = phi.shape[1]
     out = np.empty_like(x)
-    out[:, :r] = phi[:, :, None] * x[:, :1]
+    np.multiply(phi[:, :, None], x[:, :1], out=out[:, :r])
     out[:, : r - 1] += x[:, 1:r]
     if len(delta):
         out[:, r] = x[:, 0] + np.tensordot(x[:, r:], delta, axes=(1, 0))
@@ -82,8 +84,7 @@ def predict(w: np.ndarray, seen: np.ndarray, phi: np.ndarray, theta: np.ndarray,
     noise = np.zeros((n_fits, r + nd, r + nd))
     noise[:, :r, :r] = shock[:, :, None] * shock[:, None, :]
     # Stationary start of the ARMA block: P = T P T' + noise, a linear system in P.
-    eye = np.eye(r)
-    t = transition(np.broadcast_to(eye, (n_fits, r, r)), phi, delta[:0])
+    t = transition(np.broadcast_to(np.eye(r), (n_fits, r, r)), phi, delta[:0])
     kron = np.einsum("bij,bkl->bikjl", t, t).reshape(n_fits, r * r, r * r)
     start = np.linalg.solve(np.eye(r * r) - kron, noise[:, :r, :r].reshape(n_fits, r * r, 1))
     cov = np.zeros_like(noise)
@@ -92,22 +93,22 @@ def predict(w: np.ndarray, seen: np.ndarray, phi: np.ndarray, theta: np.ndarray,
     state = np.zeros((n_fits, r + nd, n_cols))
     means, variances = np.empty(w.shape), np.empty(seen.shape)
     for at in range(n_times):
-        mean = state[:, 0] + np.tensordot(state[:, r:], delta, axes=(1, 0))
-        gain = cov[:, :, 0] + cov[:, :, r:] @ delta
-        var = gain[:, 0] + gain[:, r:] @ delta
+        mean, gain = state[:, 0], cov[:, :, 0]
+        if nd:
+            mean = mean + np.tensordot(state[:, r:], delta, axes=(1, 0))
+            gain = gain + cov[:, :, r:] @ delta
+        var = gain[:, 0] + gain[:, r:] @ delta if nd else gain[:, 0]
         means[:, at], variances[:, at] = mean, var
-        use = np.where(seen[:, at], 1.0 / var, 0.0)[:, None]
-        k = gain * use
-        error = np.where(seen[:, at, None], w[:, at] - mean, 0.0)
-        state = transition(state + k[:, :, None] * error[:, None, :], phi, delta)
+        k = gain * (seen[:, at] / var)[:, None]
+        state = transition(state + k[:, :, None] * (w[:, at] - mean)[:, None, :], phi, delta)
         cov = cov - k[:, :, None] * gain[:, None, :]
         half = transition(cov, phi, delta)
         cov = transition(half.transpose(0, 2, 1), phi, delta) + noise
     return means, variances
 
 
-def regress(w, seen, phi, theta, delta):
-    """Generalised least squares of column 0 on the others.
+def regress(w, seen, used, phi, theta, delta):
+    """Generalised least squares of column 0 on the ``used`` other columns.
 
     Returns coefficients, scaled residuals (0 where not scored), the number of
     scored times, the sum of log variances, and the raw predictions.
@@ -115,62 +116,71 @@ def regress(w, seen, phi, theta, delta):
     means, variances = predict(w, seen, phi, theta, delta)
     scored = seen & (variances < UNSCORED)
     scale = np.where(scored, 1.0 / np.sqrt(variances), 0.0)
-    errors = (np.where(seen[:, :, None], w - means, 0.0)) * scale[:, :, None]
-    x, y = errors[:, :, 1:], errors[:, :, 0]
-    gram = np.einsum("bti,btj->bij", x, x)
-    ridge = 1e-12 * np.einsum("bii->b", gram)[:, None, None] * np.eye(x.shape[2])
-    rhs = np.einsum("bti,bt->bi", x, y)[:, :, None]
-    beta = np.linalg.solve(gram + ridge + 1e-300 * np.eye(x.shape[2]), rhs)[:, :, 0]
-    residual = y - np.einsum("bti,bi->bt", x, beta)
-    logs = np.where(scored, np.log(variances), 0.0).sum(axis=1)
-    return beta, residual, scored.sum(axis=1), logs, means, variances
-
-
-def fit(w, seen, orders, m, delta, iterations=25):
-    """Maximum likelihood over the ARMA coefficients by damped Gauss-Newton steps.
-
-    The concentrated likelihood is a sum of squares of scaled residuals, so the
-    steps need only their numerical derivatives; all fits step together.
+    errors = (w - means) * scale[:, :, None]
+    x, y = errors[:, :, 1:] * used[:, None, :], errors[:, :, 0]
+    gram = x.transpose(0, 2, 1) @ x
+    diagonal = np.einsum("bii->bi", gram)
+    gram = gram + (np.where(used, 1e-12 * diagonal.max(axis=1, initial=0.0)[:, None], 1.0) + 1e-300)[
+        :, :, None
+    ] * np.eye(x.shape[2])
+    beta = np.linalg.solve(gram, x.transpose(0, 2, 1) @ y[:, :, None])
+    residual = y - (x @ beta)[:, :, 0]
+    logs = np.log(variances, out=np.zeros_like(variances), where=scored).sum(axis=1)
+    return beta[:, :, 0], residual, scored.sum(axis=1), logs, means, variances
+
+
+def fit(w, seen, task, used, free, largest, m, delta, iterations=25):
+    """Maximum likelihood of many (task, order) fits at once.
+
+    ``w`` and ``seen`` are per task and ``task`` maps each fit to its task;
+    ``used`` (fits, regressors) and ``free`` (fits, ARMA parameters) are masks.
+    The concentrated likelihood is a sum of squares of scaled residuals, so
+    damped Gauss-Newton steps with numerical derivatives suffice; all fits step
+    together and leave when they no longer improve.
     """
-    size = sum(orders)
-    n_fits = len(w)
+    size = free.shape[1]
+    step = 1e-5
+
+    def solved(u, rows):
+        phi, theta = polynomials(u, largest, m)
+        return phi, theta, regress(w[task[rows]], seen[task[rows]], used[rows], phi, theta, delta)
 
     def residuals(u, rows):
-        phi, theta = polynomials(u, orders, m)
-        _, e, n, logs, _, _ = regress(w[rows], seen[rows], phi, theta, delta)
+        _, _, (_, e, n, logs, _, _) = solved(u, rows)
         return e * np.exp(logs / (2 * np.maximum(n, 1)))[:, None]
 
-    u = np.full((n_fits, size), 0.05)
-    if size:
-        damping = np.full(n_fits, 1e-2)
-        active = np.arange(n_fits)
-        r = residuals(u, active)
+    u = np.where(free, 0.05, 0.0)
+    active = np.flatnonzero(free.any(axis=1))
+    if len(active):
+        damping = np.full(len(u), 1e-2)
+        r = np.zeros((len(u), w.shape[1]))
+        r[active] = residuals(u[active], active)
         cost = (r * r).sum(axis=1)
         for _ in range(iterations):
-            step = 1e-5
-            moved = np.repeat(u[active], size, axis=0)
-            moved[np.arange(len(moved)), np.tile(np.arange(size), len(active))] += step
-            jac = residuals(moved, np.repeat(active, size)).reshape(len(active), size, -1)
-            jac = (jac - r[active, None, :]) / step
-            normal = np.einsum("bit,bjt->bij", jac, jac)
-            slope = np.einsum("bit,bt->bi", jac, r[active])
-            diag = np.einsum("bii->bi", normal) + 1e-8
-            damped = normal + damping[active, None, None] * (diag[:, :, None] * np.eye(size))
-            trial = np.clip(u[active] - np.linalg.solve(damped, slope[:, :, None])[:, :, 0], -6, 6)
+            fit_at, param = np.nonzero(free[active])
+            moved = u[active][fit_at]
+            moved[np.arange(len(moved)), param] += step
+            change = (residuals(moved, active[fit_at]) - r[active][fit_at]) / step
+            jac = np.zeros((len(active), size, w.shape[1]))
+            jac[fit_at, param] = change
+            normal = jac @ jac.transpose(0, 2, 1)
+            slope = jac @ r[active][:, :, None]
+            diagonal = np.einsum("bii->bi", normal) + 1e-8
+            damped = normal + (damping[active, None] * diagonal)[:, :, None] * np.eye(size)
+            trial = np.clip(u[active] - np.linalg.solve(damped, slope)[:, :, 0], -6, 6)
             r_trial = residuals(trial, active)
             cost_trial = (r_trial * r_trial).sum(axis=1)
             better = cost_trial < cost[active]
             rows = active[better]
             gain = 1 - cost_trial[better] / np.maximum(cost[rows], 1e-300)
             u[rows], r[rows], cost[rows] = trial[better], r_trial[better], cost_trial[better]
-            damping[active] = np.where(better, damping[active] * 0.2, damping[active] * 8)
-            finished = damping[active] > 1e8
-            finished[np.flatnonzero(better)[gain < 1e-9]] = True
+            damping[active] *= np.where(better, 0.2, 8.0)
+            finished = damping[active] > 1e4
+            finished[np.flatnonzero(better)[gain < 1e-8]] = True
             active = active[~finished]
             if not len(active):
                 break
-    phi, theta = polynomials(u, orders, m)
-    return phi, theta, regress(w, seen, phi, theta, delta)
+    return solved(u, np.arange(len(u)))
 
 
 def near_unit_root(c: np.ndarray) -> np.ndarray:

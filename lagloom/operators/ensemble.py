@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from lagloom.functions.metrics import abs_log_ratio, abs_pct_error, accuracy, skill, sq_error
 from lagloom.functions.safe import as_list, ratio
 from lagloom.operators.features import KEYS
-from lagloom.operators.rolling import with_bounds
+from lagloom.operators.rolling import past_entry, score_past, with_bounds
 
+WINDOW_METRICS = ("w_rmse", "w_mape", "w_msa", "w_aicc")
 VALUES = ("predicted_abundance", "lo_50", "hi_50", "lo_95", "hi_95")
 # Scheme name -> weight column.
 SCHEMES = {
@@ -64,28 +65,6 @@ def eligible(
     return ranked.join(target_rows, [*keys, "target"], "left_semi")
 
 
-def decayed(past: str | Column, time: Column, slide: Column, alpha: Column, field: str) -> Column:
-    """Weighted mean of ``field`` over the known entries of the last ``slide`` times."""
-    used = F.filter(past, lambda e: e["known"] & (e["at"] >= time - slide) & e[field].isNotNull())
-
-    def weight(e: Column) -> Column:
-        return F.pow(1 - alpha, (time - e["at"]).cast("double"))
-
-    total = F.aggregate(used, F.lit(0.0), lambda acc, e: acc + e[field] * weight(e))
-    return ratio(total, F.aggregate(used, F.lit(0.0), lambda acc, e: acc + weight(e)))
-
-
-def past_metrics(past: str | Column, time: Column, slide: Column, alpha: Column) -> dict[str, Column]:
-    """The window metrics from a ``past`` array (see ``rolling.past_rows``)."""
-    known = F.filter(past, lambda e: e["known"] & (e["at"] >= time - slide))
-    return {
-        "w_rmse": F.sqrt(decayed(past, time, slide, alpha, "se")),
-        "w_mape": decayed(past, time, slide, alpha, "ape"),
-        "w_msa": 100 * (F.exp(decayed(past, time, slide, alpha, "alr")) - 1),
-        "w_aicc": F.try_element_at(known, F.lit(-1))["aicc"],
-    }
-
-
 def window_metrics(
     fc: DataFrame,
     slide: int,
@@ -113,19 +92,9 @@ def window_metrics(
                 "w_aicc": last.over(frame)["aicc"],
             }
         )
-    entry = F.struct(
-        F.col(time).alias("at"),
-        abs_pct_error(o, p).alias("ape"),
-        sq_error(o, p).alias("se"),
-        abs_log_ratio(o, p).alias("alr"),
-        F.col("aicc").alias("aicc"),
-        known.alias("known"),
-    )
-    gathered = fc.withColumn("_past", F.collect_list(entry).over(frame))
-    span = F.lit(2**31 - 1).cast("long") if stretch else F.lit(slide)
-    return gathered.withColumns(
-        past_metrics("_past", F.col(time).cast("long"), span, F.lit(float(alpha)))
-    ).drop("_past")
+    gathered = fc.withColumn("_past", F.collect_list(past_entry(fc, time)).over(frame))
+    span = str(2**30) if stretch else str(slide)
+    return score_past(gathered, "_past", time, "0", span, f"{float(alpha)}D", WINDOW_METRICS)
 
 
 def with_weights(

@@ -17,14 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagloom.functions.safe import as_list, present
+from lagloom.functions.safe import as_list, present, spread
 from lagloom.operators import arma
 from lagloom.operators.candidates import Candidates
 from lagloom.operators.features import KEYS, drop_incomplete
 from lagloom.operators.fit_linear import intervals
 
-# Upper bound on (fits x times x columns) held at once by one Python worker.
-CELLS = 2_000_000
+# Upper bound on the numbers of one array of a Python worker's batch of fits.
+CELLS = 4_000_000
 
 
 def fit_arima(
@@ -70,9 +70,7 @@ def fit_arima(
             F.transform("h", lambda r: F.transform("positions", lambda p: F.get(r["x"], p)))
         ).alias("x"),
     )
-    # Few long series with many candidates must still fill every executor.
-    width = partitions or max(df.sparkSession.sparkContext.defaultParallelism * 2, 1)
-    tasks = tasks.repartition(width, *keys, "model")
+    tasks = spread(tasks, *keys, "model", partitions=partitions)
     grid = list(orders) if orders is not None else list(product(range(max_p + 1), range(max_q + 1)))
     season = list(product((0, 1), (0, 1))) if seasonal and freq > 1 else [(0, 0)]
     search = [(p, q, sp, sq) for (p, q), (sp, sq) in product(grid, season)]
@@ -97,8 +95,8 @@ def fit_arima(
         for batch in batches:
             fits = _unroll(batch, last, freq, first_period, seasonal, fixed_d)
             for (k, d, sd), same in _grouped(fits):
-                width = max(f["y"].shape[0] for f in same) * (k + 2) * 5
-                size = max(1, CELLS // width)
+                cells = max(len(f["y"]) for f in same) * (k + 6) * len(search) * 5
+                size = max(1, CELLS // cells)
                 for i in range(0, len(same), size):
                     yield pd.DataFrame(
                         _best_orders(same[i : i + size], search, k, d, sd, freq, keys, batch),
@@ -177,76 +175,49 @@ def _grouped(fits: list[dict]):
 
 def _best_orders(fits, search, k, d, sd, m, keys, batch) -> list[tuple]:
     """Fit every order to every task of one shape and keep each task's best."""
-    length = max(len(f["y"]) for f in fits)
-    n_fits = len(fits)
-    trend = np.ones(length) if d + sd == 0 else np.arange(length, dtype=float)
-    w = np.zeros((n_fits, length, k + 2))
-    seen = np.zeros((n_fits, length), bool)
+    length, n_tasks = max(len(f["y"]) for f in fits), len(fits)
+    w = np.zeros((n_tasks, length, k + 2))
+    seen = np.zeros((n_tasks, length), bool)
     for i, f in enumerate(fits):
         size = len(f["y"])
         seen[i, :size] = ~np.isnan(f["y"])
         w[i, :size, 0] = np.where(seen[i, :size], f["y"], 0.0)
         w[i, :size, 1 : k + 1] = f["x"]
-    w[:, :, k + 1] = trend
+    w[:, :, k + 1] = 1.0 if d + sd == 0 else np.arange(length)
     delta = arma.differencing(d, sd, m)
-    with_trend = {0: (True,), 1: (True, False)}.get(d + sd, (False,))
-    best: list[dict | None] = [None] * n_fits
-    message = ["too few observations"] * n_fits
-    count = seen.sum(axis=1) - len(delta)
     varies = _independent(w[:, :, 1 : k + 1], seen)
-    for orders, trended in product(search, with_trend):
-        params = sum(orders) + k + trended + 1
-        able = np.flatnonzero(varies & (count > params + 1))
-        if not len(able):
-            continue
-        data = w[able] if trended else w[able][:, :, : k + 1]
-        try:
-            phi, theta, (beta, e, n, logs, means, variances) = arma.fit(
-                data, seen[able], orders, m, delta
-            )
-        except np.linalg.LinAlgError as problem:
-            for i in able:
-                message[i] = str(problem)
-            continue
-        rss = (e * e).sum(axis=1)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            loglik = -0.5 * (n * np.log(2 * np.pi * rss / n) + logs + n)
-            aicc = -2 * loglik + 2 * params + 2 * params * (params + 1) / (n - params - 1)
-            sigma2 = rss / (n - params + 1)
-        aicc[arma.near_unit_root(phi) | arma.near_unit_root(-theta) | (rss <= 1e-12)] = np.nan
-        for j, i in enumerate(able):
-            if np.isfinite(aicc[j]) and (best[i] is None or aicc[j] < best[i]["aicc"]):
-                best[i] = {
-                    "aicc": aicc[j],
-                    "sigma2": sigma2[j],
-                    "beta": beta[j],
-                    "means": means[j],
-                    "variances": variances[j],
-                    "data": data[j],
-                    "orders": orders,
-                    "phi": phi[j],
-                    "theta": theta[j],
-                    "trended": trended,
-                    "n": n[j],
-                }
+    trends = {0: (True,), 1: (True, False)}.get(d + sd, (False,))
+    variants = list(product(search, trends))
+    largest = tuple(max(o[i] for o in search) for i in range(4))
+    free = np.array([[j < o[i] for i in range(4) for j in range(largest[i])] for o, _ in variants])
+    free = free.reshape(len(variants), sum(largest))
+    used = np.array([[True] * k + [t] for _, t in variants])
+    params = np.array([sum(o) + k + t + 1 for o, t in variants])
+    count = seen.sum(axis=1) - len(delta)
+    task, variant = np.nonzero(varies[:, None] & (count[:, None] > params[None, :] + 1))
+    best, message = {}, "too few observations"
+    try:
+        if len(task):
+            best = _least_aicc(w, seen, task, variant, used, free, params, largest, m, delta)
+    except np.linalg.LinAlgError as problem:
+        message = str(problem)
     out = []
     for i, f in enumerate(fits):
         row = batch.iloc[f["row"]]
         key = tuple(row[c] for c in keys)
         for step in f["steps"]:
-            b = best[i]
-            if b is None:
-                text = message[i] if varies[i] else "singular design"
+            if i not in best:
+                text = message if varies[i] else "singular design"
                 out.append((*key, step, row["model"], None, None, None, None, None, None, f["n"], text))
                 continue
-            at = step - f["first"]
-            mu = b["means"][at, 0] + (b["data"][at, 1:] - b["means"][at, 1:]) @ b["beta"]
-            coef = {f"ar{j + 1}": float(v) for j, v in enumerate(b["phi"])}
-            coef |= {f"ma{j + 1}": float(v) for j, v in enumerate(b["theta"])}
+            b, at = best[i], step - f["first"]
+            (p, q, sp, sq), trended = variants[b["variant"]]
+            mu = b["means"][at, 0] + (w[i, at, 1:] - b["means"][at, 1:]) @ b["beta"]
+            coef = {f"ar{j + 1}": float(v) for j, v in enumerate(b["phi"][: p + m * sp])}
+            coef |= {f"ma{j + 1}": float(v) for j, v in enumerate(b["theta"][: q + m * sq])}
             coef |= dict(zip(row["names"], map(float, b["beta"])))
-            if b["trended"]:
+            if trended:
                 coef["intercept" if d + sd == 0 else "drift"] = float(b["beta"][-1])
-            p, q, sp, sq = b["orders"]
             variance = float(b["sigma2"] * b["variances"][at])
             out.append(
                 (*key, step, row["model"], float(mu), float(b["sigma2"]), variance, float(b["aicc"]),
@@ -255,6 +226,35 @@ def _best_orders(fits, search, k, d, sd, m, keys, batch) -> list[tuple]:
     return out
 
 
+def _least_aicc(w, seen, task, variant, used, free, params, largest, m, delta) -> dict[int, dict]:
+    """Per task the fit of least AICc, without those at the edge of stability."""
+    phi, theta, (beta, e, n, logs, means, variances) = arma.fit(
+        w, seen, task, used[variant], free[variant], largest, m, delta
+    )
+    k, rss = params[variant], (e * e).sum(axis=1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        loglik = -0.5 * (n * np.log(2 * np.pi * rss / n) + logs + n)
+        aicc = -2 * loglik + 2 * k + 2 * k * (k + 1) / (n - k - 1)
+        sigma2 = rss / (n - k + 1)
+    unstable = arma.near_unit_root(phi) | arma.near_unit_root(-theta)
+    aicc[unstable | (rss <= 1e-12) | (n <= k + 1)] = np.inf
+    best = {}
+    for j in np.lexsort((variant, aicc)):
+        if np.isfinite(aicc[j]) and int(task[j]) not in best:
+            best[int(task[j])] = {
+                "variant": variant[j],
+                "aicc": aicc[j],
+                "sigma2": sigma2[j],
+                "beta": beta[j],
+                "means": means[j],
+                "variances": variances[j],
+                "phi": phi[j],
+                "theta": theta[j],
+                "n": n[j],
+            }
+    return best
+
+
 def _independent(x: np.ndarray, seen: np.ndarray) -> np.ndarray:
     """Fits whose regressors vary independently over the observed times."""
     if not x.shape[2]:

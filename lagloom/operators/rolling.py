@@ -41,38 +41,76 @@ def score_rows(fc: DataFrame) -> DataFrame:
     return fc.withColumns({"error": o - p, "ape": abs_pct_error(o, p)})
 
 
-def past_rows(fc: DataFrame, rows: int, keys: str | Iterable[str] = KEYS, time: str = "t") -> DataFrame:
-    """Attach ``past``: the previous ``rows`` rows of the same model, oldest first."""
-    frame = (
-        Window.partitionBy(*as_list(keys), "model").orderBy(time).rowsBetween(-rows, -1)
-    )
+def past_entry(fc: DataFrame, time: str = "t") -> Column:
+    """The scored terms of one row, as collected into ``past`` arrays."""
     o, p = F.col("abundance"), F.col("predicted_abundance")
-    entry = F.struct(
-        F.col(time).alias("at"),
+    aicc = F.col("aicc") if "aicc" in fc.columns else F.lit(None)
+    return F.struct(
+        F.col(time).cast("int").alias("at"),
         abs_pct_error(o, p).alias("ape"),
         sq_error(o, p).alias("se"),
         abs_log_ratio(o, p).alias("alr"),
-        F.col("aicc").alias("aicc") if "aicc" in fc.columns else F.lit(None).cast("double").alias("aicc"),
-        (o - p).isNotNull().alias("known"),
+        aicc.cast("double").alias("aicc"),
     )
-    return fc.withColumn("past", F.collect_list(entry).over(frame))
 
 
-def trailing_mape(past: str | Column, window: Column, alpha: Column) -> Column:
-    """Mean APE of the last ``window`` entries, the j-th back weighted (1-alpha)^j.
+def past_rows(fc: DataFrame, rows: int, keys: str | Iterable[str] = KEYS, time: str = "t") -> DataFrame:
+    """Attach ``past``: the previous ``rows`` rows of the same model, oldest first."""
+    frame = Window.partitionBy(*as_list(keys), "model").orderBy(time).rowsBetween(-rows, -1)
+    return fc.withColumn("past", F.collect_list(past_entry(fc, time)).over(frame))
+
 
-    NULL until ``window`` entries exist or if any of them is undefined.
+# What one pass over ``past`` accumulates: the sums of weighted terms and weights.
+TOTALS = """named_struct('left', size(past), 'roll', 0D, 'roll_w', 0D, 'se', 0D, 'se_w', 0D,
+  'ape', 0D, 'ape_w', 0D, 'alr', 0D, 'alr_w', 0D, 'aicc', CAST(NULL AS DOUBLE))"""
+
+
+def past_totals(past: str, time: str, window: str, slide: str, alpha: str) -> Column:
+    """One pass over a ``past`` array for the trailing MAPE and the window metrics.
+
+    Arguments are SQL expressions.  The trailing MAPE counts rows back
+    (``window`` of them), the window metrics count times back (``slide``); the
+    j-th back weighs (1 - alpha)^j.  ``roll`` is NULL if one of its terms is.
     """
-    recent = F.slice(past, -window, window)
-    indexed = F.transform(
-        recent,
-        lambda e, i: F.struct(
-            e["ape"].alias("ape"), F.pow(1 - alpha, (window - i).cast("double")).alias("w")
-        ),
-    )
-    total = F.aggregate(indexed, F.lit(0.0), lambda acc, e: acc + e["ape"] * e["w"])
-    weight = F.aggregate(indexed, F.lit(0.0), lambda acc, e: acc + e["w"])
-    return F.when(F.size(past) >= window, 100 * ratio(total, weight))
+
+    def added(term: str, weight: str, used: str) -> str:
+        return f"IF({used}, acc.{term} + e.{term} * {weight}, acc.{term}) AS {term}"
+
+    inside = f"e.at >= {time} - {slide} AND e.se IS NOT NULL"
+    fields = [
+        "acc.left - 1 AS left",
+        f"IF(acc.left <= {window}, acc.roll + e.ape * pow(1 - {alpha}, acc.left), acc.roll) AS roll",
+        f"IF(acc.left <= {window}, acc.roll_w + pow(1 - {alpha}, acc.left), acc.roll_w) AS roll_w",
+    ]
+    weight = f"pow(1 - {alpha}, {time} - e.at)"
+    for term in ("se", "ape", "alr"):
+        used = f"{inside} AND e.{term} IS NOT NULL"
+        fields += [added(term, weight, used), f"IF({used}, acc.{term}_w + {weight}, acc.{term}_w) AS {term}_w"]
+    fields.append(f"IF({inside}, e.aicc, acc.aicc) AS aicc")
+    start = TOTALS.replace("past", past)
+    return F.expr(f"aggregate({past}, {start}, (acc, e) -> struct({', '.join(fields)}))")
+
+
+def past_metrics(past: str, window: str) -> dict[str, Column]:
+    """Trailing MAPE and window metrics from the column ``_totals`` of :func:`past_totals`."""
+    total = F.col("_totals")
+    full = F.size(past) >= F.expr(window)
+    return {
+        "mape": F.when(full, 100 * ratio(total["roll"], total["roll_w"])),
+        "w_rmse": F.sqrt(ratio(total["se"], total["se_w"])),
+        "w_mape": ratio(total["ape"], total["ape_w"]),
+        "w_msa": 100 * (F.exp(ratio(total["alr"], total["alr_w"])) - 1),
+        "w_aicc": total["aicc"],
+    }
+
+
+def score_past(
+    fc: DataFrame, past: str, time: str, window: str, slide: str, alpha: str, wanted: Iterable[str]
+) -> DataFrame:
+    """Add the wanted metrics of a ``past`` array and drop the array."""
+    metrics = past_metrics(past, window)
+    totals = fc.withColumn("_totals", past_totals(past, time, window, slide, alpha))
+    return totals.withColumns({m: metrics[m] for m in wanted}).drop(past, "_totals")
 
 
 def rolling_mape(
@@ -86,8 +124,8 @@ def rolling_mape(
     """Trailing MAPE as known before each row's own time."""
     if alpha:
         scored = past_rows(fc, window, keys, time)
-        value = trailing_mape("past", F.lit(window), F.lit(float(alpha)))
-        return scored.withColumn(name, value).drop("past")
+        out = score_past(scored, "past", time, str(window), str(window), f"{alpha}D", ["mape"])
+        return out.withColumnRenamed("mape", name)
     frame = (
         Window.partitionBy(*as_list(keys), "model").orderBy(time).rowsBetween(-window, -1)
     )

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lagloom.functions.metrics import BY_NAME
-from lagloom.functions.safe import as_list
+from lagloom.functions.safe import as_list, spread
 from lagloom.operators.ensemble import in_targets
 from lagloom.operators.features import KEYS
 
@@ -192,7 +192,7 @@ def find_stack_weights(
             current = proposal if keep else best
         return best, least, history
 
-    return tasks.mapInPandas(search, result)
+    return spread(tasks, *keys, "target").mapInPandas(search, result)
 
 
 def weight_rows(found: DataFrame, keys: str | Iterable[str] = KEYS) -> DataFrame:

@@ -13,10 +13,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.functions.safe import as_list
-from lagloom.operators.ensemble import SCHEMES, combine, ensemble_skill, in_targets, past_metrics, with_stack_weights, with_weights
+from lagloom.operators.ensemble import (
+    SCHEMES,
+    VALUES,
+    WINDOW_METRICS,
+    combine,
+    ensemble_skill,
+    in_targets,
+    with_stack_weights,
+    with_weights,
+)
 from lagloom.operators.features import KEYS
 from lagloom.operators.report import BEST
-from lagloom.operators.rolling import best_individual, past_rows, rank_models, top_models, trailing_mape, with_bounds
+from lagloom.operators.rolling import (
+    best_individual,
+    past_rows,
+    rank_models,
+    score_past,
+    top_models,
+    with_bounds,
+)
 from lagloom.sources.writers import cut_lineage
 
 
@@ -24,8 +40,8 @@ def _sweep(
     fc: DataFrame,
     grid: Column,
     longest: int,
-    window: Column,
-    alpha: Column,
+    window: str,
+    alpha: str,
     years: int,
     n: int,
     k: float,
@@ -34,14 +50,10 @@ def _sweep(
     time: str,
 ) -> DataFrame:
     by = ["grid", *keys]
-    moment = F.col(time).cast("long")
-    scored = (
-        past_rows(with_bounds(fc, keys, time), longest, keys, time)
-        .withColumn("grid", F.explode(grid))
-        .withColumn("mape", trailing_mape("past", window, alpha))
-        .withColumns(past_metrics("past", moment, window, alpha))
-        .drop("past")
-    )
+    needed = [*keys, time, "model", "abundance", *VALUES, "aicc", "series_end", "series_observed"]
+    gathered = past_rows(with_bounds(fc, keys, time).select(*needed), longest, keys, time)
+    paired = gathered.withColumn("grid", F.explode(grid))
+    scored = score_past(paired, "past", time, window, window, alpha, ["mape", *WINDOW_METRICS])
     # Ranked rows feed four branches; store them once instead of repeating the scoring.
     ranked = cut_lineage(rank_models(scored, metric, by, time), "sweep")
     rows = in_targets(ranked, years, by, time).filter(F.col("rank") <= n)
@@ -76,7 +88,7 @@ def sweep_window(
     """
     grid = F.sequence(F.lit(1), F.lit(years - 1))
     out = _sweep(
-        fc, grid, years - 1, F.col("grid"), F.lit(float(alpha)), years, n, k, metric, as_list(keys), time
+        fc, grid, years - 1, "grid", f"{float(alpha)}D", years, n, k, metric, as_list(keys), time
     )
     return out.withColumnRenamed("grid", "rolling_window").withColumn("alpha", F.lit(float(alpha)))
 
@@ -93,9 +105,9 @@ def sweep_alpha(
 ) -> DataFrame:
     """The same for decay rates 0, 0.05, ... 0.95 at a fixed window length."""
     grid = F.sequence(F.lit(0), F.lit(19))
-    alpha = F.col("grid") * 5 / F.lit(100.0)
-    out = _sweep(fc, grid, window, F.lit(window), alpha, years, n, k, metric, as_list(keys), time)
-    return out.withColumn("alpha", alpha).drop("grid")
+    alpha = "(grid * 5 / 100D)"
+    out = _sweep(fc, grid, window, str(window), alpha, years, n, k, metric, as_list(keys), time)
+    return out.withColumn("alpha", F.expr(alpha)).drop("grid")
 
 
 def sweep_view(out: DataFrame, grid: str, model: str = "MAPE_weighted", keys: str | Iterable[str] = KEYS) -> DataFrame:

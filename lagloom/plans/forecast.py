@@ -113,9 +113,8 @@ def forecast(
     stack_weights = None
     if stacking:
         stacked = st.stack_input(ranked, years, n, slide, keys, time)
-        stack_weights = st.weight_rows(
-            st.find_stack_weights(stacked, stack_metric, patience, seed=seed, keys=keys), keys
-        )
+        found = st.find_stack_weights(stacked, stack_metric, patience, seed=seed, keys=keys)
+        stack_weights = cut_lineage(st.weight_rows(found, keys), "stacking")
     weights, ensembles = en.ensemble(
         ranked, years, n, slide, k, alpha, stretch, stack_weights, keys, time
     )

@@ -15,6 +15,7 @@ from lagloom.operators.backtest import failed, succeeded
 from lagloom.operators.candidates import Candidates
 from lagloom.operators.features import drop_incomplete
 from lagloom.operators.fit_arima import fit_arima
+from lagloom.sources.writers import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -112,6 +113,7 @@ def inseason_backtest(
         first_period=first_period,
         **fit_options,
     )
+    fits = cut_lineage(fits, "inseason")
     observed = rows.select(*keys, "year", "period", "abundance")
     fc = succeeded(fits).join(observed, [*keys, "year", "period"], "left")
     totals = se.label_errors(se.add_observed(fc, season.observed, keys))

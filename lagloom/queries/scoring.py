@@ -623,5 +623,8 @@ def best_candidate(spark, sf_dir):
 def stack_search(spark, sf_dir):
     """Random search per (series, target); each chain ends after 60 idle proposals."""
     found = st.find_stack_weights(_stacked(spark, sf_dir), "MAPE", patience=60)
-    weights = st.weight_rows(found)
-    return weights.join(found.select("series_id", "target", "score", F.size("history").alias("rounds")), ["series_id", "target"])
+    rounds = F.size("history").alias("rounds")
+    pairs = F.explode(F.arrays_zip("models", "weights")).alias("p")
+    return found.select("series_id", "target", "score", rounds, pairs).select(
+        "series_id", "target", "score", "rounds", F.col("p.models").alias("model"), F.col("p.weights").alias("weight")
+    )
