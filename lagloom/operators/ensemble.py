@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from lagloom.functions.metrics import abs_log_ratio, abs_pct_error, accuracy, skill, sq_error
 from lagloom.functions.safe import as_list, ratio
 from lagloom.operators.features import KEYS
-from lagloom.operators.rolling import past_entry, score_past, with_bounds
+from lagloom.operators.rolling import past_entry, score_array, with_bounds
 
 WINDOW_METRICS = ("w_rmse", "w_mape", "w_msa", "w_aicc")
 VALUES = ("predicted_abundance", "lo_50", "hi_50", "lo_95", "hi_95")
@@ -94,7 +94,7 @@ def window_metrics(
         )
     gathered = fc.withColumn("_past", F.collect_list(past_entry(fc, time)).over(frame))
     span = str(2**30) if stretch else str(slide)
-    return score_past(gathered, "_past", time, "0", span, f"{float(alpha)}D", WINDOW_METRICS)
+    return score_array(gathered, "_past", time, span, float(alpha), WINDOW_METRICS)
 
 
 def with_weights(

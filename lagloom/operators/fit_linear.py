@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lagloom.functions.safe import as_list, present
+from lagloom.functions.safe import as_list, present, spread
 from lagloom.operators.candidates import Candidates
 from lagloom.operators.features import KEYS, drop_incomplete
 
@@ -217,7 +217,7 @@ def fit_linear(
     """One-step forecasts of every model for the last ``last`` times of each series.
 
     ``always`` are covariates in every model; ``ar=1`` adds the lagged log
-    response to them.  ``partitions`` spreads few series over many cores;
+    response to them.  ``partitions`` overrides the number of tasks;
     ``carry`` names columns of the forecast row to keep.  With
     ``freq=2`` a row is a (time, period): starting from period 1 both periods of
     the target time are forecast from earlier times, starting from period 2 only
@@ -234,7 +234,8 @@ def fit_linear(
         rows = rows.withColumn("_lag_log", F.lag(F.ln(value)).over(ordered))
         always = [*always, "_lag_log"]
     pool = [*candidates.covariates, *always]
-    rows = drop_incomplete(rows, pool)
+    # Every row becomes one task per candidate below, so spread rows by count, not bytes.
+    rows = spread(drop_incomplete(rows, pool), *keys, partitions=partitions)
     frame_time = time if first_period == 1 else "_step"
     past = Window.partitionBy(*keys).orderBy(frame_time).rangeBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -251,8 +252,6 @@ def fit_linear(
     ).filter(F.col(time) > F.col("_max") - last)
     if freq > 1:
         folds = folds.filter(F.col("period") >= first_period)
-    if partitions:
-        folds = folds.repartition(partitions, *keys, time)
     tasks = candidates.pair(folds)
     if always:
         first = len(candidates.covariates)

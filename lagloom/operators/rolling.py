@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.functions.metrics import abs_log_ratio, abs_pct_error, accuracy, sq_error
-from lagloom.functions.safe import as_list, per_key, ratio
+from lagloom.functions.safe import as_list, per_key, ratio, spread
 from lagloom.operators.candidates import Candidates
 from lagloom.operators.features import KEYS
 
@@ -42,7 +42,7 @@ def score_rows(fc: DataFrame) -> DataFrame:
 
 
 def past_entry(fc: DataFrame, time: str = "t") -> Column:
-    """The scored terms of one row, as collected into ``past`` arrays."""
+    """The scored terms of one row, as later rows look back at them."""
     o, p = F.col("abundance"), F.col("predicted_abundance")
     aicc = F.col("aicc") if "aicc" in fc.columns else F.lit(None)
     return F.struct(
@@ -54,63 +54,91 @@ def past_entry(fc: DataFrame, time: str = "t") -> Column:
     )
 
 
-def past_rows(fc: DataFrame, rows: int, keys: str | Iterable[str] = KEYS, time: str = "t") -> DataFrame:
-    """Attach ``past``: the previous ``rows`` rows of the same model, oldest first."""
-    frame = Window.partitionBy(*as_list(keys), "model").orderBy(time).rowsBetween(-rows, -1)
-    return fc.withColumn("past", F.collect_list(past_entry(fc, time)).over(frame))
-
-
-# What one pass over ``past`` accumulates: the sums of weighted terms and weights.
-TOTALS = """named_struct('left', size(past), 'roll', 0D, 'roll_w', 0D, 'se', 0D, 'se_w', 0D,
-  'ape', 0D, 'ape_w', 0D, 'alr', 0D, 'alr_w', 0D, 'aicc', CAST(NULL AS DOUBLE))"""
-
+def score_grid(
+    fc: DataFrame,
+    rows: int,
+    grid: Column,
+    window: str,
+    alpha: str,
+    keys: str | Iterable[str] = KEYS,
+    time: str = "t",
+) -> DataFrame:
+    """Trailing MAPE and window metrics of every row for every value of ``grid``.
 
-def past_totals(past: str, time: str, window: str, slide: str, alpha: str) -> Column:
-    """One pass over a ``past`` array for the trailing MAPE and the window metrics.
+    ``window`` and ``alpha`` are SQL expressions of ``grid``; no window may
+    exceed ``rows``.  The trailing MAPE counts rows back (NULL unless ``window``
+    of them are there), the window metrics count times back; the j-th back
+    weighs (1 - alpha)^j.
 
-    Arguments are SQL expressions.  The trailing MAPE counts rows back
-    (``window`` of them), the window metrics count times back (``slide``); the
-    j-th back weighs (1 - alpha)^j.  ``roll`` is NULL if one of its terms is.
+    Each row's recent past is unrolled and summed per (row, grid value).  The
+    grouping keys contain the partitioning of the frame, so the sums stay in the
+    task that unrolled them, in generated code, without another shuffle.
     """
+    by = [*as_list(keys), "model", time]
+    order = Window.partitionBy(*by[:-1]).orderBy(time)
+    carried = [c for c in fc.columns if c not in by]
+    entry = F.struct(F.row_number().over(order).alias("row"), past_entry(fc, time).alias("e"))
+    numbered = spread(fc, *by[:-1]).withColumn("_entry", entry)
+    past = F.collect_list("_entry").over(order.rowsBetween(-rows, -1))
+    pairs = (
+        numbered.withColumn("_past", past)
+        .select(*by, *carried, F.col("_entry.row").alias("_row"), F.explode_outer("_past").alias("_p"))
+        .select(
+            *by,
+            *carried,
+            (F.col("_row") - F.col("_p.row")).alias("_back"),
+            (F.col(time) - F.col("_p.e.at")).alias("_age"),
+            *[F.col(f"_p.e.{c}").alias(f"_{c}") for c in ("ape", "se", "alr", "aicc")],
+            F.explode(grid).alias("grid"),
+        )
+        .filter(F.expr(f"_back IS NULL OR _back <= {window}"))
+        .withColumns(
+            {
+                "_roll_w": F.expr(f"pow(1 - {alpha}, _back)"),
+                "_w": F.expr(f"IF(_age <= {window} AND _se IS NOT NULL, pow(1 - {alpha}, _age), NULL)"),
+            }
+        )
+    )
+
+    def mean(term: str) -> Column:
+        weight = F.when(F.col(term).isNotNull(), F.col("_w"))
+        return ratio(F.sum(F.col(term) * F.col("_w")), F.sum(weight))
+
+    roll = 100 * ratio(F.sum(F.col("_ape") * F.col("_roll_w")), F.sum("_roll_w"))
+    whole = F.count("_ape") == F.first(F.expr(window).cast("long"))
+    return pairs.groupBy(*by, "grid").agg(
+        *[F.first(c).alias(c) for c in carried],
+        F.when(whole, roll).alias("mape"),
+        F.sqrt(mean("_se")).alias("w_rmse"),
+        mean("_ape").alias("w_mape"),
+        (100 * (F.exp(mean("_alr")) - 1)).alias("w_msa"),
+        F.max_by("_aicc", F.when(F.col("_w").isNotNull(), -F.col("_age"))).alias("w_aicc"),
+    )
 
-    def added(term: str, weight: str, used: str) -> str:
-        return f"IF({used}, acc.{term} + e.{term} * {weight}, acc.{term}) AS {term}"
 
+def score_array(fc: DataFrame, past: str, time: str, slide: str, alpha: float, wanted: Iterable[str]) -> DataFrame:
+    """Decay-weighted metrics of one row from its ``past`` entries, oldest first."""
+    weight = f"pow(1 - {alpha}D, {time} - e.at)"
+    start, fields = ["'aicc', CAST(NULL AS DOUBLE)"], []
     inside = f"e.at >= {time} - {slide} AND e.se IS NOT NULL"
-    fields = [
-        "acc.left - 1 AS left",
-        f"IF(acc.left <= {window}, acc.roll + e.ape * pow(1 - {alpha}, acc.left), acc.roll) AS roll",
-        f"IF(acc.left <= {window}, acc.roll_w + pow(1 - {alpha}, acc.left), acc.roll_w) AS roll_w",
-    ]
-    weight = f"pow(1 - {alpha}, {time} - e.at)"
     for term in ("se", "ape", "alr"):
         used = f"{inside} AND e.{term} IS NOT NULL"
-        fields += [added(term, weight, used), f"IF({used}, acc.{term}_w + {weight}, acc.{term}_w) AS {term}_w"]
-    fields.append(f"IF({inside}, e.aicc, acc.aicc) AS aicc")
-    start = TOTALS.replace("past", past)
-    return F.expr(f"aggregate({past}, {start}, (acc, e) -> struct({', '.join(fields)}))")
-
-
-def past_metrics(past: str, window: str) -> dict[str, Column]:
-    """Trailing MAPE and window metrics from the column ``_totals`` of :func:`past_totals`."""
-    total = F.col("_totals")
-    full = F.size(past) >= F.expr(window)
-    return {
-        "mape": F.when(full, 100 * ratio(total["roll"], total["roll_w"])),
-        "w_rmse": F.sqrt(ratio(total["se"], total["se_w"])),
-        "w_mape": ratio(total["ape"], total["ape_w"]),
-        "w_msa": 100 * (F.exp(ratio(total["alr"], total["alr_w"])) - 1),
-        "w_aicc": total["aicc"],
+        start += [f"'{term}', 0D", f"'{term}_w', 0D"]
+        fields += [
+            f"IF({used}, acc.{term} + e.{term} * {weight}, acc.{term}) AS {term}",
+            f"IF({used}, acc.{term}_w + {weight}, acc.{term}_w) AS {term}_w",
+        ]
+    fields.insert(0, f"IF({inside}, e.aicc, acc.aicc) AS aicc")
+    totals = f"aggregate({past}, named_struct({', '.join(start)}), (acc, e) -> struct({', '.join(fields)}))"
+    s = F.col("_s")
+    metrics = {
+        "mape": 100 * ratio(s["ape"], s["ape_w"]),
+        "w_rmse": F.sqrt(ratio(s["se"], s["se_w"])),
+        "w_mape": ratio(s["ape"], s["ape_w"]),
+        "w_msa": 100 * (F.exp(ratio(s["alr"], s["alr_w"])) - 1),
+        "w_aicc": s["aicc"],
     }
-
-
-def score_past(
-    fc: DataFrame, past: str, time: str, window: str, slide: str, alpha: str, wanted: Iterable[str]
-) -> DataFrame:
-    """Add the wanted metrics of a ``past`` array and drop the array."""
-    metrics = past_metrics(past, window)
-    totals = fc.withColumn("_totals", past_totals(past, time, window, slide, alpha))
-    return totals.withColumns({m: metrics[m] for m in wanted}).drop(past, "_totals")
+    return fc.withColumn("_s", F.expr(totals)).withColumns({m: metrics[m] for m in wanted}).drop(past, "_s")
 
 
 def rolling_mape(
@@ -122,13 +150,15 @@ def rolling_mape(
     name: str = "mape",
 ) -> DataFrame:
     """Trailing MAPE as known before each row's own time."""
+    frame = Window.partitionBy(*as_list(keys), "model").orderBy(time).rowsBetween(-window, -1)
     if alpha:
-        scored = past_rows(fc, window, keys, time)
-        out = score_past(scored, "past", time, str(window), str(window), f"{alpha}D", ["mape"])
-        return out.withColumnRenamed("mape", name)
-    frame = (
-        Window.partitionBy(*as_list(keys), "model").orderBy(time).rowsBetween(-window, -1)
-    )
+        step = F.row_number().over(Window.partitionBy(*as_list(keys), "model").orderBy(time))
+        numbered = fc.withColumn("_row", step)
+        past = numbered.withColumn("_past", F.collect_list(past_entry(numbered, "_row")).over(frame))
+        whole = F.expr(f"size(_past) = {window} AND forall(_past, e -> e.ape IS NOT NULL)")
+        scored = score_array(past.withColumn("_whole", whole), "_past", "_row", str(window), float(alpha), ["mape"])
+        value = F.when(F.col("_whole"), F.col("mape"))
+        return scored.withColumn("mape", value).drop("_row", "_whole").withColumnRenamed("mape", name)
     ape = abs_pct_error(F.col("abundance"), F.col("predicted_abundance"))
     full = F.count(ape).over(frame) == window
     return fc.withColumn(name, F.when(full, 100 * F.avg(ape).over(frame)))

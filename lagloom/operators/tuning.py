@@ -1,8 +1,8 @@
 """Sweeps over the window length and the decay rate.
 
-The grid value is one more key of a single plan: each forecast row carries its
-own recent past as a short array, is paired with the grid, and goes through the
-same ranking, weighting and scoring as an ordinary run.
+The grid value is one more key of a single plan: each forecast row looks
+back at its own recent past, is paired with the grid, and goes through the same
+ranking, weighting and scoring as an ordinary run.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from lagloom.functions.safe import as_list
 from lagloom.operators.ensemble import (
     SCHEMES,
     VALUES,
-    WINDOW_METRICS,
     combine,
     ensemble_skill,
     in_targets,
@@ -27,9 +26,8 @@ from lagloom.operators.features import KEYS
 from lagloom.operators.report import BEST
 from lagloom.operators.rolling import (
     best_individual,
-    past_rows,
     rank_models,
-    score_past,
+    score_grid,
     top_models,
     with_bounds,
 )
@@ -51,15 +49,14 @@ def _sweep(
 ) -> DataFrame:
     by = ["grid", *keys]
     needed = [*keys, time, "model", "abundance", *VALUES, "aicc", "series_end", "series_observed"]
-    gathered = past_rows(with_bounds(fc, keys, time).select(*needed), longest, keys, time)
-    paired = gathered.withColumn("grid", F.explode(grid))
-    scored = score_past(paired, "past", time, window, window, alpha, ["mape", *WINDOW_METRICS])
+    rows = with_bounds(fc, keys, time).select(*needed)
+    scored = score_grid(rows, longest, grid, window, alpha, keys, time)
     # Ranked rows feed four branches; store them once instead of repeating the scoring.
     ranked = cut_lineage(rank_models(scored, metric, by, time), "sweep")
     rows = in_targets(ranked, years, by, time).filter(F.col("rank") <= n)
     schemes = [s for s in SCHEMES if s != "Stack_weighted"]
     weighted = with_stack_weights(with_weights(rows, k, by, time), None, by, time)
-    ensembles = combine(weighted, schemes, by, time)
+    ensembles = cut_lineage(combine(weighted, schemes, by, time), "sweep-ensembles")
     best = best_individual(top_models(ranked, n, years, by, time), by, time)
     skill = ensemble_skill(ranked, ensembles, years, by, time).filter(F.col("model").contains("weight"))
     table = best.withColumn("model", F.lit(BEST)).unionByName(skill)
