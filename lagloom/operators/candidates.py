@@ -54,9 +54,9 @@ class Candidates:
         out = df.withColumn("positions", F.array().cast("array<int>")).withColumn("_open", F.lit(True))
         for _ in range(self.sizes[-1] if self.sizes else 0):
             first = F.coalesce(F.try_element_at("positions", F.lit(-1)) + 1, F.lit(0))
-            later = F.filter(
-                F.sequence(F.lit(0), F.lit(n - 1)), lambda p: F.col("_open") & (p >= first)
-            )
+            later = F.when(
+                F.col("_open") & (first < n), F.sequence(first, F.lit(n - 1))
+            ).otherwise(F.array().cast("array<int>"))
             out = (
                 out.withColumn("_next", F.explode(F.concat(F.array(F.lit(-1)), later)))
                 .withColumn("_open", F.col("_next") >= 0)

@@ -70,7 +70,7 @@ def solve(df: DataFrame, n_covariates: int, max_vars: int, targets: bool = True)
     solve their small system in an Arrow batch.
     """
     if max_vars <= 1:
-        fitted = df.withColumns(_closed_form())
+        fitted = _closed_form(df)
     else:
         chosen = df.withColumns(_slices(n_covariates)).drop("sx", "sxy", "sxx")
         solved = T.StructType([*chosen.schema.fields, *SOLUTION.fields])
@@ -93,29 +93,41 @@ def solve(df: DataFrame, n_covariates: int, max_vars: int, targets: bool = True)
             "aicc": F.when(good, -2 * loglik + 2 * params + 2 * params * (params + 1) / (n - params - 1)),
         }
     )
-    if targets:
+    if targets and max_vars <= 1:
+        out = out.withColumn("mu", F.when(good, F.col("_a") + F.coalesce(F.col("_b") * F.get("x", F.get("positions", F.lit(0))), F.lit(0.0))))
+    elif targets:
         at = F.concat(F.array(F.lit(1.0)), F.transform("positions", lambda p: F.get("x", p)))
         dot = F.aggregate(
             F.zip_with("coef", at, lambda b, v: b * v), F.lit(0.0), lambda acc, v: acc + v
         )
         out = out.withColumn("mu", dot)
-    return out
+    return out.drop("_a", "_b")
 
 
-def _closed_form() -> dict[str, Column]:
+def _closed_form(df: DataFrame) -> DataFrame:
+    """Intercept and slope of the one covariate, or the mean without any."""
     position = F.get("positions", F.lit(0))
     n = F.when(F.col("n_obs") > 0, F.col("n_obs"))
-    sy = F.col("sy")
-    sx, sxy, sxx = (F.get(c, position) for c in ("sx", "sxy", "sxx"))
-    cyy = F.col("syy") - sy * sy / n
-    cxx, cxy = sxx - sx * sx / n, sxy - sx * sy / n
-    slope = F.when(cxx > 1e-10 * sxx, cxy / F.when(cxx > 0, cxx))
+    one = df.withColumns({f"_{c}": F.get(c, position) for c in ("sx", "sxy", "sxx")})
+    centred = one.withColumns(
+        {
+            "_cyy": F.expr("syy - sy * sy / nullif(n_obs, 0)"),
+            "_cxx": F.expr("_sxx - _sx * _sx / nullif(n_obs, 0)"),
+            "_cxy": F.expr("_sxy - _sx * sy / nullif(n_obs, 0)"),
+        }
+    ).withColumn("_b", F.expr("IF(_cxx > 1e-10 * _sxx, _cxy / nullif(_cxx, 0D), NULL)"))
     empty = F.size("positions") == 0
-    line = F.when(slope.isNotNull(), F.array((sy - slope * sx) / n, slope))
-    return {
-        "coef": F.when(empty, F.when(n.isNotNull(), F.array(sy / n))).otherwise(line),
-        "rss": F.when(empty, cyy).otherwise(cyy - slope * cxy),
-    }
+    line = F.when(F.col("_b").isNotNull(), (F.col("sy") - F.col("_b") * F.col("_sx")) / n)
+    solved = centred.withColumns(
+        {
+            "_a": F.when(empty, F.col("sy") / n).otherwise(line),
+            "rss": F.when(empty, F.col("_cyy")).otherwise(F.expr("_cyy - _b * _cxy")),
+        }
+    )
+    coef = F.when(empty, F.array("_a")).otherwise(F.array("_a", "_b"))
+    return solved.withColumn("coef", F.when(F.col("_a").isNotNull(), coef)).drop(
+        "_sx", "_sxy", "_sxx", "_cyy", "_cxx", "_cxy"
+    )
 
 
 def _slices(p: int) -> dict[str, Column]:

@@ -19,8 +19,8 @@ from lagloom.queries.scoring import (
     SINGLES,
     _fit_view,
     fits,
-    observed_fits,
     ranked,
+    stored_fits,
 )
 from lagloom.queries.sql import METRICS, SLIDE, TOP, VALUES, YEARS
 from lagloom.sources import readers, writers
@@ -63,7 +63,7 @@ BY_ALPHA = sweep_sql("generate_series(0, 19)", str(SLIDE), "g * 5 / 100.0")
 
 
 def _sweep_window(spark, sf_dir):
-    return tu.sweep_window(observed_fits(spark, sf_dir), YEARS, TOP)
+    return tu.sweep_window(stored_fits(spark, sf_dir), YEARS, TOP)
 
 
 @query(
@@ -82,7 +82,7 @@ def sweep_window(spark, sf_dir):
     f"{sql.columns(SWEEP_VALUES, 3)} FROM sweep",
 )
 def sweep_alpha(spark, sf_dir):
-    out = tu.sweep_alpha(observed_fits(spark, sf_dir), YEARS, TOP, SLIDE)
+    out = tu.sweep_alpha(stored_fits(spark, sf_dir), YEARS, TOP, SLIDE)
     return shown(out, ("series_id", "model", "t"), {2: ("alpha",), 4: METRICS, 3: SWEEP_VALUES})
 
 

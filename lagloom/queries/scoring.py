@@ -36,8 +36,13 @@ def observed_fits(spark, sf_dir, **options):
 
 
 def ranked(spark, sf_dir, metric="aicc", alpha=0.0, stretch=False):
-    stored = cut_lineage(observed_fits(spark, sf_dir), "fits")
-    return score(stored, YEARS, SLIDE, alpha, metric, stretch)
+    return score(stored_fits(spark, sf_dir), YEARS, SLIDE, alpha, metric, stretch)
+
+
+def stored_fits(spark, sf_dir):
+    """Fits written once and then filtered, as every later step reads them."""
+    every = bt.backtest(pa.supplier_features(spark, sf_dir), SINGLES, LAST, carry=["abundance"])
+    return bt.succeeded(cut_lineage(every, "fits"))
 
 
 # --- candidates --------------------------------------------------------------
