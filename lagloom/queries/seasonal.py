@@ -139,8 +139,8 @@ NAIVE = f"""{COMPLETED}, pairs AS (
     CASE WHEN m.model = 1 THEN avg(abundance) OVER w ELSE max(abundance) OVER w END AS predicted_abundance
   FROM completed CROSS JOIN (VALUES (1), (2)) m(model) WHERE period = 2
   WINDOW w AS (PARTITION BY species, m.model ORDER BY year ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-naive AS (SELECT *, predicted_abundance * 0.9 AS lo_50, predicted_abundance * 1.1 AS hi_50,
-  predicted_abundance * 0.7 AS lo_95, predicted_abundance * 1.3 AS hi_95 FROM pairs
+naive AS (SELECT *, predicted_abundance * 0.81377 AS lo_50, predicted_abundance * 1.22913 AS hi_50,
+  predicted_abundance * 0.64131 AS lo_95, predicted_abundance * 1.56197 AS hi_95 FROM pairs
   WHERE predicted_abundance IS NOT NULL),
 added AS (SELECT species, n.year, period, model, obs_abundance, abundance + obs_abundance AS abundance, """ + ", ".join(
     f"{c} + obs_abundance AS {c}" for c in se.VALUES
@@ -157,7 +157,7 @@ def _naive(spark, sf_dir):
     past = Window.partitionBy("species", "model").orderBy("year").rowsBetween(Window.unboundedPreceding, -1)
     point = F.when(F.col("model") == 1, F.avg("abundance").over(past)).otherwise(F.max("abundance").over(past))
     fc = rows.withColumn("predicted_abundance", point).filter(F.col("predicted_abundance").isNotNull())
-    for name, factor in (("lo_50", 0.9), ("hi_50", 1.1), ("lo_95", 0.7), ("hi_95", 1.3)):
+    for name, factor in (("lo_50", 0.81377), ("hi_50", 1.22913), ("lo_95", 0.64131), ("hi_95", 1.56197)):
         fc = fc.withColumn(name, F.col("predicted_abundance") * factor)
     return fc
 

@@ -1,0 +1,120 @@
+import numpy as np
+import pandas as pd
+import pytest
+from panels import panel, to_spark
+
+from lagloom.operators import arma
+from lagloom.operators import backtest as bt
+from lagloom.operators.candidates import Candidates
+from lagloom.operators.fit_arima import fit_arima
+from lagloom.operators.fit_linear import fit_linear
+
+
+def ar1_series(phi=0.7, slope=0.8, n=160, seed=3, drift=0.0, root=False):
+    rng = np.random.default_rng(seed)
+    x, e = rng.normal(size=n), rng.normal(size=n) * 0.2
+    noise = np.zeros(n)
+    for i in range(1, n):
+        noise[i] = (1.0 if root else phi) * noise[i - 1] + e[i] + drift
+    frame = pd.DataFrame({"series_id": "s", "t": np.arange(n), "x": x})
+    frame["abundance"] = np.exp(5 + slope * x + noise)
+    frame.loc[n - 1, "abundance"] = np.nan
+    return frame
+
+
+def test_recovers_coefficients(spark):
+    row = fit_arima(to_spark(spark, ar1_series()), Candidates(("x",), 1, 1), 1, orders=[(1, 0)], fixed_d=0).first()
+    assert row.coef["ar1"] == pytest.approx(0.7, abs=0.12)
+    assert row.coef["x"] == pytest.approx(0.8, abs=0.03)
+    assert row.order == [1, 0, 0, 0, 1, 0, 0]
+    assert np.sqrt(row.sigma2) == pytest.approx(0.2, abs=0.03)
+
+
+def test_likelihood_equals_the_joint_normal_density():
+    rng = np.random.default_rng(0)
+    n, phi, theta = 30, np.array([[0.6, -0.2]]), np.array([[0.4]])
+    psi = np.zeros(400)
+    psi[0] = 1
+    for j in range(1, 400):
+        psi[j] = (theta[0, 0] if j == 1 else 0) + 0.6 * psi[j - 1] - 0.2 * (psi[j - 2] if j > 1 else 0)
+    gamma = np.array([psi[: 400 - h] @ psi[h:] for h in range(n)])
+    cov = gamma[np.abs(np.subtract.outer(np.arange(n), np.arange(n)))]
+    y = rng.normal(size=n)
+    seen = np.ones((1, n), bool)
+    seen[0, [7, 8, 20]] = False
+    w = np.where(seen, y, 0.0)[:, :, None]
+    means, variances = arma.predict(w, seen, phi, theta, np.zeros(0))
+    e = (y - means[0, :, 0])[seen[0]]
+    f = variances[0][seen[0]]
+    keep = np.flatnonzero(seen[0])
+    small = cov[np.ix_(keep, keep)]
+    assert np.log(f).sum() == pytest.approx(np.linalg.slogdet(small)[1], abs=1e-8)
+    assert (e * e / f).sum() == pytest.approx(y[keep] @ np.linalg.solve(small, y[keep]), abs=1e-8)
+
+
+def test_white_noise_order_equals_regression(spark):
+    df = to_spark(spark, panel(n_series=2))
+    made = Candidates(("a", "b"), 0, 2, include_null=True)
+    key = lambda r: (r.series_id, r.t, r.model)
+    a = sorted(fit_arima(df, made, 4, orders=[(0, 0)], fixed_d=0).collect(), key=key)
+    b = sorted(fit_linear(df, made, 4).collect(), key=key)
+    assert [key(r) for r in a] == [key(r) for r in b]
+    for x, y in zip(a, b):
+        assert x.predicted_abundance == pytest.approx(y.predicted_abundance, rel=1e-7)
+        assert x.aicc == pytest.approx(y.aicc, abs=1e-6) and x.hi_95 == pytest.approx(y.hi_95, rel=1e-7)
+
+
+def test_random_walk_is_differenced_and_follows_the_last_value(spark):
+    frame = ar1_series(root=True, slope=0.0, drift=0.05, seed=5)
+    row = fit_arima(to_spark(spark, frame), Candidates(("x",), 0, 0), 1).first()
+    assert row.order[5] == 1
+    last = frame.abundance.iloc[-2]
+    assert abs(np.log(row.predicted_abundance / last)) < 0.5
+    assert row.lo_95 < row.lo_50 < row.predicted_abundance < row.hi_50 < row.hi_95
+
+
+def test_order_selection_beats_white_noise_on_dependent_data(spark):
+    df = to_spark(spark, ar1_series(phi=0.8))
+    made = Candidates(("x",), 1, 1)
+    chosen, white = fit_arima(df, made, 3, fixed_d=0).collect(), fit_arima(df, made, 3, orders=[(0, 0)], fixed_d=0).collect()
+    assert all(c.aicc < w.aicc - 10 for c, w in zip(chosen, white))
+    assert all(sum(c.order[:2]) > 0 for c in chosen)
+
+
+def test_gaps_failures_and_independence_of_the_batch(spark):
+    frame = pd.concat([ar1_series(n=60), ar1_series(n=60, seed=9).assign(series_id="r")], ignore_index=True)
+    frame["flat"] = 1.0
+    frame.loc[(frame.series_id == "s") & frame.t.isin([10, 11, 40]), "abundance"] = np.nan
+    short = frame[(frame.series_id == "s") & (frame.t < 4)].assign(series_id="short")
+    made = Candidates(("x", "flat"), 1, 1)
+    out = fit_arima(to_spark(spark, pd.concat([frame, short])), made, 3, max_p=1, max_q=1)
+    good, bad = bt.succeeded(out).collect(), {(r.series_id, r.model, r.error) for r in bt.failed(out).collect()}
+    assert {(r.series_id, r.model) for r in good} == {("s", 1), ("r", 1)} and len(good) == 6
+    assert ("s", 2, "singular design") in bad and ("short", 1, "too few observations") in bad
+    alone = fit_arima(to_spark(spark, frame[frame.series_id == "s"]), made, 3, max_p=1, max_q=1)
+    mine = {r.t: r.predicted_abundance for r in good if r.series_id == "s"}
+    assert mine == pytest.approx({r.t: r.predicted_abundance for r in bt.succeeded(alone).collect()}, rel=1e-6)
+
+
+def test_two_periods_with_a_seasonal_part(spark):
+    rng = np.random.default_rng(1)
+    n = 60
+    frame = pd.DataFrame({"series_id": "s", "t": 1990 + np.arange(n) // 2, "period": np.arange(n) % 2 + 1})
+    frame["abundance"] = np.exp(3 + 2.0 * (frame.period == 2) + 0.1 * rng.normal(size=n))
+    df = to_spark(spark, frame)
+    options = dict(freq=2, seasonal=True, max_p=1, max_q=0)
+    both = fit_arima(df, Candidates((), 0, 0), 2, **options).collect()
+    assert sorted((r.t, r.period) for r in both) == [(2018, 1), (2018, 2), (2019, 1), (2019, 2)]
+    for r in both:
+        assert abs(np.log(r.predicted_abundance) - (3 + 2.0 * (r.period == 2))) < 0.6, r
+    second = fit_arima(df, Candidates((), 0, 0), 2, first_period=2, **options).collect()
+    assert sorted((r.t, r.period) for r in second) == [(2018, 2), (2019, 2)]
+
+
+def test_differencing_polynomials():
+    assert arma.differencing(0, 0, 1).tolist() == []
+    assert arma.differencing(1, 0, 1).tolist() == [1.0]
+    assert arma.differencing(2, 0, 1).tolist() == [2.0, -1.0]
+    assert arma.differencing(1, 1, 2).tolist() == [1.0, 1.0, -1.0]
+    phi, theta = arma.polynomials(np.arctanh([[0.5, 0.3, 0.4, 0.2]]), (1, 1, 1, 1), 2)
+    assert phi[0] == pytest.approx([0.5, 0.4, -0.2]) and theta[0] == pytest.approx([-0.3, -0.2, 0.06])
