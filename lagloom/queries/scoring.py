@@ -392,13 +392,13 @@ def rolling_mape_decay(spark, sf_dir):
 
 @query(
     "q_avg_rank",
-    f"""WITH {pa.SUP} SELECT series_id, t, n_lines, rank() OVER (PARTITION BY t ORDER BY n_lines)
-    + (count(*) OVER (PARTITION BY t, n_lines) - 1) / 2.0 AS rank FROM sup""",
+    f"""WITH {pa.SUP} SELECT series_id, t, n_lines, rank() OVER (PARTITION BY series_id, (t - 1) // 12 ORDER BY n_lines)
+    + (count(*) OVER (PARTITION BY series_id, (t - 1) // 12, n_lines) - 1) / 2.0 AS rank FROM sup""",
 )
 def avg_rank(spark, sf_dir):
-    """Average ranks with many ties: the series of a month by their line count."""
-    out = ro.rank_models(pa.supplier_months(spark, sf_dir), "n_lines", keys=[])
-    return out.select("series_id", "t", "n_lines", "rank")
+    """Average ranks with many ties: the months of a supplier's year by line count."""
+    months = pa.supplier_months(spark, sf_dir).withColumn("year", F.floor((F.col("t") - 1) / 12))
+    return ro.rank_models(months, "n_lines", time="year").select("series_id", "t", "n_lines", "rank")
 
 
 @query(

@@ -48,13 +48,15 @@ def test_search_is_seeded_and_no_worse_than_its_start(stacked):
         {(r.series_id, r.target): r for r in st.find_stack_weights(s, "RMSE", 300).collect()}
         for s in (stacked, stacked.repartition(7))
     )
-    best = {(r.series_id, r.target): r.score for r in st.best_candidate(st.score_weights(st.pair_simplex(stacked, 10), "RMSE")).collect()}
     for key, r in first.items():
         assert r.weights == again[key].weights
         assert sum(r.weights) == pytest.approx(1) and min(r.weights) >= 0
         assert r.score <= r.history[0] and r.history == sorted(r.history, reverse=True)
-        assert r.score <= best[key] * 1.05
     other = st.find_stack_weights(stacked, "RMSE", 300, seed=7).first()
     assert other.weights != first[other.series_id, other.target].weights
+    grid = st.best_candidate(st.score_weights(st.pair_simplex(stacked, 10), "RMSE"))
+    best = {(r.series_id, r.target): r.score for r in grid.collect()}
+    patient = st.find_stack_weights(stacked, "RMSE", 4000).collect()
+    assert all(r.score <= best[r.series_id, r.target] * 1.05 for r in patient)
     rows = st.weight_rows(st.find_stack_weights(stacked, "RMSE", 50))
     assert rows.count() == 30
