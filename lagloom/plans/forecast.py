@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lagloom.functions.safe import as_list
+from lagloom.functions.safe import as_list, spread
 from lagloom.operators import backtest as bt
 from lagloom.operators import ensemble as en
 from lagloom.operators import report as rp
@@ -53,9 +53,11 @@ def score(
     """Trailing MAPE, window metrics and rank of every forecast.
 
     Both trailing operators run on the (keys, model) partitioning before the
-    ranking moves the rows to (keys, time), where weighting finds them.
+    ranking moves the rows to (keys, time), where weighting finds them.  Rows are
+    spread explicitly, or the join of the bounds would leave all models of a
+    series in one task.
     """
-    rows = ro.with_bounds(ro.score_rows(fc), keys, time)
+    rows = spread(ro.with_bounds(ro.score_rows(fc), keys, time), *as_list(keys), "model")
     rolled = ro.rolling_mape(rows, years - 1, alpha, keys, time)
     return ro.rank_models(en.window_metrics(rolled, slide, alpha, stretch, keys, time), metric, keys, time)
 

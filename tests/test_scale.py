@@ -35,5 +35,12 @@ def test_no_plan_pairs_rows_with_rows(spark):
         assert "CartesianProduct" not in physical(df) and "NestedLoop" not in physical(df)
 
 
+def test_models_of_a_series_are_not_gathered_to_score_them(spark):
+    plan = physical(ranked(spark, SMALL))
+    spreads = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert any("model#" in line and "series_id#" in line for line in spreads)
+    assert any("t#" in line and "series_id#" in line and "model#" not in line for line in spreads)
+
+
 def test_feature_table_joins_nothing(spark):
     assert "Join" not in physical(pa.supplier_features(spark, SMALL))
