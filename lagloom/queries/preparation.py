@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lagloom.operators import features as op
 from lagloom.operators import reshape as rs
+from lagloom.operators.smooth import binomial_smooth
 from lagloom.plans.features import make_features
 from lagloom.queries import panels as pa
 from lagloom.queries.registry import month_number, query, rounded, table
@@ -265,8 +267,6 @@ def parity(spark, sf_dir):
 )
 def pick_day(spark, sf_dir):
     """The cumulative daily index on one calendar day of each year."""
-    from pyspark.sql import Window
-
     index = pa.discount_index(spark, sf_dir).withColumn("year", F.year("date"))
     running = F.sum("value").over(Window.partitionBy("year").orderBy("date"))
     daily = index.withColumn("running", running).withColumn("mm-dd", F.date_format("date", "M-dd"))
@@ -383,3 +383,19 @@ def returns_features(spark, sf_dir):
     feeds = {"pdo": index, "npgo": index, "enso": index, "smolt": daily}
     out = make_features(returns, feeds, RETURN_COVARIATES)
     return rounded(out, 6, *RETURN_COVARIATES)
+
+
+@query("q_binomial_smooth")
+def smoothed_share(spark, sf_dir):
+    """Smoothed yearly share of finished orders per customer segment."""
+    orders = table(spark, sf_dir, "orders").select(
+        "o_custkey", F.year("o_orderdate").alias("year"), (F.col("o_orderstatus") == "F").cast("long").alias("done")
+    )
+    yearly = orders.groupBy("o_custkey", "year").agg(F.count(F.lit(1)).alias("trials"), F.sum("done").alias("done"))
+    customers = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("series_id"))
+    counts = (
+        yearly.join(customers, F.col("o_custkey") == F.col("c_custkey"))
+        .groupBy("series_id", "year")
+        .agg(F.sum("done").alias("success"), F.sum("trials").alias("trials"))
+    )
+    return binomial_smooth(counts, "success", "trials")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lagloom.operators import report as rp
@@ -172,7 +173,7 @@ def supplied(spark, sf_dir):
 @query("q_refresh", CHOSEN_SQL)
 def refresh(spark, sf_dir):
     """Only the last two origins are refitted; stale rows of the store are replaced."""
-    old = fits(spark, sf_dir).withColumn("_end", F.max("t").over(_series()))
+    old = fits(spark, sf_dir).withColumn("_end", F.max("t").over(Window.partitionBy("series_id")))
     stale = F.col("t") > F.col("_end") - 2
     old = old.withColumn(
         "predicted_abundance", F.when(stale, F.lit(1.0)).otherwise(F.col("predicted_abundance"))
@@ -180,12 +181,6 @@ def refresh(spark, sf_dir):
     return _chosen_view(run(spark, sf_dir, supplied=old, update_last_year=True).chosen)
 
 
-def _series():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("series_id")
-
-
 @query(
     "q_chart_data",
     f"""WITH {TABLES} SELECT series_id, t, 'forecast' AS chart, line, round(value, 4) AS value FROM (

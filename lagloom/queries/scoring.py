@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from lagloom.functions import metrics as me
 from lagloom.operators import backtest as bt
 from lagloom.operators import ensemble as en
+from lagloom.operators import features as op
 from lagloom.operators import rolling as ro
 from lagloom.operators import stacking as st
 from lagloom.operators.candidates import Candidates, with_labels
-from lagloom.operators.features import drop_incomplete
 from lagloom.operators.fit_arima import fit_arima
 from lagloom.operators.fit_linear import fit_linear
 from lagloom.operators.screen import screen_subsets
@@ -70,17 +70,25 @@ def subsets(spark, sf_dir):
     return with_labels(every.pair(sizes)).select("series_id", "n", "model", "model_name", "formula")
 
 
+@query(
+    "q_model_list",
+    f"WITH {sql.FITS} SELECT model, model_name, count(*) AS n_fits FROM fits GROUP BY 1, 2",
+)
+def model_list(spark, sf_dir):
+    """Number and name of each candidate with how often it was fitted."""
+    named = ro.with_names(fits(spark, sf_dir), SINGLES)
+    return named.groupBy("model", "model_name").agg(F.count(F.lit(1)).alias("n_fits"))
+
+
 @query(
     "q_complete_cases",
     f"WITH {pa.SUP_FEATURES} SELECT series_id, t, abundance, lag12_log_qty FROM (SELECT series_id, t, abundance, "
     "round(lag12_log_qty, 6) AS lag12_log_qty FROM lagged) WHERE abundance IS NOT NULL AND lag12_log_qty IS NOT NULL",
 )
 def complete_cases(spark, sf_dir):
-    from lagloom.operators.features import complete_spine, log_lag_feature
-
-    panel = complete_spine(pa.supplier_months(spark, sf_dir).select("series_id", "t", "abundance"))
-    panel = log_lag_feature(panel, "abundance", 12, "lag12_log_qty")
-    return rounded(drop_incomplete(panel, ["abundance", "lag12_log_qty"]), 6, "lag12_log_qty")
+    panel = op.complete_spine(pa.supplier_months(spark, sf_dir).select("series_id", "t", "abundance"))
+    panel = op.log_lag_feature(panel, "abundance", 12, "lag12_log_qty")
+    return rounded(op.drop_incomplete(panel, ["abundance", "lag12_log_qty"]), 6, "lag12_log_qty")
 
 
 @query(
@@ -286,8 +294,6 @@ def arima_white(spark, sf_dir):
 @query("q_backtest_arima")
 def backtest_arima(spark, sf_dir):
     """Order-selecting fits of the segment series with the parity covariate."""
-    from lagloom.operators import features as op
-
     panel = op.with_tags(op.complete_spine(pa.segment_months(spark, sf_dir)), "segment")
     panel = op.parity(op.log_lag_feature(panel, "n_orders", 1))
     names = ("lag1_log_n_orders", "pink_ind")
