@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from lagloom.sources.session import ship
+
 SLICE_BYTES = 4 << 20  # text bytes worked on at a time; one longer text makes a slice of its own
 
 
@@ -26,7 +28,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 def map_slices(df: DataFrame, schema: str, column: str, make: Callable[[], Callable], limit: int = SLICE_BYTES):
     """``make()`` once per task, then its result on every slice; it returns ``{name: values}`` or None."""
-    names = [part.split()[0] for part in schema.replace("<", " <").split(", ")]
+    names = [part.split()[0] for part in schema.split(", ")]
+    ship(df.sparkSession)
 
     def run(batches):
         work = make()
@@ -39,6 +42,19 @@ def map_slices(df: DataFrame, schema: str, column: str, make: Callable[[], Calla
     return df.mapInArrow(run, schema)
 
 
+def filter_slices(df: DataFrame, column: str, make: Callable[[], Callable], limit: int = SLICE_BYTES) -> DataFrame:
+    """The rows of ``df``, all columns, for which ``make()``'s result on a slice is true."""
+
+    ship(df.sparkSession)
+
+    def run(batches):
+        work = make()
+        for batch in slices(batches, column, limit):
+            yield batch.filter(pa.array(work(batch)))
+
+    return df.mapInArrow(run, df.schema)
+
+
 def lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     """``values[starts[i]:starts[i + 1]]`` as a list column."""
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values))

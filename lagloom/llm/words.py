@@ -76,10 +76,11 @@ def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bo
 class Words:
     """Word hashes of a batch; ``first[i]:first[i + 1]`` are the words of text ``i``."""
 
-    def __init__(self, texts: pa.Array, lower: bool = True):
+    def __init__(self, texts: pa.Array, lower: bool = True, hashed: bool = True):
         self.buf, self.offsets = text_buffer(texts)
         self.starts, self.ends, self.first = word_spans(self.buf, self.offsets)
-        self.hashes = word_hashes(self.buf, self.starts, self.ends, lower)
+        if hashed:
+            self.hashes = word_hashes(self.buf, self.starts, self.ends, lower)
         self.counts = np.diff(self.first)
 
     def grams(self, k: int) -> np.ndarray:
@@ -115,10 +116,12 @@ class Words:
 
 
 def distinct(text: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """``value`` sorted and without repeats within each text; ``text`` ascends."""
     if not len(text):
         return text, value
-    order = np.lexsort((value, text))
-    text, value = text[order], value[order]
+    value, heads = value.copy(), np.searchsorted(text, np.arange(n + 1)).tolist()
+    for a, b in zip(heads, heads[1:]):
+        value[a:b].sort()
     keep = np.ones(len(text), bool)
     keep[1:] = (text[1:] != text[:-1]) | (value[1:] != value[:-1])
     return text[keep], value[keep]
