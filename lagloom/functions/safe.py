@@ -22,8 +22,8 @@ def ratio(a: str | Column, b: str | Column) -> Column:
 
 
 def present(c: str | Column) -> Column:
-    """``c`` with NaN read as missing."""
-    return F.when(~F.isnan(col(c)), col(c))
+    """``c`` with NaN and infinite values read as missing."""
+    return F.when(~F.isnan(col(c)) & (F.abs(col(c)) < float("inf")), col(c))
 
 
 def spread(df: DataFrame, *columns: str, partitions: int | None = None) -> DataFrame:

@@ -104,8 +104,16 @@ def fitted_values(
     keys: str | Iterable[str] = KEYS,
     time: str = "t",
 ) -> DataFrame:
-    """In-sample values of linear fits: each fit applied to its training rows."""
+    """In-sample values of linear fits: each fit applied to its training rows.
+
+    Fits with terms that are no column of ``df`` (autoregressive, moving
+    average, drift) have no value there: the query fails rather than return NULL.
+    """
     keys = as_list(keys)
+    known = F.array(F.lit("intercept"), *[F.lit(c) for c in df.columns])
+    stray = F.filter(F.map_keys("coef"), lambda c: ~F.array_contains(known, c))
+    message = F.concat(F.lit("no fitted values for fits with "), F.array_join(stray, ", "))
+    forecasts = forecasts.withColumn("coef", F.when(F.size(stray) > 0, F.raise_error(message).cast("map<string,double>")).otherwise(F.col("coef")))
     fits = forecasts.filter(F.col("error").isNull()).select(
         *keys, F.col(time).alias("target"), "model", "coef"
     )

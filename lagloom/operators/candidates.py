@@ -10,6 +10,8 @@ from math import comb
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lagloom.functions.safe import spread
+
 
 @dataclass(frozen=True)
 class Candidates:
@@ -48,11 +50,16 @@ class Candidates:
     def count(self) -> int:
         return sum(comb(len(self.covariates), s) for s in self.sizes) + self.with_null
 
-    def pair(self, df: DataFrame) -> DataFrame:
-        """Every row with every candidate: adds ``model``, ``positions``, ``covariates``."""
+    def pair(self, df: DataFrame, spread_by: Sequence[str] | None = None) -> DataFrame:
+        """Every row with every candidate: adds ``model``, ``positions``, ``covariates``.
+
+        ``spread_by`` deals the rows out by those columns and the first
+        position before the subsets grow further, so that the candidates of
+        one row are worked on by many tasks.
+        """
         n = len(self.covariates)
         out = df.withColumn("positions", F.array().cast("array<int>")).withColumn("_open", F.lit(True))
-        for _ in range(self.sizes[-1] if self.sizes else 0):
+        for step in range(self.sizes[-1] if self.sizes else 0):
             first = F.coalesce(F.try_element_at("positions", F.lit(-1)) + 1, F.lit(0))
             later = F.when(
                 F.col("_open") & (first < n), F.sequence(first, F.lit(n - 1))
@@ -67,6 +74,8 @@ class Candidates:
                     ),
                 )
             )
+            if spread_by and step == 0:
+                out = spread(out, *spread_by, "_next")
         size = F.size("positions")
         lowest = 0 if self.with_null else self.sizes[0]
         wanted = (size >= lowest) & ((size == 0) | (size >= (self.sizes[0] if self.sizes else 0)))

@@ -198,7 +198,12 @@ def clean_names(df: DataFrame) -> DataFrame:
 
 
 def drop_incomplete(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Complete cases over ``columns``; NaN counts as missing."""
-    return df.dropna(subset=list(columns)) if columns else df
+    """Complete cases over ``columns``; NaN and infinite values count as missing."""
+    if not columns:
+        return df
+    real = [c for c, kind in df.dtypes if c in columns and kind in ("double", "float")]
+    for c in real:
+        df = df.filter(present(c).isNotNull())
+    return df.dropna(subset=list(columns))
 
 

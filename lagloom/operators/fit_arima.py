@@ -157,15 +157,20 @@ def _unroll(batch, last, freq, first_period, seasonal, fixed_d) -> list[dict]:
             seen = ~np.isnan(known)
             fit = {"row": row, "y": known, "x": full_x, "steps": steps, "first": first, "k": k}
             fit["n"] = int(seen.sum())
-            fit["d"] = (0, 0)
+            fit["d"] = (0, 0) if fixed_d is None else (fixed_d, 0)
             if fit["n"] > k + 3:
-                fit["d"] = arma.choose_differences(known[seen], full_x[seen], freq, seasonal)
-            if fixed_d is not None:
-                fit["d"] = (fixed_d, 0)
+                fit["d"] = (fixed_d, 0) if fixed_d is not None else _differences(known[seen], full_x[seen], freq, seasonal)
             fits.append(fit)
     return fits
 
 
+def _differences(y, x, freq, seasonal) -> tuple[int, int]:
+    try:
+        return arma.choose_differences(y, x, freq, seasonal)
+    except np.linalg.LinAlgError:
+        return (0, 0)  # the fit itself reports what is wrong with the design
+
+
 def _grouped(fits: list[dict]):
     shapes: dict[tuple[int, int, int], list[dict]] = {}
     for f in fits:
@@ -195,19 +200,25 @@ def _best_orders(fits, search, k, d, sd, m, keys, batch) -> list[tuple]:
     params = np.array([sum(o) + k + t + 1 for o, t in variants])
     count = seen.sum(axis=1) - len(delta)
     task, variant = np.nonzero(varies[:, None] & (count[:, None] > params[None, :] + 1))
-    best, message = {}, "too few observations"
+    best, failure = {}, {}
     try:
         if len(task):
             best = _least_aicc(w, seen, task, variant, used, free, params, largest, m, delta)
-    except np.linalg.LinAlgError as problem:
-        message = str(problem)
+    except np.linalg.LinAlgError:
+        # one system without a solution must not touch the others
+        for one in np.unique(task):
+            own = task == one
+            try:
+                best |= _least_aicc(w, seen, task[own], variant[own], used, free, params, largest, m, delta)
+            except np.linalg.LinAlgError as problem:
+                failure[int(one)] = str(problem)
     out = []
     for i, f in enumerate(fits):
         row = batch.iloc[f["row"]]
         key = tuple(row[c] for c in keys)
         for step in f["steps"]:
             if i not in best:
-                text = message if varies[i] else "singular design"
+                text = failure.get(i, "too few observations") if varies[i] else "singular design"
                 out.append((*key, step, row["model"], None, None, None, None, None, None, f["n"], text))
                 continue
             b, at = best[i], step - f["first"]

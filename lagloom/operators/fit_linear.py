@@ -30,13 +30,15 @@ def moments(
     value: str = "abundance",
     cross: bool = False,
     over: WindowSpec | None = None,
+    level: Column | None = None,
 ) -> list[Column]:
-    """Sums over the rows with a defined ln(value), aggregated or over a window.
+    """Sums over the rows with a defined ln(value), less ``level``, aggregated or over a window.
 
     ``sxx`` is the packed upper triangle of the cross products with ``cross``,
     else its diagonal, which is all that models of one covariate need.
     """
     y = F.ln(present(F.col(value).cast("double")))
+    y = y - level if level is not None else y
     xs = [F.when(y.isNotNull(), F.col(c).cast("double")) for c in covariates]
 
     def total(term: Column) -> Column:
@@ -61,6 +63,34 @@ def moments(
     ]
 
 
+def centred(rows: DataFrame, covariates: Sequence[str], value: str, keys: Sequence[str]) -> DataFrame:
+    """Covariates less their series' mean, which ``_centre`` holds, ``_level`` being that of ln(value).
+
+    Sums of products of values far from zero lose the digits in which the
+    values differ; the fits are the same after the shift.  Rows of a series
+    share the partitioning of the windows that follow.
+    """
+    whole = Window.partitionBy(*keys)
+    logged = F.ln(present(F.col(value).cast("double")))
+    means = [F.avg(F.col(c).cast("double")).over(whole) for c in covariates]
+    rows = rows.withColumns(
+        {
+            "_centre": F.array(*means) if means else F.array().cast("array<double>"),
+            "_level": F.coalesce(F.avg(logged).over(whole), F.lit(0.0)),
+        }
+    )
+    return rows.withColumns({c: F.col(c) - F.get("_centre", F.lit(i)) for i, c in enumerate(covariates)})
+
+
+def uncentred(coef: Column, positions: Column | str = "positions") -> Column:
+    """Coefficients of the values as they were: the shift moves the intercept alone."""
+    slopes = F.slice(coef, F.lit(2), F.greatest(F.size(coef) - 1, F.lit(0)))
+    shift = F.aggregate(
+        F.zip_with(slopes, positions, lambda b, p: b * F.get("_centre", p)), F.lit(0.0), lambda acc, v: acc + v
+    )
+    return F.when(coef.isNotNull(), F.concat(F.array(F.get(coef, F.lit(0)) + F.col("_level") - shift), slopes))
+
+
 def solve(df: DataFrame, n_covariates: int, max_vars: int, targets: bool = True) -> DataFrame:
     """Least squares of each row's ``positions`` from its sums.
 
@@ -78,9 +108,11 @@ def solve(df: DataFrame, n_covariates: int, max_vars: int, targets: bool = True)
     n, k = F.col("n_obs"), F.size("positions")
     params = k + 2
     spread = F.col("syy") - F.col("sy") * F.col("sy") / F.when(n > 0, n)
+    finite = present("rss").isNotNull() & F.forall("coef", lambda b: present(b).isNotNull())
     error = (
         F.when(n <= params + 1, F.lit("too few observations"))
         .when(F.col("coef").isNull(), F.lit("singular design"))
+        .when(~finite, F.lit("not finite"))
         .when(F.col("rss") <= 1e-12 * spread, F.lit("perfect fit"))
     )
     fitted = fitted.withColumn("error", error)
@@ -215,7 +247,7 @@ def intervals(fits: DataFrame, variance: str = "sigma2") -> DataFrame:
 def fit_linear(
     df: DataFrame,
     candidates: Candidates,
-    last: int,
+    last: int | None,
     keys: str | Iterable[str] = KEYS,
     time: str = "t",
     value: str = "abundance",
@@ -226,10 +258,10 @@ def fit_linear(
     partitions: int | None = None,
     carry: Sequence[str] = (),
 ) -> DataFrame:
-    """One-step forecasts of every model for the last ``last`` times of each series.
+    """One-step forecasts of every model for the last ``last`` times of each series (None: all).
 
-    ``always`` are covariates in every model; ``ar=1`` adds the lagged log
-    response to them.  ``partitions`` overrides the number of tasks;
+    ``always`` are covariates in every model; ``ar`` adds that many lags of the
+    log response to them.  ``partitions`` overrides the number of tasks;
     ``carry`` names columns of the forecast row to keep.  With
     ``freq=2`` a row is a (time, period): starting from period 1 both periods of
     the target time are forecast from earlier times, starting from period 2 only
@@ -243,11 +275,12 @@ def fit_linear(
         if freq > 1 and first_period == 1:
             raise ValueError("the lagged response is unknown for the second step")
         ordered = Window.partitionBy(*keys).orderBy("_step")
-        rows = rows.withColumn("_lag_log", F.lag(F.ln(value)).over(ordered))
-        always = [*always, "_lag_log"]
+        lags = {f"_lag_log{j}" if j > 1 else "_lag_log": F.lag(F.ln(value), j).over(ordered) for j in range(1, ar + 1)}
+        rows = rows.withColumns(lags)
+        always = [*always, *lags]
     pool = [*candidates.covariates, *always]
     # Every row becomes one task per candidate below, so spread rows by count, not bytes.
-    rows = spread(drop_incomplete(rows, pool), *keys, partitions=partitions)
+    rows = centred(spread(drop_incomplete(rows, pool), *keys, partitions=partitions), pool, value, keys)
     frame_time = time if first_period == 1 else "_step"
     past = Window.partitionBy(*keys).orderBy(frame_time).rangeBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -259,12 +292,17 @@ def fit_linear(
         *tags,
         *carry,
         (F.array(*[F.col(c).cast("double") for c in pool]) if pool else F.array().cast("array<double>")).alias("x"),
-        *moments(pool, value, cross=size > 1, over=past),
+        "_centre",
+        "_level",
+        *moments(pool, value, cross=size > 1, over=past, level=F.col("_level")),
         F.max(time).over(whole).alias("_max"),
-    ).filter(F.col(time) > F.col("_max") - last)
+    )
+    if last is not None:
+        folds = folds.filter(F.col(time) > F.col("_max") - last)
     if freq > 1:
         folds = folds.filter(F.col("period") >= first_period)
-    tasks = candidates.pair(folds)
+    # Larger models are solved in Python; a series' fits then go to many tasks.
+    tasks = candidates.pair(folds, spread_by=[*keys, time, *tags] if size > 1 else None)
     if always:
         first = len(candidates.covariates)
         extra = F.array(*[F.lit(first + i) for i in range(len(always))])
@@ -274,8 +312,9 @@ def fit_linear(
                 "covariates": F.concat("covariates", F.array(*[F.lit(c) for c in always])),
             }
         )
-    fits = intervals(solve(tasks, len(pool), size))
-    order = F.array(*[F.lit(v) for v in (0, 0, 0, 0, freq, 0, 0)])
+    fits = solve(tasks, len(pool), size)
+    fits = intervals(fits.withColumns({"mu": F.col("mu") + F.col("_level"), "coef": uncentred(F.col("coef"))}))
+    order = F.array(*[F.lit(v) for v in (ar, 0, 0, 0, freq, 0, 0)])
     names = F.concat(F.array(F.lit("intercept")), "covariates")
     return fits.select(
         *keys,
@@ -295,3 +334,29 @@ def fit_linear(
         "error",
         *carry,
     )
+
+
+def fit_ar(
+    df: DataFrame,
+    candidates: Candidates,
+    last: int | None,
+    max_p: int = 2,
+    keys: str | Iterable[str] = KEYS,
+    time: str = "t",
+    **options,
+) -> DataFrame:
+    """``fit_linear`` with 0 to ``max_p`` lags of the log response, the number chosen per fit by least AICc.
+
+    A fit is one (series, target, model).  All orders solve their systems from
+    the same kind of sums; the choice is an ordinary aggregate.  A fit for
+    which every order fails keeps the failure of the smallest.
+    """
+    orders = [fit_linear(df, candidates, last, keys=keys, time=time, ar=p, **options) for p in range(max_p + 1)]
+    every = orders[0]
+    for more in orders[1:]:
+        every = every.unionByName(more)
+    on = [*as_list(keys), time, *[c for c in ("period",) if c in every.columns], "model"]
+    rest = [c for c in every.columns if c not in on]
+    rank = F.struct(F.col("error").isNotNull(), F.col("aicc"), F.get("order", F.lit(0)))
+    best = every.groupBy(*on).agg(F.min_by(F.struct(*rest), rank).alias("_best"))
+    return best.select(*on, "_best.*").select(*every.columns)

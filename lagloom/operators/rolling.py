@@ -17,9 +17,6 @@ from lagloom.functions.safe import as_list, per_key, ratio, spread
 from lagloom.operators.candidates import Candidates
 from lagloom.operators.features import KEYS
 
-# Candidate tables of more rows than this are joined without a broadcast.
-BROADCAST_MODELS = 100_000
-
 
 def with_obs(
     forecasts: DataFrame,
@@ -30,7 +27,7 @@ def with_obs(
 ) -> DataFrame:
     """Observations on forecasts; joins on the period as well where both have one."""
     on = [*as_list(keys), time]
-    if "period" in forecasts.columns and "period" in series.columns:
+    if "period" in forecasts.columns and "period" in series.columns and "period" not in on:
         on.append("period")
     return forecasts.drop(value).join(series.select(*on, value), on, "left")
 
@@ -206,11 +203,8 @@ def top_models(
 
 
 def with_names(fc: DataFrame, candidates: Candidates) -> DataFrame:
-    """Model names; the table is broadcast where its known row count allows it."""
-    names = candidates.table(fc.sparkSession).select("model", "model_name")
-    if candidates.count <= BROADCAST_MODELS:
-        names = F.broadcast(names)
-    return fc.join(names, "model", "left")
+    """Model names; how to join the table is left to the optimizer."""
+    return fc.join(candidates.table(fc.sparkSession).select("model", "model_name"), "model", "left")
 
 
 def best_individual(top: DataFrame, keys: str | Iterable[str] = KEYS, time: str = "t") -> DataFrame:

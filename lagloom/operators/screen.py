@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lagloom.functions.safe import as_list
 from lagloom.operators.candidates import Candidates, with_labels
 from lagloom.operators.features import KEYS, drop_incomplete
-from lagloom.operators.fit_linear import moments, solve
+from lagloom.operators.fit_linear import centred, moments, solve
 
 
 def screen_subsets(
@@ -25,6 +26,8 @@ def screen_subsets(
     """
     keys, names = as_list(keys), list(candidates.covariates)
     complete = drop_incomplete(df, [value, *names])
-    sums = complete.groupBy(*keys).agg(*moments(names, value, cross=candidates.max_vars > 1))
-    fits = solve(candidates.pair(sums), len(names), candidates.max_vars, targets=False)
+    complete = centred(complete, names, value, keys)
+    sums = complete.groupBy(*keys).agg(*moments(names, value, cross=candidates.max_vars > 1, level=F.col("_level")))
+    tasks = candidates.pair(sums, spread_by=keys if candidates.max_vars > 1 else None)
+    fits = solve(tasks, len(names), candidates.max_vars, targets=False)
     return with_labels(fits).select(*keys, "model", "formula", "n_obs", "aicc")

@@ -167,7 +167,7 @@ def label_errors(fc: DataFrame) -> DataFrame:
 
 
 def stack_ensemble(fc: DataFrame, weights: DataFrame, keys: str | Iterable[str], time: str = "year") -> DataFrame:
-    """Model rows plus one ``ensemble`` row per year, weights attached to all.
+    """Model rows plus one ``ensemble`` row per year and period, weights attached to all.
 
     ``weights`` has keys, ``model`` and ``stacking_weight``; a missing weight or
     value makes that ensemble value NULL.
@@ -180,7 +180,7 @@ def stack_ensemble(fc: DataFrame, weights: DataFrame, keys: str | Iterable[str],
         return F.when(F.count(term) == F.count(F.lit(1)), F.sum(term)).alias(c)
 
     combined = (
-        weighted.groupBy(*keys, time)
+        weighted.groupBy(*keys, time, *[c for c in ("period",) if c in fc.columns])
         .agg(
             *[total(c) for c in VALUES],
             F.max("abundance").alias("abundance"),

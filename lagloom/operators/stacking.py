@@ -6,7 +6,7 @@ number of eligible models, both parameters; it never grows with the data.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -96,9 +96,9 @@ def pair_simplex(stacked: DataFrame, steps: int) -> DataFrame:
 
 
 def score_weights(
-    paired: DataFrame, metric: str = "MAPE", keys: str | Iterable[str] = KEYS
+    paired: DataFrame, metric: str | Sequence[str] = "MAPE", keys: str | Iterable[str] = KEYS
 ) -> DataFrame:
-    """The metric of every (stack row, ``cand``, ``weights``).
+    """The metric of every (stack row, ``cand``, ``weights``) as ``score``; of several, each as ``<name>_score``.
 
     The sums are combined on the map side, one result per (row, candidate).
     """
@@ -107,7 +107,8 @@ def score_weights(
     mixed = F.aggregate(
         F.zip_with("r.preds", "weights", lambda p, w: p * w), F.lit(0.0), lambda acc, v: acc + v
     )
-    return points.groupBy(*by, "cand").agg(BY_NAME[metric](F.col("r.obs"), mixed).alias("score"))
+    wanted = {"score": metric} if isinstance(metric, str) else {f"{m.lower()}_score": m for m in metric}
+    return points.groupBy(*by, "cand").agg(*[BY_NAME[m](F.col("r.obs"), mixed).alias(c) for c, m in wanted.items()])
 
 
 def best_candidate(scores: DataFrame, keys: str | Iterable[str] = KEYS) -> DataFrame:
@@ -135,6 +136,7 @@ def find_stack_weights(
     Returns keys, target, models, weights, score and the score history.
     """
     keys = as_list(keys)
+    metric = "MSA_MEDIAN" if metric == "MSA" else metric  # the search has always meant the median by that name
     if metric not in BY_NAME:
         raise ValueError(f"unknown metric {metric}")
     key_seed = F.xxhash64(*[F.col(k).cast("string") for k in keys], F.col("target"))
@@ -151,46 +153,60 @@ def find_stack_weights(
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            chains = [
-                _chain(np.asarray(o, float), np.stack([np.asarray(r, float) for r in p]), int(s))
-                for o, p, s in zip(batch["obs"], batch["preds"], batch["_seed"])
-            ]
-            found = pd.DataFrame(chains, columns=["weights", "score", "history"])
+            found = pd.DataFrame({"weights": None, "score": np.nan, "history": None}, index=range(len(batch)), dtype=object)
+            sizes = batch["preds"].map(lambda p: (len(p), len(p[0]) if len(p) else 0)).to_numpy()
+            for shape in sorted(set(sizes)):
+                rows = np.flatnonzero([x == shape for x in sizes])
+                if min(shape) < 1:
+                    continue
+                obs = np.stack(batch["obs"].iloc[rows]).astype(float)
+                preds = np.array([[list(r) for r in p] for p in batch["preds"].iloc[rows]], float)
+                for i, chain in zip(rows, _chains(obs, preds, batch["_seed"].iloc[rows].to_numpy())):
+                    found.iloc[i] = chain
+            found["score"] = found["score"].astype(float)
             yield pd.concat([batch[kept].reset_index(drop=True), found], axis=1)
 
-    def score(obs: np.ndarray, pred: np.ndarray) -> float:
+    def score(obs: np.ndarray, pred: np.ndarray) -> np.ndarray:
+        """Of every chain: rows are chains, columns its observed times."""
         relative = (pred - obs) / obs
         if metric == "RMSE":
-            return float(np.sqrt(np.mean((obs - pred) ** 2)))
+            return np.sqrt(np.mean((obs - pred) ** 2, axis=1))
         if metric == "MAPE":
-            return float(100 * np.mean(np.abs(relative)))
+            return 100 * np.mean(np.abs(relative), axis=1)
         if metric == "MPE":
-            return float(np.mean(relative))
+            return np.mean(relative, axis=1)
         log_ratio = np.abs(np.log(obs / pred))
-        centre = np.median(log_ratio) if metric == "MSA_MEDIAN" else np.mean(log_ratio)
-        return float(100 * (np.exp(centre) - 1))
-
-    def _chain(obs: np.ndarray, preds: np.ndarray, key: int):
-        rng = np.random.default_rng([seed, key & 0xFFFFFFFFFFFFFFFF])
-        current = best = np.full(preds.shape[1], 1 / preds.shape[1])
+        centre = np.median(log_ratio, axis=1) if metric == "MSA_MEDIAN" else np.mean(log_ratio, axis=1)
+        return 100 * (np.exp(centre) - 1)
+
+    def _chains(obs: np.ndarray, preds: np.ndarray, seeds: np.ndarray):
+        """All chains of one shape, stepped together; each draws from its own generator."""
+        count, _, k = preds.shape
+        mixed = lambda w, own: np.matmul(preds[own], w[:, :, None])[:, :, 0]
+        draws = [np.random.default_rng([seed, int(s) & 0xFFFFFFFFFFFFFFFF]) for s in seeds]
+        best = np.full((count, k), 1 / k)
+        current, idle = best.copy(), np.ones(count, int)
         with np.errstate(all="ignore"):
-            least = score(obs, preds @ current)
-        if not np.isfinite(least):
-            return None, None, None
-        history, idle = [least], 1
-        while idle < patience:
-            draw = rng.standard_gamma(current * tau + 0.01)
-            total = draw.sum()
-            proposal = draw / total if total > 0 else best
-            value = score(obs, preds @ proposal)
-            if value < least:
-                least, best, idle = value, proposal, 1
-            else:
-                idle += 1
-            history.append(least)
-            keep = value != 0 and rng.random() < least / value
-            current = proposal if keep else best
-        return best, least, history
+            least = score(obs, mixed(best, slice(None)))
+            history = [[v] for v in least]
+            own = np.flatnonzero(np.isfinite(least) & (idle < patience))
+            while len(own):
+                raw = np.stack([draws[i].standard_gamma(a) for i, a in zip(own, current[own] * tau + 0.01)])
+                toss = np.array([draws[i].random() for i in own])
+                total = raw.sum(axis=1, keepdims=True)
+                proposal = np.where(total > 0, raw / total, best[own])
+                value = score(obs[own], mixed(proposal, own))
+                better = value < least[own]
+                least[own] = np.where(better, value, least[own])
+                best[own] = np.where(better[:, None], proposal, best[own])
+                idle[own] = np.where(better, 1, idle[own] + 1)
+                keep = (value != 0) & (toss < least[own] / value)
+                current[own] = np.where(keep[:, None], proposal, best[own])
+                for i, v in zip(own.tolist(), least[own].tolist()):
+                    history[i].append(v)
+                own = own[idle[own] < patience]
+        for i in range(count):
+            yield (best[i], least[i], history[i]) if np.isfinite(least[i]) else (None, np.nan, None)
 
     return spread(tasks, *keys, "target").mapInPandas(search, result)
 

@@ -89,9 +89,12 @@ def forecast(
     The backtest spans ``years + slide`` origins.  ``supplied`` forecasts replace
     the fitting; with ``update_last_year`` the last two origins are refitted and
     replace theirs.  Fits and ranked forecasts, which feed every result, are
-    written once to the shared folder; the results themselves are lazy.
+    written once to the shared folder; the results themselves are lazy.  With
+    ``freq=2`` the results have ``period`` among their keys.
     """
     keys = as_list(keys)
+    # with two periods a time has two forecasts, and each period is scored, ranked and combined by itself
+    by = [*keys, "period"] if fit_options.get("freq", 1) > 1 else keys
     models = candidates.table(df.sparkSession)
     errors = None
     if supplied is None or update_last_year:
@@ -106,23 +109,23 @@ def forecast(
     else:
         fc = supplied
     series = df.select(*keys, time, *[c for c in ("period",) if c in df.columns], "abundance")
-    observed = fc if supplied is None else ro.with_obs(fc, series, keys, time)
+    observed = fc if supplied is None else ro.with_obs(fc, series, by, time)
     ranked = cut_lineage(
-        score(observed, years, slide, alpha, metric, stretch, keys, time), "ranked"
+        score(observed, years, slide, alpha, metric, stretch, by, time), "ranked"
     )
-    top = ro.with_names(ro.top_models(ranked, n, years, keys, time), candidates)
-    performance = ro.best_individual(top, keys, time)
+    top = ro.with_names(ro.top_models(ranked, n, years, by, time), candidates)
+    performance = ro.best_individual(top, by, time)
     stack_weights = None
     if stacking:
-        stacked = st.stack_input(ranked, years, n, slide, keys, time)
-        found = st.find_stack_weights(stacked, stack_metric, patience, seed=seed, keys=keys)
-        stack_weights = cut_lineage(st.weight_rows(found, keys), "stacking")
+        stacked = st.stack_input(ranked, years, n, slide, by, time)
+        found = st.find_stack_weights(stacked, stack_metric, patience, seed=seed, keys=by)
+        stack_weights = cut_lineage(st.weight_rows(found, by), "stacking")
     weights, ensembles = en.ensemble(
-        ranked, years, n, slide, k, alpha, stretch, stack_weights, keys, time
+        ranked, years, n, slide, k, alpha, stretch, stack_weights, by, time
     )
-    skill = en.ensemble_skill(ranked, ensembles, years, keys, time)
-    table = rp.skill_table(performance, skill, benchmark, keys)
-    shown = rp.candidate_forecasts(top, ensembles, keys, time)
+    skill = en.ensemble_skill(ranked, ensembles, years, by, time)
+    table = rp.skill_table(performance, skill, benchmark, by)
+    shown = rp.candidate_forecasts(top, ensembles, by, time)
     return ForecastRun(
         models=models,
         forecasts=fc,
@@ -130,13 +133,13 @@ def forecast(
         all_models=ranked,
         top_models=top,
         performance=performance,
-        weights=en.final_weights(weights, keys, time),
+        weights=en.final_weights(weights, by, time),
         ensembles=ensembles,
         skill=skill,
-        summary=en.model_summary(ranked, ensembles, weights, years, keys, time),
+        summary=en.model_summary(ranked, ensembles, weights, years, by, time),
         skill_table=table,
-        best_by_year=rp.best_by_year(top, keys, time),
-        chosen=rp.chosen_forecasts(shown, rp.choose_scheme(table, keys), keys, time),
+        best_by_year=rp.best_by_year(top, by, time),
+        chosen=rp.chosen_forecasts(shown, rp.choose_scheme(table, by), by, time),
     )
 
 

@@ -14,7 +14,7 @@ from lagloom.operators import stacking as st
 from lagloom.operators.backtest import failed, succeeded
 from lagloom.operators.candidates import Candidates
 from lagloom.operators.features import drop_incomplete
-from lagloom.operators.fit_arima import fit_arima
+from lagloom.operators.fit_linear import fit_ar
 from lagloom.sources.writers import cut_lineage
 
 
@@ -93,7 +93,7 @@ def inseason_backtest(
     stack_metric: str = "MAPE",
     patience: int = 500,
     seed: int = 123,
-    fitter: Callable[..., DataFrame] = fit_arima,
+    fitter: Callable[..., DataFrame] = fit_ar,
     keys: str | Iterable[str] = ("species",),
     **fit_options,
 ) -> tuple[DataFrame, DataFrame]:

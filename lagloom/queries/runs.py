@@ -9,7 +9,7 @@ from lagloom.operators import report as rp
 from lagloom.operators import rolling as ro
 from lagloom.operators import tuning as tu
 from lagloom.plans.forecast import forecast
-from lagloom.plans.refresh import upsert, write_refresh
+from lagloom.plans.refresh import refresh as refresh_table
 from lagloom.queries import panels as pa
 from lagloom.queries import sql
 from lagloom.queries.registry import query, rounded, shown
@@ -254,9 +254,9 @@ def refresh_store(spark, sf_dir):
     """A stored table whose touched time partitions alone are rewritten."""
     path = writers.scratch_path(spark, "store")
     everything = fits(spark, sf_dir).select("series_id", "t", "model", *FIT_COLUMNS, "aicc")
-    stale = everything.withColumn("aicc", F.when(F.col("t") < 24022, F.col("aicc")))
+    end = everything.agg(F.max("t")).first()[0] or 0  # the refit replaces the last two times
+    stale = everything.withColumn("aicc", F.when(F.col("t") < end - 1, F.col("aicc")))
     stale.write.partitionBy("t").parquet(f"{path}/forecasts")
-    new = everything.filter(F.col("t") >= 24022)
-    merged = upsert(readers.read_forecasts(spark, f"{path}/forecasts"), new)
-    write_refresh(writers.cut_lineage(merged, "merged"), new, f"{path}/forecasts")
+    new = everything.filter(F.col("t") >= end - 1)
+    refresh_table(readers.read_forecasts(spark, f"{path}/forecasts"), new, f"{path}/forecasts")
     return _fit_view(readers.read_forecasts(spark, f"{path}/forecasts"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lagloom.operators import season as se
 from lagloom.operators.candidates import Candidates
+from lagloom.operators.fit_linear import fit_ar
 from lagloom.plans.inseason import inseason_backtest, prepare_season
 from lagloom.queries import panels as pa
 from lagloom.queries.registry import query, rounded
@@ -223,12 +224,9 @@ def inseason(spark, sf_dir):
     fc, _ = inseason_backtest(
         prepared,
         Candidates(("odd",), 0, 1, include_null=True),
-        last=3,
+        last=5,
         first_period=2,
         period1_only=["odd"],
-        patience=200,
-        seasonal=True,
-        max_p=1,
-        max_q=0,
+        fitter=fit_ar,
     )
     return fc.select("species", "year", "model", "predicted_abundance", "lo_95", "hi_95", "abundance", "stacking_weight")

@@ -39,8 +39,8 @@ def write_results(
 def write_tasks(forecasts: DataFrame, path: str, origin: str = "origin_year", time: str = "t") -> None:
     """One folder per (origin, model) and a combined table beside them."""
     labelled = forecasts.withColumn(origin, F.col(time) - 1)
-    spread = labelled.repartition(origin, "model")
-    spread.write.mode("overwrite").partitionBy(origin, "model").parquet(f"{path}/by_task")
+    # rows of a folder meet in few tasks, but a large folder is split over several
+    labelled.hint("rebalance", origin, "model").write.mode("overwrite").partitionBy(origin, "model").parquet(f"{path}/by_task")
     labelled.write.mode("overwrite").parquet(f"{path}/combined")
 
 
