@@ -12,6 +12,9 @@ start every ``u``: an occurrence of the item lies whole in one of them, whose
 similarity is then bounded from below whatever the document's length.  Passages
 and items get one-permutation MinHash values (a slot and a rank from one hash);
 one equal slot makes a candidate, which the exact containment confirms or drops.
+Items of at most ``SMALL`` shingles are their own sketch: any of them makes a
+candidate.  A larger item that is contained shares no slot with the passage with
+a probability of at most 3e-7.
 
 Only items are broadcast, in blocks of at most ``BLOCK`` shingles, and every
 block is held against all documents.
@@ -27,19 +30,42 @@ from pyspark.sql import functions as F
 from lagloom.llm.arrow import filter_slices, map_slices
 from lagloom.llm.words import U64, Words, mix
 
-SLOTS = 64
+SLOTS = 128
 BLOCK = 1 << 20  # item shingles of one block: 16 MB of sets and signatures
-LEAST_SIZE = 32  # items of up to so many shingles share one partition
+SMALL, LEAST_SIZE = 16, 32  # the first two partitions: items of up to so many shingles
+NONE = np.iinfo(np.uint64).max
 
 
 def one_permutation(group: np.ndarray, value: np.ndarray, groups: int) -> np.ndarray:
     """MinHash values ``[groups, SLOTS]``; an empty slot holds the largest number."""
     drawn = mix(value ^ U64(0x5851F42D4C957F2D))
-    sig = np.full(groups * SLOTS, np.iinfo(np.uint64).max, U64)
+    sig = np.full(groups * SLOTS, NONE, U64)
     np.minimum.at(sig, group * SLOTS + (drawn & U64(SLOTS - 1)).astype(np.int64), drawn)
     return sig.reshape(groups, SLOTS)
 
 
+class Lookup:
+    """Owners of keys; a table of key bits turns most strangers away before the search."""
+
+    def __init__(self, keys: np.ndarray, owner: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], owner[order]
+        self.seen = np.zeros(1 << 20, bool)
+        self.seen[self._bits(keys)] = True
+
+    def _bits(self, keys: np.ndarray) -> np.ndarray:
+        return (keys >> U64(40)).astype(np.int64) & 0xFFFFF
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place in ``keys``, owner) of every match."""
+        may = np.flatnonzero(self.seen[self._bits(keys)])
+        keys = keys[may]
+        lo, hi = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, side="right")
+        many = hi - lo
+        at = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        return np.repeat(may, many), self.owner[at]
+
+
 class Items:
     """Shingle sets and signatures of one block of items, by size partition."""
 
@@ -47,45 +73,40 @@ class Items:
         self.ids = np.array(ids, dtype=np.int64)
         text, value = Words(pa.array(texts, pa.large_string())).distinct_shingles(words)
         self.size = np.bincount(text, minlength=len(ids))
-        order = np.argsort(value, kind="stable")
-        self.value, self.item = value[order], text[order]
+        self.value, self.item = value, text
+        self.lookup = Lookup(value, text)
         sig = one_permutation(text, value, len(ids))
         bound = LEAST_SIZE << np.ceil(np.log2(np.maximum(self.size, 1) / LEAST_SIZE)).clip(0).astype(np.int64)
-        self.parts = []
-        for u in np.unique(bound[self.size > 0]):
-            own = np.flatnonzero((bound == u) & (self.size > 0))
+        bound[self.size <= SMALL] = 1
+        small = self.size[self.item] <= SMALL
+        self.parts = [(1, Lookup(self.value[small], self.item[small]))] if small.any() else []
+        for u in np.unique(bound[bound > 1]):
+            own = np.flatnonzero(bound == u)
             keys = sig[own].ravel()
-            owner = np.repeat(own, SLOTS)[keys != np.iinfo(np.uint64).max]
-            keys = keys[keys != np.iinfo(np.uint64).max]
-            order = np.argsort(keys, kind="stable")
-            self.parts.append((int(u), keys[order], owner[order]))
+            self.parts.append((int(u), Lookup(keys[keys != NONE], np.repeat(own, SLOTS)[keys != NONE])))
 
     def candidates(self, text: np.ndarray, inner: np.ndarray, value: np.ndarray) -> np.ndarray:
         """(text, item) pairs with an equal slot in some passage."""
-        found = []
-        for u, keys, owner in self.parts:
+        found = [np.zeros((0, 2), np.int64)]
+        for u, lookup in self.parts:
+            if u == 1:
+                at, item = lookup(value)
+                found.append(np.stack((text[at], item), axis=1))
+                continue
             step = inner // u
             head = np.ones(len(text), bool)
             head[1:] = (text[1:] != text[:-1]) | (step[1:] != step[:-1])
-            half = np.cumsum(head) - 1
             of = text[head]
-            sig = one_permutation(half, value, len(of))
+            sig = one_permutation(np.cumsum(head) - 1, value, len(of))
             same = of[1:] == of[:-1]  # a passage is a stretch of u shingles and the next one of its text
             sig[:-1][same] = np.minimum(sig[:-1][same], sig[1:][same])
-            sig, of = sig.ravel(), np.repeat(of, SLOTS)
-            lo, hi = np.searchsorted(keys, sig), np.searchsorted(keys, sig, side="right")
-            hit = np.flatnonzero((hi > lo) & (sig != np.iinfo(np.uint64).max))
-            many = (hi - lo)[hit]
-            at = np.repeat(lo[hit], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            found.append(np.stack((np.repeat(of[hit], many), owner[at]), axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            at, item = lookup(sig.ravel())
+            found.append(np.stack((of[at // SLOTS], item), axis=1))
+        return np.unique(np.concatenate(found), axis=0)
 
     def common(self, value: np.ndarray) -> np.ndarray:
         """Shingles of every item that are in the set ``value``."""
-        lo, hi = np.searchsorted(self.value, value), np.searchsorted(self.value, value, side="right")
-        many = hi - lo
-        at = np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        return np.bincount(self.item[at], minlength=len(self.ids))
+        return np.bincount(self.lookup(value)[1], minlength=len(self.ids))
 
 
 def contained(docs: DataFrame, items: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
