@@ -8,6 +8,7 @@ so scoring a whole panel takes one shuffle for each.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -67,49 +68,44 @@ def score_grid(
     of them are there), the window metrics count times back; the j-th back
     weighs (1 - alpha)^j.
 
-    Each row's recent past is unrolled and summed per (row, grid value).  The
-    grouping keys contain the partitioning of the frame, so the sums stay in the
-    task that unrolled them, in generated code, without another shuffle.
+    A row keeps its recent past as one array, which the grid is spread over;
+    the sums run over the array's ``rows`` places in generated code.  So there
+    is one shuffle, by (keys, model), and never more than rows x grid rows.
     """
     by = [*as_list(keys), "model", time]
     order = Window.partitionBy(*by[:-1]).orderBy(time)
-    carried = [c for c in fc.columns if c not in by]
-    entry = F.struct(F.row_number().over(order).alias("row"), past_entry(fc, time).alias("e"))
-    numbered = spread(fc, *by[:-1]).withColumn("_entry", entry)
-    past = F.collect_list("_entry").over(order.rowsBetween(-rows, -1))
-    pairs = (
-        numbered.withColumn("_past", past)
-        .select(*by, *carried, F.col("_entry.row").alias("_row"), F.explode_outer("_past").alias("_p"))
-        .select(
-            *by,
-            *carried,
-            (F.col("_row") - F.col("_p.row")).alias("_back"),
-            (F.col(time) - F.col("_p.e.at")).alias("_age"),
-            *[F.col(f"_p.e.{c}").alias(f"_{c}") for c in ("ape", "se", "alr", "aicc")],
-            F.explode(grid).alias("grid"),
-        )
-        .filter(F.expr(f"_back IS NULL OR _back <= {window}"))
-        .withColumns(
-            {
-                "_roll_w": F.expr(f"pow(1 - {alpha}, _back)"),
-                "_w": F.expr(f"IF(_age <= {window} AND _se IS NOT NULL, pow(1 - {alpha}, _age), NULL)"),
-            }
-        )
-    )
+    past = F.collect_list(past_entry(fc, time)).over(order.rowsBetween(-rows, -1))
+    kept = [*by, *[c for c in fc.columns if c not in by]]
+    wide = spread(fc, *by[:-1]).withColumn("_past", past).select(*kept, "_past", F.explode(grid).alias("grid"))
+    wide = wide.withColumns({f"_e{j}": F.try_element_at("_past", F.lit(-j)) for j in range(1, rows + 1)})
+    near = {j: F.expr(f"{j} <= {window}") & F.col(f"_e{j}").isNotNull() for j in range(1, rows + 1)}
+    age = {j: F.col(time) - F.col(f"_e{j}.at") for j in near}
+    used = {j: near[j] & (age[j] <= F.expr(window)) & F.col(f"_e{j}.se").isNotNull() for j in near}
+    wide = wide.withColumns({f"_w{j}": F.when(used[j], F.pow(F.expr(f"1 - {alpha}"), age[j])) for j in near})
+
+    def total(terms: Iterable[Column]) -> Column:
+        return reduce(Column.__add__, [F.coalesce(t.cast("double"), F.lit(0.0)) for t in terms])
 
     def mean(term: str) -> Column:
-        weight = F.when(F.col(term).isNotNull(), F.col("_w"))
-        return ratio(F.sum(F.col(term) * F.col("_w")), F.sum(weight))
-
-    roll = 100 * ratio(F.sum(F.col("_ape") * F.col("_roll_w")), F.sum("_roll_w"))
-    whole = F.count("_ape") == F.first(F.expr(window).cast("long"))
-    return pairs.groupBy(*by, "grid").agg(
-        *[F.first(c).alias(c) for c in carried],
+        value, weight = (lambda j: F.col(f"_e{j}.{term}")), (lambda j: F.col(f"_w{j}"))
+        shares = total(F.when(value(j).isNotNull(), weight(j)) for j in near)
+        return ratio(total(value(j) * weight(j) for j in near), shares)
+
+    back = {j: F.when(near[j], F.pow(F.expr(f"1 - {alpha}"), F.lit(j))) for j in near}
+    ape = {j: F.when(near[j], F.col(f"_e{j}.ape")) for j in near}
+    whole = total(ape[j].isNotNull() for j in near) == F.expr(window)
+    roll = 100 * ratio(total(ape[j] * back[j] for j in near), total(back.values()))
+    latest = F.lit(None).cast("double")
+    for j in reversed(near):
+        latest = F.when(F.col(f"_w{j}").isNotNull(), F.col(f"_e{j}.aicc")).otherwise(latest)
+    return wide.select(
+        *kept,
+        "grid",
         F.when(whole, roll).alias("mape"),
-        F.sqrt(mean("_se")).alias("w_rmse"),
-        mean("_ape").alias("w_mape"),
-        (100 * (F.exp(mean("_alr")) - 1)).alias("w_msa"),
-        F.max_by("_aicc", F.when(F.col("_w").isNotNull(), -F.col("_age"))).alias("w_aicc"),
+        F.sqrt(mean("se")).alias("w_rmse"),
+        mean("ape").alias("w_mape"),
+        (100 * (F.exp(mean("alr")) - 1)).alias("w_msa"),
+        latest.alias("w_aicc"),
     )
 
 

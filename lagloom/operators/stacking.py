@@ -18,6 +18,7 @@ from lagloom.functions.metrics import BY_NAME
 from lagloom.functions.safe import as_list, spread
 from lagloom.operators.ensemble import in_targets
 from lagloom.operators.features import KEYS
+from lagloom.sources.session import ship
 
 
 def stack_input(
@@ -208,6 +209,7 @@ def find_stack_weights(
         for i in range(count):
             yield (best[i], least[i], history[i]) if np.isfinite(least[i]) else (None, np.nan, None)
 
+    ship(stacked.sparkSession)
     return spread(tasks, *keys, "target").mapInPandas(search, result)
 
 

@@ -107,10 +107,13 @@ def cohort_table(spark: SparkSession, sf_dir: str) -> DataFrame:
             "total",
         )
     )
-    return aged.groupBy("stock", "brood_year").pivot("age", AGES).agg(F.round(F.sum("total"), 2))
+    # the ages are those that occur; the calendar bounds them
+    return aged.groupBy("stock", "brood_year").pivot("age").agg(F.round(F.sum("total"), 2))
 
 
-AGES = ["Age0", "Age1", "Age2", "Age3", "Age4", "Age5", "Age6"]
+def ages(brood: DataFrame) -> list[str]:
+    return [c for c in brood.columns if c.startswith("Age")]
+
 
 SEG = """seg AS (
   SELECT c_mktsegment AS series_id, CAST(12*year(o_orderdate)+month(o_orderdate) AS INTEGER) AS t,

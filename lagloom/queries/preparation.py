@@ -79,11 +79,11 @@ BROOD_INT = "WITH " + pa.COHORT + " SELECT stock, brood_year, " + ", ".join(
 @query("q_read_brood", BROOD_INT + " FROM brood")
 def read_brood(spark, sf_dir):
     brood = pa.cohort_table(spark, sf_dir)
-    whole = brood.select("stock", "brood_year", *[F.floor(a).cast("int").alias(a) for a in pa.AGES])
+    whole = brood.select("stock", "brood_year", *[F.floor(a).cast("int").alias(a) for a in pa.ages(brood)])
     folder = writers.write_results(
         {"brood": whole}, writers.scratch_path(spark, "brood"), file_format="csv"
     )["brood"]
-    return readers.read_brood(spark, folder, pa.AGES, "stock", "brood_year")
+    return readers.read_brood(spark, folder, pa.ages(brood), "stock", "brood_year")
 
 
 # --- reshaping ---------------------------------------------------------------
@@ -100,7 +100,8 @@ CALENDAR = (
 
 @query("q_cohort_to_calendar", CALENDAR + " SELECT * FROM wide")
 def cohort_to_calendar(spark, sf_dir):
-    return rs.cohort_to_calendar(pa.cohort_table(spark, sf_dir), "stock", "brood_year", pa.AGES)
+    brood = pa.cohort_table(spark, sf_dir)
+    return rs.cohort_to_calendar(brood, "stock", "brood_year", pa.ages(brood))
 
 
 @query(
@@ -125,15 +126,10 @@ def derive_response(spark, sf_dir):
 )
 def transpose(spark, sf_dir):
     """Segment rows with one column per year, turned into one row per year."""
-    segments = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
-    years = [str(y) for y in range(1995, 2002)]
     months = pa.segment_months(spark, sf_dir).withColumn("year", F.floor((F.col("t") - 1) / 12).cast("string"))
-    sheet = (
-        months.groupBy(F.col("series_id").alias("indicator"))
-        .pivot("year", years)
-        .agg(F.round(F.sum("abundance"), 2))
-    )
-    blank = sheet.select(F.lit("").alias("indicator"), *years)
+    sheet = months.groupBy(F.col("series_id").alias("indicator")).pivot("year").agg(F.round(F.sum("abundance"), 2))
+    segments = sorted(row[0] for row in sheet.select("indicator").collect())  # one short name per indicator
+    blank = sheet.select(F.lit("").alias("indicator"), *[c for c in sheet.columns if c != "indicator"])
     return rs.transpose_indicators(sheet.unionByName(blank), "indicator", segments)
 
 
