@@ -102,16 +102,22 @@ def write_pages(pages: DataFrame, folder: str, revisit_from: int = 0) -> DataFra
 
 
 class Inflated:
-    """Bytes of a gzip file from one place on, member by member."""
+    """Bytes of an archive from one place on, inflated member by member where it is compressed."""
 
     def __init__(self, file, at: int, chunk: int = 1 << 16):
         self.file, self.at, self.chunk = file, at, chunk
         self.end = file.size()
         self.raw, self.pending = b"", b""
         self.member = None
+        self.packed = file.read_at(min(2, self.end - at), at) == b"\x1f\x8b" if at < self.end else False
 
     def more(self) -> bool:
-        """Inflate one chunk more into ``pending``; False at the end of the file."""
+        """Put one chunk more into ``pending``; False at the end of the file."""
+        if not self.packed:
+            part = self.file.read_at(min(self.chunk, self.end - self.at), self.at)
+            self.at += len(part)
+            self.pending += part
+            return bool(part)
         if self.member is None or self.member.eof:
             if self.member is not None:
                 self.raw = self.member.unused_data
@@ -157,7 +163,7 @@ def records(path: str, wanted, payloads: bool):
         while (head := source.header()) is not None:
             take = wanted(head)
             length, stored = int(head.get("content-length", 0)), head.get(STORED)
-            if stored is not None and not (take and payloads):
+            if stored is not None and source.packed and not (take and payloads):
                 while not source.member.eof:
                     if not source.more():
                         break
