@@ -147,7 +147,9 @@ def personal_data(docs: DataFrame) -> DataFrame:
     words = words.withColumn("touching", touching).withColumn("kind", F.get("touching", F.lit(0))["kind"])
     heads = F.exists("touching", lambda s: s["begin"] >= F.col("begin"))  # a span's later words are no instances
     words = words.filter((F.size("touching") == 0) | heads).drop("base", "touching")
-    found = discovered(words.select("value", "kind", "patterns"))
+    # a seed is a place in a text, so that copies of one text support a pattern once
+    seed = F.when(F.col("kind").isNotNull(), F.concat_ws(":", "of", "begin")).otherwise(F.col("value"))
+    found = discovered(words.select(seed.alias("value"), "kind", "patterns"))
     more = words.filter("kind IS NULL").drop("kind").join(found, "value").select("doc_id", "of", "begin", "end", "kind").distinct()
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int") - 1
     span = F.struct("begin", rank.alias("rank"), "kind", "end")
