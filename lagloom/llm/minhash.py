@@ -24,6 +24,7 @@ from lagloom.sources.writers import cut_lineage
 #: 24 bands of 6 slots: a pair at similarity 0.85 shares no band with probability
 #: (1 - 0.85 ** 6) ** 24 = 1e-5, at 0.8 with 7e-4, at 0.9 with 7e-9.
 SLOTS, ROWS = 144, 6
+RARE = 16
 ELEMENTS = 1 << 18  # shingles whose permutations are held at a time
 
 
@@ -144,30 +145,50 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def open_pairs(place: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of one bucket, in different components, that may reach the threshold.
-
-    A set shares with other components at most the shingles that occur there at
-    all, ``shared``; so ``I = least(shared)`` bounds the intersection and
-    ``n + n' - I`` the union.  The bound is tested between (size, shared)
-    groups of a bucket; members are paired only where it holds.
+    """Pairs (a, b) in different components that may reach the threshold, of members of open buckets.
+
+    A shingle that few of these sets hold is rare, the others are core.  Two
+    sets with a rare shingle in common meet on it, where a row meets at most
+    ``RARE`` others.  Two sets without one share core shingles only, so the
+    smaller number of these bounds the intersection; that bound is tested
+    between (size, core) groups of a bucket, and members are paired only where
+    it holds, in the first bucket they have in common.
     """
     split = place.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     place = place.join(split.select("key"), "key", "left_semi")
-    each = place.select("id", "component").distinct().join(sets, "id")
-    each = each.select("id", "component", F.explode("shingles").alias("shingle"))
-    abroad = each.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
-    shared = each.join(abroad.select("shingle"), "shingle", "left_semi").groupBy("id").agg(F.count("*").alias("shared"))
-    place = place.join(shared, "id").filter(F.col("shared") * 100 >= F.col("n_shingles") * percent)
-    place = cut_lineage(place.select("key", "id", "component", "n_shingles", "shared"), "open")
-    groups = place.groupBy("key", "n_shingles", "shared").agg(F.count("*").alias("members"))
-    bound = F.least("shared", "shared2")
-    fits = (F.col("n_shingles") + F.col("size2") - bound) * percent <= bound * 100
-    both = groups.drop("members").join(groups.drop("members").toDF("key", "size2", "shared2"), "key").filter(fits)
-    both = both.filter("n_shingles < size2 OR (n_shingles = size2 AND shared <= shared2)")
-    other = place.toDF("key", "id2", "with", "size2", "shared2")
-    pairs = place.join(both, ["key", "n_shingles", "shared"]).join(other, ["key", "size2", "shared2"])
-    pairs = pairs.filter("component <> with")
-    return pairs.select(F.least("id", "id2").alias("a"), F.greatest("id", "id2").alias("b")).distinct()
+    each = place.select("id", "component", "n_shingles").distinct().join(sets, "id")
+    each = each.select("id", "component", "n_shingles", F.explode("shingles").alias("shingle"))
+    spread = [F.count("*").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")]
+    abroad = each.groupBy("shingle").agg(*spread).filter("lo < hi").select("shingle", "held")
+    each = cut_lineage(each.join(abroad, "shingle"), "shared")
+    counts = each.groupBy("id").agg(F.count("*").alias("shared"), F.count_if(F.col("held") > RARE).alias("core"))
+    counts = cut_lineage(counts, "counts")
+
+    rare = each.filter(F.col("held") <= RARE).join(counts.select("id", "shared"), "id")
+    rare = rare.select("shingle", "id", "component", "n_shingles", "shared")
+    other = rare.toDF("shingle", "id2", "with", "size2", "shared2")
+    met = (F.col("id") < F.col("id2")) & (F.col("component") != F.col("with")) & fits("shared", "shared2", percent)
+    by_shingle = rare.alias("l").join(other.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & met).select("id", "id2")
+
+    keys = place.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
+    whole = place.join(counts.select("id", "core"), "id").filter(F.col("core") * 100 >= F.col("n_shingles") * percent)
+    whole = cut_lineage(whole.join(keys, "id").select("key", "id", "component", "n_shingles", "core", "keys"), "open")
+    groups = whole.select("key", "n_shingles", "core").distinct()
+    both = groups.join(groups.toDF("key", "size2", "core2"), "key").filter(fits("core", "core2", percent))
+    other = whole.toDF("key", "id2", "with", "size2", "core2", "keys2")
+    pairs = whole.join(both, ["key", "n_shingles", "core"]).alias("l").join(
+        other.alias("r"),
+        (F.col("l.key") == F.col("r.key")) & (F.col("l.size2") == F.col("r.size2")) & (F.col("l.core2") == F.col("r.core2"))
+        & (F.col("id") < F.col("id2")) & (F.col("component") != F.col("with"))
+        & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("l.key")),
+    )
+    return pairs.select("id", "id2").union(by_shingle).distinct().toDF("a", "b")
+
+
+def fits(mine: str, other: str, percent: int):
+    """Whether sets of ``n_shingles`` and ``size2`` may be linked when they share at most ``mine`` and ``other``."""
+    most = F.least(mine, other)
+    return (F.col("n_shingles") + F.col("size2") - most) * percent <= most * 100
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
@@ -185,6 +206,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rou
     classes = cut_lineage(classes.agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands")), "classes")
     rows = classes.filter(F.col("n_shingles") >= least).select("id", "n_shingles", F.explode("bands").alias("key"))
     full = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
+    full = cut_lineage(full, "full")  # joins with a stored side can split a large bucket
     buckets = cut_lineage(rows.join(full, "key", "left_semi").select("key", "id", "n_shingles"), "buckets")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
     sets = shingle_sets(texts.join(buckets.select("id").distinct(), "id", "left_semi"), words)
@@ -200,6 +222,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rou
             hub = F.min_by(F.struct("id", "component", "n_shingles"), F.xxhash64("id", F.lit(turn))).alias("hub")
             spread = (F.min("component") < F.max("component")).alias("open")
             hubs = place.groupBy("key").agg(hub, spread).filter("open").select("key", "hub.*")
+            hubs = cut_lineage(hubs, "hubs")
             pairs = place.join(hubs.toDF("key", "other", "with", "size"), "key").filter("component <> with")
             pairs = pairs.filter(F.least("n_shingles", "size") * 100 >= F.greatest("n_shingles", "size") * percent)
             pairs = pairs.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
