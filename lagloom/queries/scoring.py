@@ -10,6 +10,7 @@ from lagloom.functions import metrics as me
 from lagloom.operators import backtest as bt
 from lagloom.operators import ensemble as en
 from lagloom.operators import features as op
+from lagloom.operators import report as rp
 from lagloom.operators import rolling as ro
 from lagloom.operators import stacking as st
 from lagloom.operators.candidates import Candidates, with_labels
@@ -103,6 +104,20 @@ def screen(spark, sf_dir):
     return rounded(screen_subsets(pa.supplier_features(spark, sf_dir), SINGLES), 6, "aicc")
 
 
+@query(
+    "q_screen_ordered",
+    f"""WITH {pa.SUP_FEATURES}, long AS (SELECT series_id, ln(abundance) AS y, m.* FROM feat, LATERAL {sql.MODELS}
+    WHERE abundance IS NOT NULL), s AS (SELECT series_id, model, count(*) AS n,
+    regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x) AS rss FROM long GROUP BY 1, 2),
+    a AS (SELECT series_id, model, n * (ln(2 * pi() * rss / n) + 1) + 6 + 24.0 / (n - 4) AS aicc FROM s)
+    SELECT series_id, model, row_number() OVER (PARTITION BY series_id ORDER BY aicc NULLS LAST, model) AS position FROM a""",
+)
+def screen_ordered(spark, sf_dir):
+    """The screen with each model's position in its series, the best first."""
+    table = screen_subsets(pa.supplier_features(spark, sf_dir), SINGLES)
+    return rp.ordered_table(table, by="aicc").select("series_id", "model", "position")
+
+
 # Two covariates: the closed-form solution of the centred normal equations.
 PAIR_SQL = f"""{pa.SUP_FEATURES}, {MASKS.replace("m > 0", "bit_count(m) = 2")},
 long AS (SELECT series_id, t, abundance, CASE WHEN abundance > 0 THEN ln(abundance) END AS y,
@@ -219,6 +234,20 @@ def backtest_linear(spark, sf_dir):
     return _fit_view(fits(spark, sf_dir))
 
 
+@query(
+    "q_backtest_two_period",
+    f"""WITH {sql.FITS}, ends AS (SELECT series_id, max(t) AS end_t FROM feat GROUP BY 1)
+    SELECT series_id, (t // 2)::INT AS t, 2 AS period, model, {sql.columns(FIT_COLUMNS, 4)}, round(aicc, 6) AS aicc
+    FROM fits JOIN ends USING (series_id) WHERE t % 2 = 1 AND t // 2 > end_t // 2 - {LAST // 2}""",
+)
+def backtest_two_period(spark, sf_dir):
+    """Months as halves of two-month times: the second half forecast from all months before it."""
+    rows = pa.supplier_features(spark, sf_dir)
+    halves = {"period": (F.col("t") % 2 + 1).cast("int"), "t": F.floor(F.col("t") / 2).cast("int")}
+    out = bt.succeeded(bt.backtest(rows.withColumns(halves), SINGLES, LAST // 2, freq=2, first_period=2))
+    return shown(out, ("series_id", "t", "period", "model"), {4: FIT_COLUMNS, 6: ("aicc",)})
+
+
 @query(
     "q_intervals",
     f"""WITH {sql.FITS} SELECT series_id, t, model, round(ln(hi_95 / lo_95) / ln(hi_50 / lo_50), 6) AS width_ratio,
@@ -561,6 +590,20 @@ combine_mape = _combine_query("q_ensemble_mape", metric="mape")
 combine_stretch = _combine_query("q_ensemble_stretch", stretch=True)
 combine_decay = _combine_query("q_ensemble_decay", alpha=sql.DECAY)
 
+@query(
+    "q_combine_stacked",
+    f"WITH {sql.scored()}, {sql.weighted()} SELECT series_id, t, 'Stack_weighted' AS model, "
+    + ", ".join(f"round(sum({v} * round(model / 7.0, 4)), 3) AS {v}" for v in VALUES)
+    + " FROM weighted GROUP BY 1, 2",
+)
+def combine_stacked(spark, sf_dir):
+    """The sixth scheme, from weights that follow the model's number."""
+    rows = ranked(spark, sf_dir)
+    given = rows.filter(F.col("rank") <= TOP).select("series_id", F.col("t").alias("target"), "model", (F.col("model") / 7).alias("weight"))
+    _, out = en.ensemble(rows, YEARS, TOP, SLIDE, stack_weights=given)
+    return rounded(out.filter("model = 'Stack_weighted'"), 3, *VALUES).drop("abundance")
+
+
 ENSEMBLE_SQL = f"{sql.scored()}, {sql.weighted()}, {sql.ensembles()}, {sql.all_rows()}"
 
 
