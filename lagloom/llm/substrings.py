@@ -36,7 +36,6 @@ from lagloom.llm.words import U64, Words, grams, mix, sliding
 from lagloom.sources.writers import cut_lineage
 
 WINDOW, GRAM = 35, 12
-BITS = 24  # words of one text are numbered below 2 ** 24
 
 
 class Parsed:
@@ -103,7 +102,7 @@ def parsed(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
-    """(hash, copies, place) of every window with a repeated anchor; place is ``of << 24 | first word``."""
+    """(hash, copies, of, begin) of every window with a repeated anchor: its text and first word."""
 
     def make():
         done = [None]
@@ -124,12 +123,12 @@ def windows(texts: DataFrame, window: int, gram: int) -> DataFrame:
             text = p.text[take]
             return {
                 "hash": value, "copies": batch.column("copies").to_numpy(zero_copy_only=False)[text],
-                "place": (of[fresh][text] << BITS) + p.inner[take],
+                "of": of[fresh][text], "begin": p.inner[take].astype(np.int32),
             }
 
         return work
 
-    return map_slices(texts, "hash long, copies long, place long", "text", make)
+    return map_slices(texts, "hash long, copies long, of long, begin int", "text", make)
 
 
 def spans(batch: pa.RecordBatch, window: int, gram: int):
@@ -168,10 +167,10 @@ def parse(docs: DataFrame, known: DataFrame, window: int, gram: int) -> DataFram
     """(of, text, anchors, single): texts that are there once, with the windows that are not repeated."""
     texts = named(docs).drop("doc_id").join(known, ["k1", "k2"]).drop("k1", "k2")
     texts = cut_lineage(texts, "texts")
-    counted = windows(texts, window, gram).groupBy("hash").agg(F.sum("copies").alias("n"), F.min("place").alias("place"))
-    lone = counted.filter("n = 1").select(
-        F.shiftright("place", BITS).alias("of"), F.col("place").bitwiseAND((1 << BITS) - 1).cast("int").alias("begin")
-    )
+    # of a window that is there once, the smallest text and word are its own
+    place = [F.min("of").alias("of"), F.min("begin").alias("begin")]
+    counted = windows(texts, window, gram).groupBy("hash").agg(F.sum("copies").alias("n"), *place)
+    lone = counted.filter("n = 1").select("of", "begin")
     lone = cut_lineage(lone.groupBy("of").agg(F.collect_list("begin").alias("single")), "single")
     out = texts.filter("copies = 1").select("of", "text", "anchors").join(lone, "of", "left")
     return out.withColumn("single", F.coalesce("single", F.array().cast("array<int>")))
