@@ -122,8 +122,8 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.personal_data(table(spark, sf_dir, "documents"))
 
 
-#: The sources of a domain share the remainder of their number by 4.
-DOMAIN = "concat('domain', CAST(CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 AS STRING))"
+#: The sources of a domain share the remainder of their number by 4; sources without a number have none.
+DOMAIN = "'domain' || CAST(TRY_CAST(regexp_extract(source, '([0-9]+)$', 1) AS INT) % 4 AS STRING)"
 WEIGHTS = {
     "domain": {"domain0": 2, "domain1": 3, "domain2": 1, "domain3": 2},
     "lang": {"en": 4, "de": 2, "fr": 2, "es": 2},
@@ -136,7 +136,8 @@ def _level_sql(level: str, own: str, parent: str, above: str) -> str:
     cases = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.get(level, {}).items())
     weight = f"CASE {level} {cases} ELSE 1 END" if cases else "1"
     part = f"PARTITION BY {parent}" if parent else ""
-    join = f"JOIN {above} a USING ({parent})" if parent else f", {above} a"
+    same = " AND ".join(f"{level}_0.{c} IS NOT DISTINCT FROM a.{c}" for c in parent.split(", "))
+    join = f"JOIN {above} a ON {same}" if parent else f", {above} a"
     return f"""{level}_0 AS (
   SELECT {own}, sum(capacity)::BIGINT AS capacity, ({weight})::BIGINT AS weight FROM leaves GROUP BY {own}),
 {level}_1 AS (SELECT {level}_0.*, a.share AS budget FROM {level}_0 {join}),
@@ -162,11 +163,13 @@ root AS (SELECT least(sum(tokens) * {PERMILLE} // 1000, sum(capacity))::BIGINT A
 plan AS (
   SELECT l.*, share, CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END AS whole,
     share - CASE WHEN tokens > 0 THEN share // tokens ELSE 0 END * tokens AS rest
-  FROM leaves l JOIN source_3 USING (domain, lang, source)),
+  FROM leaves l JOIN source_3 s ON l.domain IS NOT DISTINCT FROM s.domain AND l.lang IS NOT DISTINCT FROM s.lang
+    AND l.source IS NOT DISTINCT FROM s.source),
 numbered AS (
-  SELECT s.*, whole, rest, tokens, sum(n_tokens) OVER (PARTITION BY domain, lang, source
+  SELECT s.*, whole, rest, tokens, sum(n_tokens) OVER (PARTITION BY s.domain, s.lang, s.source
     ORDER BY md5(concat('{SEED}:', whole + 1, ':', doc_id)) RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
-  FROM sized s JOIN plan USING (domain, lang, source))
+  FROM sized s JOIN plan p ON s.domain IS NOT DISTINCT FROM p.domain AND s.lang IS NOT DISTINCT FROM p.lang
+    AND s.source IS NOT DISTINCT FROM p.source)
 SELECT doc_id, domain, lang, source, n_tokens, unnest(range(1, whole + 1 + CASE WHEN upto <= rest AND (rest > 0 OR tokens = 0)
   THEN 1 ELSE 0 END))::INT AS epoch FROM numbered""",
 )
