@@ -246,9 +246,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label: str = "quality") -
 
 def accepted(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """The rows of ``docs``, all columns, that are scored 0.5 or more."""
-    known = known_labels(labels, label)
-    x = statistics(docs.join(known.select("doc_id"), "doc_id", "left_semi"))
-    model = fit(cut_lineage(x.join(known, "doc_id").select("x", "label", "fold"), "labelled"))
+    # statistics are cheaper to compute twice than texts are to move to their labels
+    x = statistics(docs).join(known_labels(labels, label).hint("merge"), "doc_id").select("x", "label", "fold")
+    model = fit(cut_lineage(x, "labelled"))
 
     def make():
         def work(batch):
