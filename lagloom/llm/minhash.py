@@ -25,7 +25,7 @@ from lagloom.sources.writers import cut_lineage
 #: (1 - 0.85 ** 6) ** 24 = 1e-5, at 0.8 with 7e-4, at 0.9 with 7e-9.
 SLOTS, ROWS = 144, 6
 RARE = 16
-ELEMENTS = 1 << 18  # shingles whose permutations are held at a time
+ELEMENTS = 1 << 17  # shingles whose permutations are held at a time
 
 
 def super_minhash(text: np.ndarray, value: np.ndarray, n: int, slots: int = SLOTS) -> np.ndarray:
@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rou
     full = cut_lineage(full, "full")  # joins with a stored side can split a large bucket
     buckets = cut_lineage(rows.join(full, "key", "left_semi").select("key", "id", "n_shingles"), "buckets")
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    sets = shingle_sets(texts.join(buckets.select("id").distinct(), "id", "left_semi"), words)
+    # the ids grow with the corpus: one way to join them at every size
+    sets = shingle_sets(texts.join(buckets.select("id").distinct().hint("merge"), "id", "left_semi"), words)
     sets = cut_lineage(sets, "sets")
 
     edges = tested = found = None
