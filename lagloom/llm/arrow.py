@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 
 from lagloom.sources.session import ship
 
-SLICE_BYTES = 4 << 20  # text bytes worked on at a time; one longer text makes a slice of its own
+SLICE_BYTES = 1 << 20  # text bytes worked on at a time; one longer text makes a slice of its own
 
 
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

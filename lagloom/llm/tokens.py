@@ -32,7 +32,7 @@ from lagloom.sources.writers import cut_lineage, scratch_path
 
 MAGIC = b"EFTOKEN1"
 SAMPLE = 256  # every so many-th one of the upper bits has its position stored
-CACHED = 1 << 21  # pieces a worker remembers: about 60 MB
+CACHED = 1 << 20  # pieces a worker remembers: about 30 MB
 
 
 class EliasFano:
@@ -137,7 +137,7 @@ class Encoder:
             kinds[lead] = kinds[lead + 1] = np.where((after == 0x97) | (after == 0xB7), 9, 1)
         opened_special = np.flatnonzero((buf[:-1] == ord("<")) & (buf[1:] == ord("|"))) if len(buf) > 1 else []
         kinds[opened_special] = 9
-        odd = np.concatenate((np.zeros(1, np.int64), np.cumsum(kinds == 9)))
+        odd = np.concatenate((np.zeros(1, np.int32), np.cumsum(kinds == 9, dtype=np.int32)))
         whole = np.flatnonzero(odd[w.ends] > odd[w.starts])
         inside = np.zeros(len(buf) + 1, np.int8)
         inside[w.starts] += 1

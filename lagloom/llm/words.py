@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-PIECE = 1 << 21  # bytes hashed at a time; bounds the temporaries, not the texts
+PIECE = 1 << 19  # bytes hashed at a time; bounds the temporaries, not the texts
 _MUL = U64(0x9E3779B97F4A7C15)
 
 
