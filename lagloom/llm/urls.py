@@ -9,9 +9,9 @@ segments and wildcards.  Its purity is the share of bad labels, smoothed towards
 its host's, and that towards the share of all pages; a template is rejected
 from ``reject`` on.
 
-Only counts are moved: a node's pages are never gathered, and a node keeps at
-most ``1 / least_share`` segments.  Levels beyond ``depth`` fold into the last
-wildcard.  NULL urls and urls without ``://`` have an empty host and path and
+Only counts are moved: a node's pages are never gathered.  What a segment needs
+is a number of pages, whatever the size of its host; a node may keep any number
+of segments.  Levels beyond ``depth`` fold into the last wildcard.  NULL urls and urls without ``://`` have an empty host and path and
 are judged like any other.  Repeated rows count as often as they occur.
 """
 
@@ -46,7 +46,7 @@ def rule_for(rules: Sequence[tuple[str, str]], host: Column, path: Column) -> tu
     return rule, verdict
 
 
-def templates(pages: DataFrame, depth: int, least: int, least_share: float, z: float) -> DataFrame:
+def templates(pages: DataFrame, depth: int, least: int, z: float) -> DataFrame:
     """``pages (row, host, path, bad)`` with ``template``; ``bad`` is 1, 0 or NULL (no label)."""
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
     pages = pages.withColumn("segments", segments).withColumn("template", F.lit(""))
@@ -58,7 +58,6 @@ def templates(pages: DataFrame, depth: int, least: int, least_share: float, z: f
         branch = inner.groupBy("host", "template", "segment").agg(*counts)
         node = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"node_{c}") for c in ("n", "labelled", "bads")])
         enough = branch.filter(F.col("n") >= least).join(node, ["host", "template"])
-        enough = enough.filter(F.col("n") >= F.col("node_n") * least_share)
         others = F.col("node_labelled") - F.col("labelled")
         rate = (F.col("node_bads") + 0.5) / (F.col("node_labelled") + 1)
         error = F.sqrt(rate * (1 - rate) * (1 / F.greatest("labelled", F.lit(1)) + 1 / F.greatest(others, F.lit(1))))
@@ -77,7 +76,6 @@ def judged(
     labels: DataFrame,
     depth: int = 3,
     least: int = 5,
-    least_share: float = 0.02,
     z: float = 1.96,
     smoothing: float = 8.0,
     reject: float = 0.5,
@@ -89,7 +87,7 @@ def judged(
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
     one = labels.groupBy("host", "path").agg(F.max("bad").cast("int").alias("bad"))
-    rows = templates(rows.join(one, ["host", "path"], "left"), depth, least, least_share, z)
+    rows = templates(rows.join(one, ["host", "path"], "left"), depth, least, z)
     counts = rows.groupBy("host", "template").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bads"))
     counts = cut_lineage(counts, "counts")
     whole = counts.agg(F.sum("labelled").alias("labelled"), F.sum("bads").alias("bads")).first()

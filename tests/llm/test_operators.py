@@ -255,6 +255,19 @@ def test_url_templates_reject_bad_branches(spark):
     assert {(r.template, r.verdict) for r in got} == {("/spam/*", "block"), ("/news/*", "allow")}
 
 
+def judged_paths(spark, paths):
+    """``paths`` holds (path, bad or None); {path: verdict} on one host."""
+    pages = spark.createDataFrame([(i, "http://h.com" + p) for i, (p, _) in enumerate(paths)], "page_id long, url string")
+    labels = spark.createDataFrame([("h.com", p, b) for p, b in paths if b is not None], "host string, path string, bad int")
+    return {r.path: r.verdict for r in urls.judged(pages, [], labels).collect()}
+
+
+def test_small_branches_of_a_large_host_are_judged_by_their_own_labels(spark):
+    bad = {f"b{k}": int(k % 5 == 0) for k in range(100)}  # a hundredth of the host each
+    got = judged_paths(spark, [(f"/{b}/{i}", bad[b] if i % 2 else None) for b in bad for i in range(40)])
+    assert all(v == ("block" if bad[p.split("/")[1]] else "allow") for p, v in got.items())
+
+
 def test_contained_items_in_pieces_and_long_documents(spark):
     rng = random.Random(12)
     item = corpus.words(rng, 40)
