@@ -11,8 +11,11 @@ from ``reject`` on.
 
 Only counts are moved: a node's pages are never gathered.  What a segment needs
 is a number of pages, whatever the size of its host; a node may keep any number
-of segments.  Levels beyond ``depth`` fold into the last wildcard.  NULL urls and urls without ``://`` have an empty host and path and
-are judged like any other.  Repeated rows count as often as they occur.
+of segments.  The levels go on until no page has a further segment in a node
+that can still be divided, one with ``least`` pages and labels of both kinds;
+what lies below the other nodes folds into one wildcard.  NULL urls and urls
+without ``://`` have an empty host and path and are judged like any other.
+Repeated rows count as often as they occur.
 """
 
 from __future__ import annotations
@@ -46,17 +49,25 @@ def rule_for(rules: Sequence[tuple[str, str]], host: Column, path: Column) -> tu
     return rule, verdict
 
 
-def templates(pages: DataFrame, depth: int, least: int, z: float) -> DataFrame:
+def templates(pages: DataFrame, least: int, z: float) -> DataFrame:
     """``pages (row, host, path, bad)`` with ``template``; ``bad`` is 1, 0 or NULL (no label)."""
+    columns = pages.columns
     segments = F.filter(F.split("path", "/"), lambda s: s != "")
-    pages = pages.withColumn("segments", segments).withColumn("template", F.lit(""))
-    for level in range(depth):
-        own = F.get("segments", F.lit(level))
-        pages = pages.withColumn("segment", own)
+    pages = cut_lineage(pages.withColumn("segments", segments).withColumn("template", F.lit("")), "templates")
+    level, done = 0, None
+    while True:
+        pages = pages.withColumn("segment", F.get("segments", F.lit(level)))
         inner = pages.filter("segment IS NOT NULL")
         counts = [F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bads")]
+        node = inner.groupBy("host", "template").agg(*counts).withColumnsRenamed({c: f"node_{c}" for c in ("n", "labelled", "bads")})
+        # in the others no branch can differ from its siblings, at this level or below
+        node = node.filter((F.col("node_n") >= least) & (F.col("node_bads") > 0) & (F.col("node_bads") < F.col("node_labelled")))
+        node = cut_lineage(node, "nodes")
+        folded = F.when(F.col("segment").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/" + WILD)))
+        if node.isEmpty():
+            last = pages.withColumn("template", folded).select(*columns, "template")
+            return last if done is None else done.union(last)
         branch = inner.groupBy("host", "template", "segment").agg(*counts)
-        node = branch.groupBy("host", "template").agg(*[F.sum(c).alias(f"node_{c}") for c in ("n", "labelled", "bads")])
         enough = branch.filter(F.col("n") >= least).join(node, ["host", "template"])
         others = F.col("node_labelled") - F.col("labelled")
         rate = (F.col("node_bads") + 0.5) / (F.col("node_labelled") + 1)
@@ -64,17 +75,23 @@ def templates(pages: DataFrame, depth: int, least: int, z: float) -> DataFrame:
         gap = F.col("bads") / F.greatest("labelled", F.lit(1)) - (F.col("node_bads") - F.col("bads")) / F.greatest(others, F.lit(1))
         differs = (F.col("labelled") > 0) & (others > 0) & (F.abs(gap) > z * error)
         kept = enough.filter(differs).select("host", "template", "segment", F.col("segment").alias("kept"))
-        pages = pages.join(kept, ["host", "template", "segment"], "left")
-        step = F.when(F.col("segment").isNull(), "").otherwise(F.concat(F.lit("/"), F.coalesce("kept", F.lit(WILD))))
-        pages = cut_lineage(pages.withColumn("template", F.concat("template", step)).drop("segment", "kept"), "templates")
-    return pages.drop("segments")
+        kept = cut_lineage(kept, "kept")  # a join with a stored side can split a large branch
+        split = node.select("host", "template", F.lit(True).alias("split"))
+        pages = pages.join(split, ["host", "template"], "left").join(kept, ["host", "template", "segment"], "left")
+        goes_on = F.col("split").isNotNull() & F.col("segment").isNotNull()
+        step = F.concat("template", F.lit("/"), F.coalesce("kept", F.lit(WILD)))
+        pages = pages.withColumn("template", F.when(goes_on, step).otherwise(folded)).withColumn("goes_on", goes_on)
+        pages = cut_lineage(pages.select(*columns, "segments", "template", "goes_on"), "templates")
+        ended = pages.filter("NOT goes_on").select(*columns, "template")
+        done = ended if done is None else done.union(ended)
+        pages = pages.filter("goes_on").drop("goes_on")
+        level += 1
 
 
 def judged(
     pages: DataFrame,
     rules: Sequence[tuple[str, str]],
     labels: DataFrame,
-    depth: int = 3,
     least: int = 5,
     z: float = 1.96,
     smoothing: float = 8.0,
@@ -87,7 +104,7 @@ def judged(
     host, path = host_and_path(F.col("url"))
     rows = pages.select(F.col("page_id").cast("long"), host.alias("host"), path.alias("path"))
     one = labels.groupBy("host", "path").agg(F.max("bad").cast("int").alias("bad"))
-    rows = templates(rows.join(one, ["host", "path"], "left"), depth, least, z)
+    rows = templates(rows.join(one, ["host", "path"], "left"), least, z)
     counts = rows.groupBy("host", "template").agg(F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bads"))
     counts = cut_lineage(counts, "counts")
     whole = counts.agg(F.sum("labelled").alias("labelled"), F.sum("bads").alias("bads")).first()

@@ -268,6 +268,14 @@ def test_small_branches_of_a_large_host_are_judged_by_their_own_labels(spark):
     assert all(v == ("block" if bad[p.split("/")[1]] else "allow") for p, v in got.items())
 
 
+def test_deep_branches_are_judged_by_their_own_labels(spark):
+    above = "/en/2024/03/a/b"
+    paths = [(f"{above}/{'spam' if i % 2 else 'news'}/{i}{'/x' * (i % 3)}", i % 2 if i % 5 else None) for i in range(300)]
+    got = judged_paths(spark, paths + [("/en", 0), ("/en/2024", None), ("/" + "y/" * 40, 1)])
+    assert all(v == ("block" if "/spam/" in p else "allow") for p, v in got.items() if p.startswith(above))
+    assert len(got) == 303
+
+
 def test_contained_items_in_pieces_and_long_documents(spark):
     rng = random.Random(12)
     item = corpus.words(rng, 40)
