@@ -4,8 +4,12 @@ Base spans are the leftmost non-overlapping matches of each kind that pass its
 check.  They seed the method: the words to the left of a seed become lexical
 patterns of its kind, patterns and identifier-like words (with a digit or an
 ``@``) form a graph, and in each round a pattern's score is the share of its
-kind among all it meets, a word's score the mean of its patterns.  Words above
-the threshold join the seeds of the next round, and the spans of the result.
+kind among all it meets.  A place's score is the mean of its patterns, weak ones
+included and those left out that are too rare to say anything; a place without
+a pattern has score 0.  A word's score is the mean of all its places, so that
+one place in a strong context does not mark a word that also stands elsewhere.
+Words that reach the threshold join the seeds of the next round, and the spans
+of the result.
 
 Everything is DataFrame and SQL functions.  Java knows no "all matches with
 their places", so matches are wrapped in two control characters, and the text is
@@ -112,23 +116,31 @@ def contexts(gap: Column) -> Column:
 
 
 def discovered(words: DataFrame, rounds: int = ROUNDS, accept: float = ACCEPT, support: int = SUPPORT) -> DataFrame:
-    """(value, kind) of unseen identifiers, from ``words (value, kind or NULL, patterns)``."""
-    edges = words.select("value", "kind", F.explode("patterns").alias("pattern"))
-    edges = cut_lineage(edges.groupBy("pattern", "value", "kind").agg(F.count("*").alias("n")), "edges")
-    totals = edges.groupBy("pattern").agg(F.sum("n").alias("total"))
-    open_edges = edges.filter("kind IS NULL").select("pattern", "value", "n")
+    """(value, kind) of unseen identifiers, from ``words (value, kind or NULL, patterns)``, one row a place."""
+    places = words.groupBy("value", "kind", "patterns").agg(F.count("*").alias("n"))
+    places = cut_lineage(places, "places")
+    edges = places.withColumn("pattern", F.explode("patterns"))
+    totals = cut_lineage(edges.groupBy("pattern").agg(F.sum("n").alias("total")), "totals")
+    heard = totals.filter(F.col("total") >= support)  # a rarer pattern says nothing
+    open_edges = edges.filter("kind IS NULL").drop("kind")
     seeds = edges.filter("kind IS NOT NULL").select("pattern", "value", "kind", "n")
     known, found = seeds, None
     for _ in range(rounds):
         score = known.groupBy("pattern", "kind").agg(F.sum("n").alias("hits"), F.count_distinct("value").alias("values"))
-        score = score.filter(F.col("values") >= support).join(totals, "pattern")
-        score = score.select("pattern", "kind", (F.col("hits") / (F.col("total") + SMOOTH)).alias("score"))
-        strong = score.filter(F.col("score") >= accept)
-        votes = open_edges.join(strong, "pattern").groupBy("value", "kind")
-        votes = votes.agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("score"))
+        score = score.join(heard, "pattern")
+        score = score.select("pattern", "kind", "values", (F.col("hits") / (F.col("total") + SMOOTH)).alias("score"))
+        score = cut_lineage(score, "scores")
+        strong = score.filter((F.col("values") >= support) & (F.col("score") >= accept)).select("pattern", "kind")
+        likely = cut_lineage(open_edges.join(strong, "pattern").select("value", "kind").distinct(), "likely")
+        votes = places.filter("kind IS NULL").drop("kind").join(likely, "value").withColumn("pattern", F.explode_outer("patterns"))
+        votes = votes.join(heard, "pattern", "left").join(score.drop("values"), ["pattern", "kind"], "left")
+        own = F.when(F.col("total").isNotNull(), F.coalesce("score", F.lit(0.0)))
+        votes = votes.groupBy("value", "kind", "patterns", "n").agg(F.coalesce(F.avg(own), F.lit(0.0)).alias("score"))
+        votes = votes.groupBy("value", "kind").agg((F.sum(F.col("score") * F.col("n")) / F.sum("n")).alias("score"))
+        votes = votes.filter(F.col("score") >= accept)
         best = votes.groupBy("value").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
         found = cut_lineage(best, "found")
-        known = seeds.unionByName(open_edges.join(found, "value"))
+        known = seeds.unionByName(open_edges.join(found, "value").select("pattern", "value", "kind", "n"))
     return found
 
 

@@ -247,6 +247,15 @@ def test_unseen_identifiers_are_found_by_context(spark):
     assert rows[31].spans == rows[32].spans == ""
 
 
+def test_one_strong_context_does_not_mark_an_ordinary_word(spark):
+    rng = random.Random(2)
+    texts = [f"{' '.join(corpus.words(rng, 5))} fax number +1 (555) 555-{1000 + i} {' '.join(corpus.words(rng, 3))}" for i in range(30)]
+    texts += ["see fax number 2024 today", "call number 555-0199 now"]
+    texts += [f"{' '.join(corpus.words(rng, 4))} 2024 was" for _ in range(20)] + ["2024 was", "2024 2024"]
+    rows = {r.doc_id: r for r in private.personal_data(frame(spark, texts)).collect()}
+    assert [rows[i].spans for i in range(30, len(texts))] == ["", "phone:12:20"] + [""] * 22
+
+
 def test_url_templates_reject_bad_branches(spark):
     rows = [(i, f"http://h.com/{'spam' if i % 2 else 'news'}/{i}") for i in range(200)]
     pages = spark.createDataFrame(rows, "page_id long, url string")
