@@ -201,7 +201,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rou
     intersection allows a link (``open_pairs``), so none is lost.
     """
     sign = cut_lineage(signatures(docs, words), "signatures")
-    least = 100 // (100 - percent) if percent < 100 else 1  # smaller sets are linked with equal ones only
+    least = -(-percent // (100 - percent)) if percent < 100 else 1  # smaller sets are linked with equal ones only
     classes = sign.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2", "n_shingles")
     classes = cut_lineage(classes.agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands")), "classes")
     rows = classes.filter(F.col("n_shingles") >= least).select("id", "n_shingles", F.explode("bands").alias("key"))

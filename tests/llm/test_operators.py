@@ -122,6 +122,17 @@ def test_a_large_group_of_loose_copies_keeps_its_links(spark):
         assert {r.doc_id: r.component_id for r in got} == {i: find(i) for i in range(len(sets))}
 
 
+def test_sets_at_the_very_threshold_are_linked(spark):
+    """Eight words and one more at either end: 4 of 5 shingles in common."""
+    rng = random.Random(3)
+    texts = []
+    for _ in range(10):
+        base = corpus.words(rng, 8)
+        texts += [" ".join(base), " ".join(base + ["end"]), " ".join(["start"] + base)]
+    got = minhash.near_duplicates(frame(spark, texts), 5, 80).collect()
+    assert {r.doc_id: r.component_id for r in got} == {i: i - i % 3 for i in range(30)}
+
+
 def test_directory_splits_overfull_buckets_only(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
     slots, depth = exact.directory(keys, 100)
