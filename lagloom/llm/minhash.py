@@ -233,7 +233,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rou
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut_lineage(pairs, "pairs")
         if pairs.isEmpty():
-            break
+            continue  # a hub may reach nobody while others of its bucket are still to be compared
         tested = pairs if tested is None else tested.union(pairs)
         more = cut_lineage(linked(pairs, sets, percent), "linked")
         edges = more if edges is None else edges.union(more)

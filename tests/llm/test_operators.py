@@ -133,6 +133,20 @@ def test_sets_at_the_very_threshold_are_linked(spark):
     assert {r.doc_id: r.component_id for r in got} == {i: i - i % 3 for i in range(30)}
 
 
+def test_open_buckets_are_compared_after_a_star_round_without_pairs(spark, monkeypatch):
+    """One bucket, whose hub is too long for the others; the two others are near."""
+    rng = random.Random(4)
+    near = corpus.words(rng, 60)
+    hub = spark.range(3).orderBy(F.xxhash64("id", F.lit(0))).first().id
+    texts = [" ".join(near), " ".join(near[:-1])]
+    texts.insert(hub, " ".join(corpus.words(rng, 300)))
+    signed = minhash.signatures
+    monkeypatch.setattr(minhash, "signatures", lambda docs, words: signed(docs, words).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    first, second = (i for i in range(3) if i != hub)
+    got = minhash.near_duplicates(frame(spark, texts), 3, 85, star_rounds=1).collect()
+    assert {r.doc_id: r.component_id for r in got} == {hub: hub, first: first, second: first}
+
+
 def test_directory_splits_overfull_buckets_only(spark):
     keys = spark.range(5000).select(F.xxhash64("id").alias("key"))
     slots, depth = exact.directory(keys, 100)
