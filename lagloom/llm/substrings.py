@@ -1,4 +1,7 @@
-"""Repeated passages by relative Lempel-Ziv parsing against the blocks of the whole corpus.
+"""Repeated passages by counting windows under anchors, in place of a relative Lempel-Ziv parsing.
+
+No greedy longest factor is sought: whether a word goes depends on whether a
+window over it is repeated, and that takes an exact count of each window.
 
 A window is ``window`` consecutive words of one document; a word goes when some
 window over it occurs anywhere else too, in the same document or another.
@@ -7,12 +10,9 @@ Every document is both text and reference.  Reference blocks are cut where the
 content says so: among the grams of ``gram`` words in a window the one with the
 smallest hash is the window's anchor.  Equal windows have equal anchors wherever
 they occur, and about one word in twelve is an anchor, so the index of blocks
-is small.  A document is factored against all blocks at once: a factor begins
-at a window whose anchor the index holds more than once and is extended word by
-word while the windows that follow are repeated as well.  Every window that
-could lie in a factor is counted exactly, those across a factor's ends too;
-the windows that turn out to be single end it.  Factors of ``window`` words or
-more are the duplicate spans, and the words they cover are removed.
+is small.  Windows whose anchor the index holds more than once are counted by
+their hash, all others are single.  A factor is a stretch covered by repeated
+windows; the words it covers are removed.
 
 Equal texts are known by a 128-bit name and looked up as one: a text that is
 there twice is repeated as a whole, and its windows count as often for others.
