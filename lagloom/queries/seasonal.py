@@ -216,7 +216,10 @@ def stack_ensemble(spark, sf_dir):
 
 @query("q_inseason")
 def inseason(spark, sf_dir):
-    """Seasonal backtest of the period-2 totals of the segments with stacking."""
+    """Backtest of the period-2 totals of the segments with stacking.
+
+    Autoregressive orders only: no differences and no seasonal term are fitted.
+    """
     daily = pa.segment_days(spark, sf_dir).withColumn("odd", F.pmod("year", F.lit(2)).cast("double"))
     prepared = prepare_season(
         daily, START, END, START_MD, END_MD, FORECAST_MD, "species", covariates=["odd"], period1_only=["odd"]
