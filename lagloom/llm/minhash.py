@@ -6,7 +6,11 @@ and is linked with nothing.  Two documents are linked when ``100 * intersection
 >= percent * union`` of the full sets.  Rows with equal sets are one class and
 travel as one row.  Each row stands for itself: a repeated ``doc_id`` gives
 repeated rows.  A row without ``doc_id`` is linked with nothing, its component
-is NULL and it is kept.  Further columns of the input are ignored.
+is NULL and it is kept.  Texts of one ``doc_id`` are classes of their own.
+Further columns of the input are ignored.  An empty table gives an empty one.
+Of equally small ids there is nothing to choose: a component is named by its
+smallest ``doc_id``.  A very long text is hashed in pieces; its set is held
+whole by one task.
 """
 
 from __future__ import annotations
@@ -24,7 +28,6 @@ from lagloom.sources.writers import cut_lineage
 #: 24 bands of 6 slots: a pair at similarity 0.85 shares no band with probability
 #: (1 - 0.85 ** 6) ** 24 = 1e-5, at 0.8 with 7e-4, at 0.9 with 7e-9.
 SLOTS, ROWS = 144, 6
-RARE = 16
 ELEMENTS = 1 << 17  # shingles whose permutations are held at a time
 
 
@@ -100,7 +103,7 @@ def set_digest(text: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray,
 
 
 def signatures(docs: DataFrame, words: int, slots: int = SLOTS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, n_shingles, d1, d2, bands) of every row."""
+    """(doc_id, k1, k2, n_shingles, d1, d2, bands) of every row."""
 
     def make():
         def work(batch):
@@ -110,14 +113,14 @@ def signatures(docs: DataFrame, words: int, slots: int = SLOTS, rows: int = ROWS
             size, d1, d2 = set_digest(text, value, n)
             keys = band_keys(super_minhash(text, value, n, slots), rows).view(np.int64)
             return {
-                "doc_id": batch.column("doc_id"), "n_shingles": size.astype(np.int64), "d1": d1, "d2": d2,
+                "doc_id": batch.column("doc_id"), "k1": batch.column("k1"), "k2": batch.column("k2"), "n_shingles": size.astype(np.int64), "d1": d1, "d2": d2,
                 "bands": lists(keys.ravel(), np.arange(n + 1) * keys.shape[1]),
             }
 
         return work
 
-    schema = "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>"
-    return map_slices(docs.select(F.col("doc_id").cast("long"), "text"), schema, "text", make)
+    schema = "doc_id long, k1 long, k2 long, n_shingles long, d1 long, d2 long, bands array<long>"
+    return map_slices(docs.select(F.col("doc_id").cast("long"), "text", *text_name()), schema, "text", make)
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -147,42 +150,30 @@ def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def open_pairs(place: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) in different components that may reach the threshold, of members of open buckets.
 
-    A shingle that few of these sets hold is rare, the others are core.  Two
-    sets with a rare shingle in common meet on it, where a row meets at most
-    ``RARE`` others.  Two sets without one share core shingles only, so the
-    smaller number of these bounds the intersection; that bound is tested
-    between (size, core) groups of a bucket, and members are paired only where
-    it holds, in the first bucket they have in common.
+    Only shingles that sets of two components hold count towards an
+    intersection, and a set with ``n`` shingles needs ``least = ceil(percent %
+    of n)`` of them.  In one order for all, the rarest first, linked sets have a
+    shingle in common among the first ``shared - least + 1`` of both, so only
+    these are indexed; what follows the first common one in either bounds the
+    intersection.
     """
     split = place.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi")
     place = place.join(split.select("key"), "key", "left_semi")
-    each = place.select("id", "component", "n_shingles").distinct().join(sets, "id")
-    each = each.select("id", "component", "n_shingles", F.explode("shingles").alias("shingle"))
+    members = cut_lineage(place.select("id", "component", "n_shingles").distinct(), "open")
+    each = members.join(sets, "id").select("id", "component", "n_shingles", F.explode("shingles").alias("shingle"))
     spread = [F.count("*").alias("held"), F.min("component").alias("lo"), F.max("component").alias("hi")]
     abroad = each.groupBy("shingle").agg(*spread).filter("lo < hi").select("shingle", "held")
-    each = cut_lineage(each.join(abroad, "shingle"), "shared")
-    counts = each.groupBy("id").agg(F.count("*").alias("shared"), F.count_if(F.col("held") > RARE).alias("core"))
-    counts = cut_lineage(counts, "counts")
-
-    rare = each.filter(F.col("held") <= RARE).join(counts.select("id", "shared"), "id")
-    rare = rare.select("shingle", "id", "component", "n_shingles", "shared")
-    other = rare.toDF("shingle", "id2", "with", "size2", "shared2")
-    met = (F.col("id") < F.col("id2")) & (F.col("component") != F.col("with")) & fits("shared", "shared2", percent)
-    by_shingle = rare.alias("l").join(other.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & met).select("id", "id2")
-
-    keys = place.groupBy("id").agg(F.sort_array(F.collect_set("key")).alias("keys"))
-    whole = place.join(counts.select("id", "core"), "id").filter(F.col("core") * 100 >= F.col("n_shingles") * percent)
-    whole = cut_lineage(whole.join(keys, "id").select("key", "id", "component", "n_shingles", "core", "keys"), "open")
-    groups = whole.select("key", "n_shingles", "core").distinct()
-    both = groups.join(groups.toDF("key", "size2", "core2"), "key").filter(fits("core", "core2", percent))
-    other = whole.toDF("key", "id2", "with", "size2", "core2", "keys2")
-    pairs = whole.join(both, ["key", "n_shingles", "core"]).alias("l").join(
-        other.alias("r"),
-        (F.col("l.key") == F.col("r.key")) & (F.col("l.size2") == F.col("r.size2")) & (F.col("l.core2") == F.col("r.core2"))
-        & (F.col("id") < F.col("id2")) & (F.col("component") != F.col("with"))
-        & (F.array_min(F.array_intersect("keys", "keys2")) == F.col("l.key")),
-    )
-    return pairs.select("id", "id2").union(by_shingle).distinct().toDF("a", "b")
+    order = F.sort_array(F.collect_list(F.struct("held", "shingle"))).alias("order")
+    own = each.join(abroad, "shingle").groupBy("id", "component", "n_shingles").agg(order)
+    own = own.withColumn("shared", F.size("order")).withColumn("least", F.expr(f"(n_shingles * {percent} + 99) DIV 100"))
+    first = F.expr("slice(order.shingle, 1, CAST(shared - least + 1 AS INT))")
+    rows = own.filter("shared >= least").select("id", "component", "n_shingles", "shared", F.posexplode(first).alias("at", "shingle"))
+    rows = rows.select("shingle", "id", "component", "n_shingles", (F.col("shared") - F.col("at")).alias("rest"))
+    rows = cut_lineage(rows, "prefixes")
+    other = rows.toDF("shingle", "id2", "with", "size2", "rest2")
+    met = (F.col("id") < F.col("id2")) & (F.col("component") != F.col("with"))
+    both = rows.alias("l").join(other.alias("r"), (F.col("l.shingle") == F.col("r.shingle")) & met & fits("rest", "rest2", percent))
+    return both.select("id", "id2").distinct().toDF("a", "b")
 
 
 def fits(mine: str, other: str, percent: int):
@@ -191,8 +182,14 @@ def fits(mine: str, other: str, percent: int):
     return (F.col("n_shingles") + F.col("size2") - most) * percent <= most * 100
 
 
+def text_name() -> list:
+    """The 128-bit name of a row's text as ``k1`` and ``k2``; NULL and empty texts share theirs."""
+    text = F.coalesce("text", F.lit(""))
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rounds: int = 2) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id, kept.
+    """One row per input row: doc_id, n_shingles, component_id, kept, and the name (k1, k2) of its text.
 
     Buckets are never expanded into all pairs.  In a star round each bucket
     compares its members with one hub; members that reach it need no
@@ -203,15 +200,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rou
     sign = cut_lineage(signatures(docs, words), "signatures")
     least = -(-percent // (100 - percent)) if percent < 100 else 1  # smaller sets are linked with equal ones only
     classes = sign.filter("doc_id IS NOT NULL AND n_shingles > 0").groupBy("d1", "d2", "n_shingles")
-    classes = cut_lineage(classes.agg(F.min("doc_id").alias("id"), F.any_value("bands").alias("bands")), "classes")
+    first = F.min(F.struct("doc_id", "k1", "k2")).alias("first")
+    classes = classes.agg(first, F.any_value("bands").alias("bands")).select("d1", "d2", "n_shingles", "first.*", "bands")
+    # numbered and stored: one doc_id may have several texts, so it does not name a class
+    classes = cut_lineage(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
     rows = classes.filter(F.col("n_shingles") >= least).select("id", "n_shingles", F.explode("bands").alias("key"))
     full = rows.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key")
     full = cut_lineage(full, "full")  # joins with a stored side can split a large bucket
     buckets = cut_lineage(rows.join(full, "key", "left_semi").select("key", "id", "n_shingles"), "buckets")
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long"), "text", *text_name())
+    members = classes.select("id", "doc_id", "k1", "k2").join(buckets.select("id").distinct(), "id", "left_semi")
     # the ids grow with the corpus: one way to join them at every size
-    sets = shingle_sets(texts.join(buckets.select("id").distinct().hint("merge"), "id", "left_semi"), words)
-    sets = cut_lineage(sets, "sets")
+    texts = texts.join(members.hint("merge"), ["doc_id", "k1", "k2"]).select("id", "text")
+    sets = cut_lineage(shingle_sets(texts, words), "sets")
+    if not sets.groupBy("id").count().filter("count > 1").isEmpty():
+        sets = cut_lineage(sets.dropDuplicates(["id"]), "sets")  # of rows that are there twice
 
     edges = tested = found = None
     for turn in range(star_rounds + 1):
@@ -239,11 +242,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, star_rou
         edges = more if edges is None else edges.union(more)
         found = components(edges)
 
-    named = classes.withColumn("component", F.col("id")) if found is None else classes.join(found, "id", "left")
-    named = named.select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
-    out = sign.select("doc_id", "n_shingles", "d1", "d2").join(named, ["d1", "d2", "n_shingles"], "left")
+    named = classes.select("id", "d1", "d2", "n_shingles", "doc_id")
+    if found is None:
+        named = named.withColumn("component_id", F.col("doc_id"))
+    else:
+        least = found.join(named.select("id", "doc_id"), "id").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        named = named.join(found.join(least, "component").select("id", "component_id"), "id", "left")
+        named = named.withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    named = named.select("d1", "d2", "n_shingles", "component_id")
+    out = sign.select("doc_id", "n_shingles", "d1", "d2", "k1", "k2").join(named, ["d1", "d2", "n_shingles"], "left")
     own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
     own = F.when(F.col("doc_id").isNotNull(), own)
-    return out.select("doc_id", "n_shingles", own.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), "k1", "k2").select("doc_id", "n_shingles", "component_id", kept, "k1", "k2")
+
+
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, but one of each group of near duplicates: the one with the smallest doc_id.
+
+    A row goes by its id and text together, so a text stays when only another
+    text of the same id goes.  Of repeated rows (same id and text) one stays.
+    """
+    found = cut_lineage(near_duplicates(docs, words, percent), "near")
+    name = F.struct(F.col("doc_id").cast("long"), *text_name())
+    own = next(n for n in ("_row", "_row_", "_row__") if n not in docs.columns)
+    rows = docs.withColumn(own, name)
+    gone = found.filter("NOT kept").select(F.struct("doc_id", "k1", "k2").alias(own)).distinct()
+    kept = rows.join(gone, own, "left_anti")
+    twice = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id", "k1", "k2").agg(F.count("*").alias("n")).filter("n > 1")
+    twice = cut_lineage(twice.select(F.struct("doc_id", "k1", "k2").alias(own)), "twice")
+    if not twice.isEmpty():
+        once = kept.join(twice, own, "left_semi").dropDuplicates([own])
+        kept = kept.join(twice, own, "left_anti").union(once.select(kept.columns))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

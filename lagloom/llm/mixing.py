@@ -17,7 +17,10 @@ number with the leaf's.
 A token is a run of characters other than space and ``\\x09-\\x0D``; NULL text
 has none.  NULL lang, source and domain are leaves of their own.  Rows without
 ``doc_id`` share one drawn number; repeated ids are taken together.  Documents without tokens
-are taken while the prefix has not passed them.  Everything is DataFrame operations.
+are taken while the prefix has not passed them.  An empty table gives an empty
+one.  Children with equal capacity per weight are ordered by name.  A document
+is taken or left whole, however long.  Further columns of the input, whatever
+their names, come back untouched inside ``row``.  Everything is DataFrame operations.
 """
 
 from __future__ import annotations
@@ -124,16 +127,14 @@ def mixed(
     max_epochs: int = 4,
     seed: int = 17,
 ) -> DataFrame:
-    """The selected rows of ``docs`` with ``domain``, ``n_tokens`` and ``epoch``; one row per epoch a document is taken in."""
-    helpers = {"domain": domain.cast("string"), "n_tokens": token_count()}
-    rows = docs.select(*[docs[c].alias(c) for c in docs.columns if c not in ("domain", "n_tokens", "epoch")])
-    sized = rows.select("doc_id", *[c for c in LEVELS if c != "domain"], *[v.alias(k) for k, v in helpers.items()])
-    sized = cut_lineage(sized.select("doc_id", *LEVELS, "n_tokens"), "sized")
+    """One row per epoch a document is taken in: doc_id, domain, lang, source, n_tokens, epoch, and the input's ``row`` as a struct."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select("doc_id", domain.cast("string").alias("domain"), "lang", "source", token_count().alias("n_tokens"), row)
+    sized = cut_lineage(rows.drop("row"), "sized")
     leaves = sized.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("rows"))
     cuts = cut_lineage(cutoffs(sized, budgets(leaves, weights, budget_permille, max_epochs), seed), "cutoffs")
     cuts = cuts.select("leaf", "whole", "cutoff")
-    out = rows.withColumns(helpers).withColumn("leaf", F.xxhash64(*[F.coalesce(k, F.lit("\0")) for k in LEVELS]))
-    out = out.join(cuts, "leaf")
+    out = rows.withColumn("leaf", F.xxhash64(*[F.coalesce(k, F.lit("\0")) for k in LEVELS])).join(cuts, "leaf")
     inside = F.coalesce((drawn(seed, F.col("whole") + 1) <= F.col("cutoff")).cast("long"), F.lit(0))
     out = out.withColumn("times", F.col("whole") + inside).filter("times > 0")
     return out.withColumn("epoch", F.explode(F.sequence(F.lit(1), F.col("times").cast("int")))).drop("leaf", "whole", "cutoff", "times")

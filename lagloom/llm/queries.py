@@ -44,7 +44,8 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM found LEFT JOIN sizes USING (doc_id)""",
 )
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    found = minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
 @query("op2_warc")

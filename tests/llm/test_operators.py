@@ -327,3 +327,57 @@ def test_contained_items_in_pieces_and_long_documents(spark):
 def test_rows_without_text(spark, call):
     docs = spark.createDataFrame([(1, None), (2, ""), (None, None), (2, "")], "doc_id long, text string")
     assert call(docs).count() == 4
+
+
+def test_texts_of_one_id_go_by_themselves(spark):
+    rng = random.Random(21)
+    a, b, c = (corpus.words(rng, 40) for _ in range(3))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (2, " ".join(a)), (3, " ".join(a[:-1])), (7, " ".join(c)), (7, " ".join(c)), (None, None), (4, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("k1", F.lit("x")).withColumn("kept", F.lit(1))
+    left = minhash.without_near_duplicates(docs)
+    assert left.columns == docs.columns
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.text or "", r.k1, r.kept) for r in left.collect())
+    want = [(-1, ""), (2, " ".join(a)), (4, ""), (5, " ".join(b)), (7, " ".join(c))]
+    assert got == [(*w, "x", 1) for w in want]
+
+
+def test_near_duplicates_of_real_tables_equal_brute_force(spark):
+    """Five words and 0.8 on all documents of sf0.01: the same components, so recall is 1."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").cache()
+    w = Words(docs.toPandas()["text"].pipe(pa.array))
+    ids = docs.toPandas()["doc_id"].tolist()
+    text, value = w.distinct_shingles(5)
+    size = np.bincount(text, minlength=len(ids))
+    holders = {}
+    for t, v in zip(text.tolist(), value.tolist()):
+        holders.setdefault(v, []).append(t)
+    common = {}
+    for held in holders.values():
+        for i, x in enumerate(held):
+            for y in held[i + 1 :]:
+                common[x, y] = common.get((x, y), 0) + 1
+    group = list(range(len(ids)))
+
+    def find(i):
+        while group[i] != i:
+            i = group[i]
+        return i
+
+    links = 0
+    for (x, y), n in common.items():
+        if 100 * n >= 80 * (size[x] + size[y] - n):
+            links += 1
+            x, y = sorted((find(x), find(y)), key=lambda i: ids[i])
+            group[y] = x
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    assert links > 100 and got == {d: ids[find(i)] for i, d in enumerate(ids)}
+
+
+def test_mixing_keeps_columns_with_the_names_it_uses(spark):
+    names = ["leaf", "whole", "cutoff", "times", "domain", "epoch", "n_tokens", "row", "share", "digits"]
+    rows = [(i, "a b c", "en", "s1", *[f"{n}{i}" for n in names]) for i in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{n} string" for n in names))
+    out = mixing.mixed(docs, F.lit("d"), {}, 500, 1, seed=1).select("row.*")
+    assert out.columns == docs.columns
+    got = out.collect()
+    assert 20 <= len(got) <= 25 and {tuple(r) for r in got} <= set(rows)
