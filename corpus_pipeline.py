@@ -29,15 +29,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates, the one with the smallest doc_id; of its repeated rows one."""
-    found = cut_lineage(minhash.near_duplicates(docs, WORDS, PERCENT).select("doc_id", "kept"), "near")
-    gone = cut_lineage(found.filter("NOT kept").select("doc_id").distinct(), "gone")
-    twice = found.filter("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
-    twice = cut_lineage(twice.select("doc_id"), "twice")
-    kept = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    if twice.isEmpty():
-        return kept
-    lone = kept.join(twice, "doc_id", "left_anti").select(docs.columns)
-    return lone.union(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id", "text"]))
+    return minhash.without_near_duplicates(docs, WORDS, PERCENT)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +39,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents within the token budgets of their domain, language and source."""
-    return mixing.mixed(docs, F.expr(DOMAIN), WEIGHTS, PERMILLE, EPOCHS, SEED).select(docs.columns)
+    return mixing.mixed(docs, F.expr(DOMAIN), WEIGHTS, PERMILLE, EPOCHS, SEED).select("row.*")
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
