@@ -58,3 +58,18 @@ def filter_slices(df: DataFrame, column: str, make: Callable[[], Callable], limi
 def lists(values: np.ndarray, starts: np.ndarray) -> pa.Array:
     """``values[starts[i]:starts[i + 1]]`` as a list column."""
     return pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values))
+
+
+def mapped(df: DataFrame, schema: str, work: Callable) -> DataFrame:
+    """``work`` on every Arrow batch of rows of bounded width; it returns ``{name: values}`` or None."""
+    names = [part.split()[0] for part in schema.split(", ")]
+    ship(df.sparkSession)
+
+    def run(batches):
+        for batch in batches:
+            out = work(batch) if batch.num_rows else None
+            if out is not None:
+                arrays = [x if isinstance(x, pa.Array) else pa.array(x) for x in (out[n] for n in names)]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return df.mapInArrow(run, schema)

@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lagloom.llm import decontaminate, exact, minhash, mixing, private, quality, substrings, tokens, urls, warc
+from lagloom.llm import (
+    collocations,
+    decontaminate,
+    exact,
+    lexical,
+    minhash,
+    mixing,
+    private,
+    quality,
+    substrings,
+    suffixes,
+    tokens,
+    urls,
+    warc,
+)
 from lagloom.queries.registry import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,3 +209,76 @@ SELECT doc_id, len(w) AS n_words, coalesce(n_removed, 0) AS n_removed,
 )
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.without_repeats(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op11_collocations",
+    f"""WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER}, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+words AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM words GROUP BY lang),
+sizes AS (SELECT unnest(range(1, 6)) AS k),
+grams AS (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM words, sizes WHERE len(w) >= k),
+counted AS (SELECT lang, k, w[i:i + k - 1] AS p, count(*)::BIGINT AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (SELECT lang, k, p, f AS a, unnest(range(1, k)) AS cut FROM counted WHERE k >= 2),
+scored AS (
+  SELECT c.lang, c.k, c.p, a, cut, x.f AS l, y.f AS r, n, (1000::HUGEINT * a * n // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN totals USING (lang) JOIN counted x ON x.lang = c.lang AND x.p = c.p[1:cut] JOIN counted y ON y.lang = c.lang AND y.p = c.p[cut + 1:]),
+weakest AS (SELECT *, row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) AS place FROM scored),
+inside AS (SELECT lang, k, p, f, unnest(range(2, k)) AS j FROM counted),
+parts AS (SELECT lang, p, f, j, k, unnest(range(1, k - j + 2)) AS i FROM inside),
+longest AS (SELECT lang, p[i:i + j - 1] AS p, max(f) AS f FROM parts GROUP BY ALL),
+open AS (
+  SELECT w.lang, array_to_string(w.p, ' ') AS phrase, a, l, r, n, score FROM weakest w LEFT JOIN longest g ON g.lang = w.lang AND g.p = w.p
+  WHERE place = 1 AND (g.f IS NULL OR 100 * g.f < 100 * a)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM open)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000""",
+)
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_suffix_dedup",
+    """WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+windows AS (
+  SELECT row, doc_id, unnest(range(1, n - 48)) AS i, unnest(list_transform(range(1, n - 48), lambda i: substr(h, 2 * i - 1, 100))) AS w FROM docs),
+again AS (SELECT row, i, min(doc_id) OVER (PARTITION BY w) < doc_id AS smaller FROM windows),
+places AS (
+  SELECT row, unnest(range(1, n + 1)) AS i, unnest(list_transform(range(1, n + 1), lambda i: substr(h, 2 * i - 1, 2))) AS b FROM docs),
+gone AS (
+  SELECT row, i, b, coalesce(max(smaller) OVER (PARTITION BY row ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW), false) AS out
+  FROM places LEFT JOIN again USING (row, i)),
+runs AS (SELECT row, i, b, out, out AND NOT coalesce(lag(out) OVER (PARTITION BY row ORDER BY i), false) AS first FROM gone),
+kept AS (
+  SELECT row, count(*) FILTER (out) AS n_removed, count(*) FILTER (first) AS n_spans,
+    string_agg(b, '' ORDER BY i) FILTER (NOT out) AS left_over FROM runs GROUP BY row)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(left_over, ''))) AS kept_sha256 FROM docs LEFT JOIN kept USING (row)""",
+)
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.summary(suffixes.repeated_spans(table(spark, sf_dir, "documents")))
+
+
+@query(
+    "op13_lexical_search",
+    f"""WITH docs AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS t FROM documents),
+total AS (SELECT count(*)::BIGINT AS n_docs, sum(len(t))::BIGINT AS n_terms FROM docs WHERE len(t) > 0),
+held AS (SELECT row, term, count(*)::BIGINT AS tf FROM (SELECT row, unnest(t) AS term FROM docs) GROUP BY ALL),
+spread AS (SELECT term, count(*)::BIGINT AS df FROM held GROUP BY term),
+items AS (
+  SELECT row_number() OVER () AS item, item_id, unnest(regexp_extract_all({LOWER}, '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM benchmark),
+wanted AS (SELECT item, item_id, term, count(*)::BIGINT AS c FROM items GROUP BY ALL),
+scored AS (
+  SELECT item, item_id, row, sum(c * floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT
+    * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * len(t) * n_docs) // n_terms))))::BIGINT AS score
+  FROM wanted JOIN spread USING (term) JOIN held USING (term) JOIN docs USING (row), total GROUP BY ALL),
+ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM scored JOIN docs USING (row) WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
+)
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.top_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
