@@ -18,6 +18,7 @@ from lagloom.functions.metrics import BY_NAME
 from lagloom.functions.safe import as_list, spread
 from lagloom.operators.ensemble import in_targets
 from lagloom.operators.features import KEYS
+from lagloom.operators.sweep import corner, slopes, swept
 from lagloom.sources.session import ship
 
 
@@ -119,6 +120,60 @@ def best_candidate(scores: DataFrame, keys: str | Iterable[str] = KEYS) -> DataF
     return least.select(*by, "b.score", "b.cand")
 
 
+def exact_weights(stacked: DataFrame, keys: str | Iterable[str] = KEYS) -> DataFrame:
+    """The weights of least RMSE on the simplex, exactly: keys, target, models, weights, score.
+
+    With weights that sum to one, the error of a mixture is the mixture of the
+    errors, so all that matters is the members' Gram matrix of errors.  On each support the
+    weights solve a small system in the differences to the support's last member; supports
+    with a negative weight or dependent members are no optimum of their own, and the least of the rest is the
+    optimum.  The supports of n models are 2 ** n - 1, rows of a few numbers.
+    """
+    by = [*as_list(keys), "target"]
+    n = F.size("models")
+    members = F.sequence(F.lit(0), n - 1)
+
+    def product(i: Column, j: Column) -> Column:
+        terms = F.zip_with("preds", "obs", lambda p, o: (F.get(p, i) - o) * (F.get(p, j) - o))
+        return F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v)
+
+    gram = F.flatten(F.transform(members, lambda i: F.transform(members, lambda j: product(i, j))))
+    rows = stacked.filter((n > 0) & (F.size("obs") > 0)).select(*by, "models", F.size("obs").alias("_t"), gram.alias("_g"))
+    masks = F.sequence(F.lit(1), (F.pow(F.lit(2), n) - 1).cast("int"))
+    rows = rows.withColumn("_mask", F.explode(masks))
+    rows = rows.withColumn("_in", F.filter(members, lambda i: F.expr("_mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0))
+    size = F.size("_in") - 1
+    last = F.element_at("_in", -1)
+
+    def g(i: Column, j: Column) -> Column:
+        return F.get("_g", i * n + j)
+
+    # regressors: the other members' errors less the last one's; response: minus the last one's
+    def cell(i: Column, j: Column) -> Column:
+        left, right = i == last, j == last
+        return (
+            F.when(left & right, g(last, last))
+            .when(left, g(last, last) - g(last, j))
+            .when(right, g(last, last) - g(i, last))
+            .otherwise(g(i, j) - g(i, last) - g(j, last) + g(last, last))
+        )
+
+    matrix = F.flatten(F.transform("_in", lambda i: F.transform("_in", lambda j: cell(i, j))))
+    rows = rows.withColumn("_m", matrix)
+    pivots = F.filter(members, lambda i: i < size)
+    rows = rows.withColumn("_m", swept(F.col("_m"), pivots, size + 1)).filter("_m IS NOT NULL")
+    rows = rows.withColumn("_w", F.when(size > 0, slopes(F.col("_m"), size)).otherwise(F.array().cast("array<double>")))
+    total = F.aggregate("_w", F.lit(0.0), lambda acc, v: acc + v)
+    rows = rows.withColumn("_w", F.concat("_w", F.array(1 - total))).filter(F.forall("_w", lambda w: w >= 0))
+    weights = F.transform(
+        members, lambda i: F.coalesce(F.get("_w", F.when(F.array_contains("_in", i), F.array_position("_in", i) - 1).cast("int")), F.lit(0.0))
+    )
+    score = F.sqrt(F.greatest(corner(F.col("_m")), F.lit(0.0)) / F.col("_t"))
+    rows = rows.select(*by, "models", F.when(score.isNotNull(), weights).alias("weights"), score.alias("score"), size.alias("_size"), "_mask")
+    best = F.min_by(F.struct("models", "weights", "score"), F.struct("score", "_size", "_mask")).alias("b")
+    return rows.filter("score IS NOT NULL").groupBy(*by).agg(best).select(*by, "b.*")
+
+
 def find_stack_weights(
     stacked: DataFrame,
     metric: str = "MAPE",
@@ -213,6 +268,17 @@ def find_stack_weights(
     return spread(tasks, *keys, "target").mapInPandas(search, result)
 
 
+def stack_weights(
+    stacked: DataFrame, metric: str = "MAPE", exact: bool = False, keys: str | Iterable[str] = KEYS, **search
+) -> DataFrame:
+    """Weights by the random search, or the optimum itself where ``exact`` (RMSE only)."""
+    if not exact:
+        return find_stack_weights(stacked, metric, keys=keys, **search)
+    if metric != "RMSE":
+        raise ValueError("the optimum is known for RMSE only")
+    return exact_weights(stacked, keys)
+
+
 def weight_rows(found: DataFrame, keys: str | Iterable[str] = KEYS) -> DataFrame:
     """One row per (series, target, model) from arrays of models and weights."""
     pair = F.explode(F.arrays_zip("models", "weights")).alias("_p")

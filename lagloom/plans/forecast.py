@@ -74,6 +74,7 @@ def forecast(
     stretch: bool = False,
     stacking: bool = False,
     stack_metric: str = "MAPE",
+    stack_exact: bool = False,
     patience: int = 500,
     seed: int = 123,
     supplied: DataFrame | None = None,
@@ -118,7 +119,7 @@ def forecast(
     stack_weights = None
     if stacking:
         stacked = st.stack_input(ranked, years, n, slide, by, time)
-        found = st.find_stack_weights(stacked, stack_metric, patience, seed=seed, keys=by)
+        found = st.stack_weights(stacked, stack_metric, stack_exact, by, patience=patience, seed=seed)
         stack_weights = cut_lineage(st.weight_rows(found, by), "stacking")
     weights, ensembles = en.ensemble(
         ranked, years, n, slide, k, alpha, stretch, stack_weights, by, time

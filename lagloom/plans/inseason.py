@@ -13,8 +13,8 @@ from lagloom.operators import season as se
 from lagloom.operators import stacking as st
 from lagloom.operators.backtest import failed, succeeded
 from lagloom.operators.candidates import Candidates
+from lagloom.operators.error_orders import fit_orders
 from lagloom.operators.features import drop_incomplete
-from lagloom.operators.fit_arima import fit_arima
 from lagloom.sources.writers import cut_lineage
 
 
@@ -87,17 +87,22 @@ def stack_over_years(fc: DataFrame, keys: str | Iterable[str]) -> DataFrame:
 def inseason_backtest(
     season: SeasonData,
     candidates: Candidates,
-    last: int,
+    last: int | None,
     first_period: int = 2,
     period1_only: Sequence[str] = (),
     stack_metric: str = "MAPE",
     patience: int = 500,
     seed: int = 123,
-    fitter: Callable[..., DataFrame] = fit_arima,
+    fitter: Callable[..., DataFrame] = fit_orders,
+    exact: bool = False,
     keys: str | Iterable[str] = ("species",),
     **fit_options,
 ) -> tuple[DataFrame, DataFrame]:
-    """(forecasts with an ``ensemble`` row per year, failed fits) of the season totals."""
+    """(forecasts with an ``ensemble`` row per year, failed fits) of the season totals.
+
+    ``fit_options`` go to the fitter, e.g. ``seasonal=2`` for the same period one
+    year back.  From period 1 on, period 2 is forecast two steps ahead.
+    """
     keys = as_list(keys)
     rows = drop_incomplete(season.series, list(candidates.covariates))
     rows = se.complete_periods(rows, keys)
@@ -117,7 +122,7 @@ def inseason_backtest(
     observed = rows.select(*keys, "year", "period", "abundance")
     fc = succeeded(fits).join(observed, [*keys, "year", "period"], "left")
     totals = se.label_errors(se.add_observed(fc, season.observed, keys))
-    found = st.find_stack_weights(stack_over_years(totals, keys), stack_metric, patience, seed=seed, keys=keys)
+    found = st.stack_weights(stack_over_years(totals, keys), stack_metric, exact, keys, patience=patience, seed=seed)
     weights = st.weight_rows(found, keys).select(
         *keys, "model", F.round("weight", 4).alias("stacking_weight")
     )

@@ -14,12 +14,13 @@ from lagloom.operators import report as rp
 from lagloom.operators import rolling as ro
 from lagloom.operators import stacking as st
 from lagloom.operators.candidates import Candidates, with_labels
-from lagloom.operators.fit_arima import fit_arima
+from lagloom.operators.error_orders import choose_differences, fit_orders
 from lagloom.operators.fit_linear import fit_ar, fit_linear
 from lagloom.operators.screen import screen_subsets
 from lagloom.plans.forecast import score
 from lagloom.queries import panels as pa
 from lagloom.queries import sql
+from lagloom.queries import sql_orders as so
 from lagloom.queries.registry import query, rounded, shown
 from lagloom.queries.sql import LAST, METRICS, SLIDE, TOP, VALUES, YEARS
 from lagloom.sources.writers import cut_lineage
@@ -351,22 +352,108 @@ def backtest_order(spark, sf_dir):
     )
 
 
-@query("q_arima_white", FIT_SQL)
-def arima_white(spark, sf_dir):
-    """The order-(0,0,0) fitter on the same tasks: equal to the linear regression."""
-    white = partial(fit_arima, orders=[(0, 0)], fixed_d=0)
-    return _fit_view(fits(spark, sf_dir, fitter=white))
+# Centred log responses and their first two differences, rows that have a response or are the target.
+LOGGED = f"""{pa.SUP_FEATURES}, logged AS (
+  SELECT series_id, t, ln(abundance) - avg(ln(abundance)) OVER (PARTITION BY series_id) AS y,
+    coalesce(avg(ln(abundance)) OVER (PARTITION BY series_id), 0) AS level, pink_ind - avg(pink_ind) OVER (PARTITION BY series_id) AS x0,
+    max(t) OVER (PARTITION BY series_id) AS last_t FROM feat),
+steps AS (
+  SELECT *, lag(y) OVER o AS y1, lag(y, 2) OVER o AS y2, y - lag(y) OVER o AS dy, x0 - lag(x0) OVER o AS dx0 FROM logged
+  WINDOW o AS (PARTITION BY series_id ORDER BY t)),
+twice AS (SELECT *, dy - lag(dy) OVER (PARTITION BY series_id ORDER BY t) AS ddy FROM steps)"""
+ORDER_COLUMNS = ("predicted_abundance", "lo_50", "hi_50", "lo_95", "hi_95")
+
+
+def _order_view(df, digits=5, aicc=6):
+    picked = {"p": 0, "q": 1, "sp": 2, "d": 5}
+    df = df.withColumns({k: F.get("order", F.lit(i)) for k, i in picked.items()})
+    return shown(bt.succeeded(df), ("series_id", "t", "model", *picked, "n_obs"), {digits: ORDER_COLUMNS, aicc: ("aicc",)})
+
+
+@query(
+    "q_backtest_ma",
+    f"""WITH {LOGGED}, rows0 AS (SELECT series_id, t, last_t, level, y AS z FROM logged),
+{so.orders("m", "rows0", "series_id, t, last_t, level", [], {1: []}, 1, 1, 0, 2)}, {so.best("b", "m_every", "series_id, t")}
+SELECT series_id, t, model, p, q, sp, 0 AS d, n AS n_obs, {so.bounds("(mu + level)", "sigma2")}, round(aicc, 6) AS aicc
+FROM b WHERE t > last_t - {LAST}""",
+)
+def backtest_ma(spark, sf_dir):
+    """Autoregressive and moving-average orders 0 and 1 of the errors, in two stages."""
+    return _order_view(bt.backtest(pa.supplier_features(spark, sf_dir), Candidates((), 0, 0), LAST, fit_orders))
+
+
+@query(
+    "q_choose_differences",
+    f"""WITH {LOGGED}, {so.statistic("stat0", "twice", "y")}, {so.statistic("stat1", "twice", "dy")},
+{so.chosen("c", "twice", ["stat0", "stat1"])} SELECT series_id, t, round(stat, 6) AS statistic, d FROM c""",
+)
+def differences(spark, sf_dir):
+    """The number of differences at every row, from the rows before it."""
+    rows = choose_differences(pa.supplier_features(spark, sf_dir), max_d=2)
+    return rows.select("series_id", "t", F.round("statistic", 6).alias("statistic"), "d")
+
+
+@query(
+    "q_backtest_differences",
+    f"""WITH {LOGGED}, {so.statistic("stat0", "twice", "y")}, {so.chosen("c", "twice", ["stat0"])},
+rows0 AS (SELECT series_id, t, last_t, level, y1, x0 AS w0, y AS z FROM steps),
+rows1 AS (SELECT series_id, t, last_t, level, y1, dx0 AS w0, dy AS z FROM steps),
+{so.orders("m0", "rows0", "series_id, t, last_t, level, y1", ["w0"], {1: ["w0"], 2: []}, 1, 1, 12, 2)},
+{so.orders("m1", "rows1", "series_id, t, last_t, level, y1", ["w0"], {1: ["w0"], 2: []}, 1, 1, 12, 2)},
+every AS (
+  SELECT e.*, 0 AS d, mu + level AS centre FROM m0_every e UNION ALL SELECT e.*, 1, mu + y1 + level FROM m1_every e),
+{so.best("b", "(SELECT e.*, c.d AS want FROM every e JOIN c USING (series_id, t) WHERE e.d = c.d)", "series_id, t")}
+SELECT series_id, t, model, p, q, sp, d, n AS n_obs, {so.bounds("centre", "sigma2")}, round(aicc, 6) AS aicc
+FROM b WHERE t > last_t - {LAST}""",
+)
+def backtest_differences(spark, sf_dir):
+    """Differences chosen per fit, then orders and a yearly lag, with and without the parity covariate; forecasts are levels again."""
+    fit = partial(fit_orders, max_d=1, seasonal=12)
+    return _order_view(bt.backtest(pa.supplier_features(spark, sf_dir), Candidates(("pink_ind",), 0, 1, include_null=True), LAST, fit))
 
 
-@query("q_backtest_arima")
+@query("q_arima_white", FIT_SQL)
+def arima_white(spark, sf_dir):
+    """The order-choosing fitter held to white errors: equal to the linear regression."""
+    return _fit_view(fits(spark, sf_dir, fitter=partial(fit_orders, max_p=0, max_q=0)))
+
+
+SEGMENT_ROWS = f"""{pa.SEG}, {pa.spine_sql("seg")},
+tagged AS (
+  SELECT series_id, t, abundance, lag(CASE WHEN n_orders > 0 THEN ln(n_orders) END) OVER (PARTITION BY series_id ORDER BY t) AS n1,
+    CAST(t % 2 AS DOUBLE) AS pink, max(t) OVER (PARTITION BY series_id) AS last_t FROM spine),
+scaled AS (
+  SELECT series_id, t, last_t, abundance, coalesce((n1 - avg(n1) OVER s) / nullif(stddev_samp(n1) OVER s, 0), 0) AS n1,
+    coalesce((pink - avg(pink) OVER s) / nullif(stddev_samp(pink) OVER s, 0), 0) AS pink
+  FROM tagged WINDOW s AS (PARTITION BY series_id) QUALIFY abundance IS NOT NULL OR t = last_t),
+logged AS (
+  SELECT series_id, t, last_t, ln(abundance) - avg(ln(abundance)) OVER s AS y, coalesce(avg(ln(abundance)) OVER s, 0) AS level,
+    n1 - avg(n1) OVER s AS x0, pink - avg(pink) OVER s AS x1 FROM scaled WINDOW s AS (PARTITION BY series_id)),
+steps AS (
+  SELECT *, lag(y) OVER o AS y1, y - lag(y) OVER o AS dy, x0 - lag(x0) OVER o AS dx0, x1 - lag(x1) OVER o AS dx1
+  FROM logged WINDOW o AS (PARTITION BY series_id ORDER BY t))"""
+
+
+@query(
+    "q_backtest_arima",
+    f"""WITH {SEGMENT_ROWS}, {so.statistic("stat0", "steps", "y")}, {so.chosen("c", "steps", ["stat0"])},
+rows0 AS (SELECT series_id, t, last_t, level, y1, x0 AS w0, x1 AS w1, y AS z FROM steps),
+rows1 AS (SELECT series_id, t, last_t, level, y1, dx0 AS w0, dx1 AS w1, dy AS z FROM steps),
+{so.orders("m0", "rows0", "series_id, t, last_t, level, y1", ["w0", "w1"], {1: ["w0"], 2: ["w1"], 3: []}, 2, 1, 0, 3)},
+{so.orders("m1", "rows1", "series_id, t, last_t, level, y1", ["w0", "w1"], {1: ["w0"], 2: ["w1"], 3: []}, 2, 1, 0, 3)},
+every AS (
+  SELECT e.*, 0 AS d, mu + level AS centre FROM m0_every e UNION ALL SELECT e.*, 1, mu + y1 + level FROM m1_every e),
+{so.best("b", "(SELECT e.*, c.d AS want FROM every e JOIN c USING (series_id, t) WHERE e.d = c.d)", "series_id, t")}
+SELECT series_id, t, model, p, q, sp, d, n AS n_obs, {so.bounds("centre", "sigma2", 2)}, round(aicc, 5) AS aicc FROM b""",
+)
 def backtest_arima(spark, sf_dir):
-    """Order-selecting fits of the segment series with the parity covariate."""
+    """Order-choosing fits of the segment series with two covariates and a null model, at every origin."""
     panel = op.with_tags(op.complete_spine(pa.segment_months(spark, sf_dir)), "segment")
     panel = op.parity(op.log_lag_feature(panel, "n_orders", 1))
     names = ("lag1_log_n_orders", "pink_ind")
     panel = op.keep_observed_or_target(op.fill_zero(op.zscore(panel, names), names))
-    out = bt.backtest(panel, Candidates(names, 0, 1, include_null=True), 12, fit_arima)
-    return out.select("series_id", "t", "model", *VALUES, "aicc", bt.order_text().alias("arma"), "error")
+    fit = partial(fit_orders, max_p=2, max_d=1, long=3)
+    return _order_view(bt.backtest(panel, Candidates(names, 0, 1, include_null=True), None, fit), 2, 5)
 
 
 # --- metrics -----------------------------------------------------------------
@@ -710,6 +797,32 @@ def best_candidate(spark, sf_dir):
     return rounded(st.best_candidate(st.score_weights(paired, "RMSE")), 4, "score").drop("cand")
 
 
+@query(
+    "q_stack_exact",
+    f"""WITH {STACK}, member_errors AS (SELECT series_id, target, size, obs - preds[1] AS e1, obs - preds[2] AS e2, obs - preds[3] AS e3 FROM whole),
+g AS (SELECT series_id, target, max(size) AS n, count(*) AS k, sum(e1 * e1) AS g11, sum(e1 * e2) AS g12, sum(e1 * e3) AS g13,
+    sum(e2 * e2) AS g22, sum(e2 * e3) AS g23, sum(e3 * e3) AS g33 FROM member_errors GROUP BY 1, 2),
+pair AS (
+  SELECT *, (g22 - g12) / nullif(g11 - 2 * g12 + g22, 0) AS b12, (g33 - g13) / nullif(g11 - 2 * g13 + g33, 0) AS b13,
+    (g33 - g23) / nullif(g22 - 2 * g23 + g33, 0) AS b23, g11 - 2 * g13 + g33 AS d11, g22 - 2 * g23 + g33 AS d22,
+    g12 - g13 - g23 + g33 AS d12, g33 - g13 AS r1, g33 - g23 AS r2 FROM g),
+triple AS (SELECT *, d11 * d22 - d12 * d12 AS det, (r1 * d22 - r2 * d12) / nullif(d11 * d22 - d12 * d12, 0) AS t1,
+    (r2 * d11 - r1 * d12) / nullif(d11 * d22 - d12 * d12, 0) AS t2 FROM pair),
+tried AS (
+  SELECT series_id, target, k, g11 AS rss, 1.0 AS w1, 0.0 AS w2, 0.0 AS w3 FROM triple UNION ALL
+  SELECT series_id, target, k, g22, 0, 1, 0 FROM triple UNION ALL SELECT series_id, target, k, g33, 0, 0, 1 FROM triple UNION ALL
+  SELECT series_id, target, k, g22 - b12 * (g22 - g12), b12, 1 - b12, 0 FROM triple UNION ALL
+  SELECT series_id, target, k, g33 - b13 * (g33 - g13), b13, 0, 1 - b13 FROM triple UNION ALL
+  SELECT series_id, target, k, g33 - b23 * (g33 - g23), 0, b23, 1 - b23 FROM triple UNION ALL
+  SELECT series_id, target, k, g33 - t1 * r1 - t2 * r2, t1, t2, 1 - t1 - t2 FROM triple WHERE det > 1e-10 * d11 * d22)
+SELECT series_id, target, round(sqrt(greatest(min(rss), 0) / max(k)), 4) AS score FROM tried
+WHERE rss IS NOT NULL AND w1 >= 0 AND w2 >= 0 AND w3 >= 0 GROUP BY 1, 2""",
+)
+def stack_exact(spark, sf_dir):
+    """The least RMSE that any weights on the simplex reach; never above the grid's."""
+    return rounded(st.exact_weights(_stacked(spark, sf_dir)), 4, "score").select("series_id", "target", "score")
+
+
 @query("q_stack_search")
 def stack_search(spark, sf_dir):
     """Random search per (series, target); each chain ends after 500 idle proposals."""

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from lagloom.operators import season as se
 from lagloom.operators.candidates import Candidates
-from lagloom.operators.fit_linear import fit_ar
 from lagloom.plans.inseason import inseason_backtest, prepare_season
 from lagloom.queries import panels as pa
+from lagloom.queries import sql_orders as so
 from lagloom.queries.registry import query, rounded
 
 # The season is 1 April to 30 September, its forecast part starts on 1 July; the
@@ -214,22 +214,72 @@ def stack_ensemble(spark, sf_dir):
     )
 
 
-@query("q_inseason")
-def inseason(spark, sf_dir):
-    """Backtest of the period-2 totals of the segments with stacking.
+def _inseason_sql(first: int) -> str:
+    """Tables up to ``done{first}``: the season's forecasts starting from a period, with the ensemble."""
+    own, tag, by = f"period = {first}", f"f{first}", "species, year, period"
+    mus = "SELECT species, year, period, level, model, mu, sigma2 FROM " + f"best{first}"
+    if first == 1:
+        mus += f""" UNION ALL SELECT b.species, b.year, 2, b.level, b.model, b.a + b.b_x0 * n.x0 + b.b_z1 * b.mu + b.b_z2 * n.z2,
+    sigma2 * (1 + b.b_z1 ** 2) FROM best1 b JOIN f1_lag n ON n.species = b.species AND n.step = b.step + 1"""
+    bounds = ", ".join(f"exp(mu + level {sign} {z} * sqrt(sigma2)) AS {c}" for c, sign, z in (
+        ("lo_50", "-", so.Z50), ("hi_50", "+", so.Z50), ("lo_95", "-", so.Z95), ("hi_95", "+", so.Z95)))
+    values = ", ".join(f"p.{c} + o.obs_abundance AS {c}" for c in se.VALUES)
+    mixed = ", ".join(f"CASE WHEN count({c} * stacking_weight) = count(*) THEN sum({c} * stacking_weight) END AS {c}" for c in se.VALUES)
+    return f"""{so.orders(tag, "season_rows", "species, year, period, step, level", ["x0"], {1: ["x0"], 2: []}, 1, 0, 2, 2, "species", "step")},
+{so.best(f"best{first}", f"(SELECT * FROM {tag}_every WHERE {own})", by)},
+mus{first} AS ({mus}),
+points{first} AS (SELECT species, year, period, model, exp(mu + level) AS predicted_abundance, {bounds} FROM mus{first} WHERE mu IS NOT NULL),
+totals{first} AS (
+  SELECT p.species, p.year, p.period, p.model, r.abundance + o.obs_abundance AS abundance, {values} FROM points{first} p
+  LEFT JOIN season_rows r ON r.species = p.species AND r.year = p.year AND r.period = p.period
+  LEFT JOIN observed o ON o.species = p.species AND o.year = p.year),
+errors{first} AS (
+  SELECT x.species, x.predicted_abundance - x.abundance AS e1, y.predicted_abundance - y.abundance AS e2 FROM totals{first} x
+  JOIN totals{first} y ON x.species = y.species AND x.year = y.year AND x.period = y.period AND x.model = 1 AND y.model = 2
+  WHERE x.abundance IS NOT NULL AND x.predicted_abundance IS NOT NULL AND y.predicted_abundance IS NOT NULL),
+share{first} AS (
+  SELECT species, greatest(0, least(1, sum(e2 * (e2 - e1)) / sum((e1 - e2) ** 2))) AS w FROM errors{first} GROUP BY 1),
+given{first} AS (
+  SELECT t.*, round(CASE WHEN model = 1 THEN w ELSE 1 - w END, 4) AS stacking_weight FROM totals{first} t LEFT JOIN share{first} USING (species)),
+done{first} AS (
+  SELECT species, year, period, CAST(model AS VARCHAR) AS model, abundance, stacking_weight, {", ".join(se.VALUES)} FROM given{first} UNION ALL
+  SELECT species, year, period, 'ensemble', max(abundance), NULL, {mixed} FROM given{first} GROUP BY 1, 2, 3)"""
+
+
+IN_SEASON = f"""{COMPLETED}, ordered AS (
+  SELECT species, year, period, abundance, CAST(CASE WHEN period = 1 THEN year % 2 ELSE -(year % 2) END AS DOUBLE) AS odd FROM completed),
+season_rows AS (
+  SELECT species, year, period, 2 * year + period - 1 AS step, abundance, odd - avg(odd) OVER s AS x0,
+    coalesce(avg(ln(abundance)) OVER s, 0) AS level, ln(abundance) - avg(ln(abundance)) OVER s AS z
+  FROM ordered WINDOW s AS (PARTITION BY species)),
+{_inseason_sql(1)}, {_inseason_sql(2)}"""
+
 
-    Autoregressive orders only: no differences and no seasonal term are fitted.
-    """
+@query(
+    "q_inseason",
+    f"WITH {IN_SEASON} "
+    + " UNION ALL ".join(
+        f"SELECT {first} AS first_period, species, year, period, model, {', '.join(f'round({c}, 2) AS {c}' for c in ('abundance', *se.VALUES))}, "
+        f"round(stacking_weight, 4) AS stacking_weight FROM done{first}"
+        for first in (1, 2)
+    ),
+)
+def inseason(spark, sf_dir):
+    """Season totals of all years from either period on: orders and the lag of a year, stacked exactly by RMSE."""
     daily = pa.segment_days(spark, sf_dir).withColumn("odd", F.pmod("year", F.lit(2)).cast("double"))
     prepared = prepare_season(
         daily, START, END, START_MD, END_MD, FORECAST_MD, "species", covariates=["odd"], period1_only=["odd"]
     )
-    fc, _ = inseason_backtest(
-        prepared,
-        Candidates(("odd",), 0, 1, include_null=True),
-        last=5,
-        first_period=2,
-        period1_only=["odd"],
-        fitter=fit_ar,
-    )
-    return fc.select("species", "year", "model", "predicted_abundance", "lo_95", "hi_95", "abundance", "stacking_weight")
+    out = None
+    for first in (1, 2):
+        fc, _ = inseason_backtest(
+            prepared, Candidates(("odd",), 0, 1, include_null=True), None, first, ["odd"], "RMSE", exact=True,
+            max_p=1, max_q=0, seasonal=2,
+        )
+        values = rounded(fc, 2, "abundance", *se.VALUES)
+        own = values.select(
+            F.lit(first).alias("first_period"), "species", "year", "period", "model", "abundance", *se.VALUES,
+            F.round("stacking_weight", 4).alias("stacking_weight"),
+        )
+        out = own if out is None else out.union(own)
+    return out

@@ -13,7 +13,8 @@ SMALL = "/root/testdata/sf0.001"
 NAMES = [
     "q_cohort_to_calendar", "q_transpose", "q_spine", "q_group_count", "q_make_features", "q_feature_table",
     "q_read_index", "q_add_observed", "q_complete_periods", "q_tasks", "q_screen", "q_backtest_linear",
-    "q_backtest_gram", "q_arima_white", "q_weighted_metrics", "q_avg_rank", "q_rank_by_mape", "q_combine",
+    "q_backtest_gram", "q_arima_white", "q_backtest_ma", "q_choose_differences", "q_backtest_differences", "q_stack_exact",
+    "q_inseason", "q_weighted_metrics", "q_avg_rank", "q_rank_by_mape", "q_combine",
     "q_ensemble_decay", "q_score_grid", "q_sweep_window", "q_chosen",
 ]
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lagloom.operators import backtest as bt
 from lagloom.operators.candidates import Candidates
-from lagloom.operators.fit_arima import fit_arima
+from lagloom.operators.error_orders import fit_orders
 from lagloom.operators.fit_linear import fit_ar, fit_linear
 from lagloom.operators.screen import screen_subsets
 
@@ -32,11 +32,11 @@ def test_fits_do_not_depend_on_the_origin_of_a_scale(spark, offset):
     assert screen_subsets(moved, made).filter("aicc IS NULL").count() == 0
 
 
-@pytest.mark.parametrize("fitter", [fit_linear, fit_arima])
+@pytest.mark.parametrize("fitter", [fit_linear, fit_orders])
 def test_a_bad_value_touches_its_own_series_alone(spark, fitter):
     frame = panel(n_series=2, n_times=30)
     made = Candidates(NAMES, 1, 1)
-    options = {"orders": [(0, 0), (1, 0)]} if fitter is fit_arima else {}
+    options = {"max_p": 1, "max_q": 0} if fitter is fit_orders else {}
     plain = by_fit(fitter(to_spark(spark, frame), made, 3, **options))
     bad = frame.copy()
     rows = bad.series_id == "s0"

@@ -4,7 +4,7 @@ from panels import panel, to_spark
 from pyspark.sql import functions as F
 
 from lagloom.operators.candidates import Candidates
-from lagloom.operators.fit_arima import fit_arima
+from lagloom.operators.error_orders import fit_orders
 from lagloom.plans.forecast import forecast, next_forecast
 from lagloom.plans.refresh import upsert
 from lagloom.sources import readers, writers
@@ -59,8 +59,8 @@ def test_one_series_equals_the_same_series_in_the_panel(data, full):
     close(rows(alone.chosen), rows(full.chosen.filter("series_id = 's1'")))
 
 
-def test_stacking_and_arima_runs(data):
-    run = forecast(data, Candidates(("a", "b"), 0, 1), 3, 4, 2, stacking=True, patience=30, fitter=fit_arima, max_p=1, max_q=0)
+def test_stacking_and_order_runs(data):
+    run = forecast(data, Candidates(("a", "b"), 0, 1), 3, 4, 2, stacking=True, patience=30, fitter=fit_orders, max_p=1, max_q=0)
     schemes = {r.model for r in run.ensembles.select("model").distinct().collect()}
     assert "Stack_weighted" in schemes and len(schemes) == 6
     weights = run.weights.collect()

@@ -57,7 +57,7 @@ def test_inseason_backtest_has_an_ensemble_per_year(spark):
     data = prepare_season(daily(spark), "1995-01-01", "2012-12-31", 401, 930, 701, "species", covariates=["x"])
     fc, failed = inseason_backtest(
         data, Candidates(("x",), 0, 1, include_null=True), 3, first_period=2, period1_only=["x"],
-        patience=50, seasonal=True, max_p=1, max_q=0,
+        patience=50, seasonal=2, max_p=1, max_q=0,
     )
     rows = fc.collect()
     assert {r.year for r in rows} == {2010, 2011, 2012} and failed.count() == 0

@@ -60,3 +60,32 @@ def test_search_is_seeded_and_no_worse_than_its_start(stacked):
     assert all(r.score <= best[r.series_id, r.target] * 1.05 for r in patient)
     rows = st.weight_rows(st.find_stack_weights(stacked, "RMSE", 50))
     assert rows.count() == 30
+
+
+def test_exact_weights_are_the_optimum(spark, stacked):
+    inputs = {(r.series_id, r.target): r for r in stacked.collect()}
+    got = {(r.series_id, r.target): r for r in st.exact_weights(stacked).collect()}
+    assert set(got) == set(inputs)
+    rng = np.random.default_rng(0)
+    for key, r in got.items():
+        o, p, w = np.array(inputs[key].obs), np.array(inputs[key].preds), np.array(r.weights)
+        score = lambda v: np.sqrt(np.mean((o - p @ v) ** 2))
+        assert w.min() >= 0 and w.sum() == pytest.approx(1) and r.score == pytest.approx(score(w)) and list(r.models) == list(inputs[key].models)
+        others = rng.dirichlet(np.full(3, 0.5), 3000)
+        assert all(score(v) >= r.score - 1e-9 for v in others)
+    grid = st.best_candidate(st.score_weights(st.pair_simplex(stacked, 10), "RMSE"))
+    assert all(got[r.series_id, r.target].score <= r.score + 1e-9 for r in grid.collect())
+
+
+def test_exact_weights_of_dependent_perfect_and_single_members(spark):
+    rows = [
+        ("one", 1, [3], [5.0, 6.0], [[4.0], [7.0]]), ("same", 1, [1, 2], [5.0, 6.0], [[4.0, 4.0], [7.0, 7.0]]),
+        ("between", 1, [1, 2], [5.0], [[4.0, 6.0]]), ("perfect", 1, [1, 2, 3], [5.0, 6.0], [[4.0, 5.0, 9.0], [7.0, 6.0, 9.0]]), ("empty", 1, [1], [], []),
+    ]
+    df = spark.createDataFrame(rows, "series_id string, target int, models array<int>, obs array<double>, preds array<array<double>>")
+    got = {r.series_id: r for r in st.exact_weights(df).collect()}
+    assert set(got) == {"one", "same", "between", "perfect"}
+    assert got["one"].weights == [1.0] and got["one"].score == pytest.approx(1)
+    assert got["same"].weights == [1.0, 0.0] and got["same"].score == pytest.approx(1)
+    assert got["between"].weights == pytest.approx([0.5, 0.5]) and got["between"].score == pytest.approx(0, abs=1e-9)
+    assert got["perfect"].weights == [0.0, 1.0, 0.0] and got["perfect"].score == 0
