@@ -381,3 +381,44 @@ def test_mixing_keeps_columns_with_the_names_it_uses(spark):
     assert out.columns == docs.columns
     got = out.collect()
     assert 20 <= len(got) <= 25 and {tuple(r) for r in got} <= set(rows)
+
+
+def test_greedy_factors_judge_every_window():
+    """Longest matches and the parse against all pairs of segments, words from a tiny vocabulary."""
+    rng = np.random.default_rng(2)
+    for _ in range(20):
+        m, window, left = 40, 6, 4
+        group, count = np.sort(rng.integers(0, 6, m)), np.ones(m, int)
+        count[rng.integers(0, m, 3)] = 2
+        start = rng.integers(0, left + 1, m)
+        size = np.array([rng.integers(window, left + window - s + 1) if left + window - s > window else window for s in start])
+        words = [rng.integers(0, 2, n) for n in size]
+        heads = np.concatenate(([0], np.cumsum(size)))
+        match = substrings.longest_matches(group, count, start, np.concatenate(words), heads, left + window, left + 1)
+        seg, col, length = substrings.greedy(match, start, start + size, window)
+        judged = {(i, c + k) for i, c, n in zip(seg.tolist(), col.tolist(), length.tolist()) for k in range(n - window + 1)}
+        want = set()
+        for i in range(m):
+            for c in range(start[i], start[i] + size[i] - window + 1):
+                own = words[i][c - start[i] :][:window].tolist()
+                others = (j for j in range(m) if j != i and group[j] == group[i] and start[j] <= c and c + window <= start[j] + size[j])
+                if count[i] > 1 or any(words[j][c - start[j] :][:window].tolist() == own for j in others):
+                    want.add((i, c))
+        assert judged == want
+
+
+def test_periodic_and_chained_passages(spark):
+    rng = random.Random(17)
+    base = corpus.words(rng, 400)
+    texts = [" ".join(base), " ".join(base[:60] + ["x"] + base[80:160]), " ".join(base[40:110]), " ".join(["la"] * 90), " ".join(["la", "lu"] * 40), "la " * 34]
+    texts += [" ".join(base[100:140]) + "\n" + "  ".join(base[300:335]), None, "", texts[2]]
+    window = 35
+    split = [(t or "").split() for t in texts]
+    seen = {}
+    for i, w in enumerate(split):
+        for s in range(len(w) - window + 1):
+            seen.setdefault(tuple(w[s : s + window]), []).append((i, s))
+    got = {r.doc_id: r for r in substrings.without_repeats(frame(spark, texts)).collect()}
+    for i, w in enumerate(split):
+        gone = {s + k for s in range(len(w) - window + 1) if len(seen[tuple(w[s : s + window])]) > 1 for k in range(window)}
+        assert (got[i].n_words, got[i].n_removed) == (len(w), len(gone)), i
