@@ -11,6 +11,7 @@ from lagloom.operators.smooth import binomial_smooth
 from lagloom.plans.features import make_features
 from lagloom.queries import panels as pa
 from lagloom.queries.registry import month_number, query, rounded, table
+from lagloom.queries.sql_smooth import smooth
 from lagloom.sources import readers, writers
 
 # --- sources and sinks -------------------------------------------------------
@@ -381,7 +382,14 @@ def returns_features(spark, sf_dir):
     return rounded(out, 6, *RETURN_COVARIATES)
 
 
-@query("q_binomial_smooth")
+@query(
+    "q_binomial_smooth",
+    f"""WITH RECURSIVE counts AS (
+  SELECT c_mktsegment AS series_id, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS trials,
+    count(*) FILTER (o_orderstatus = 'F') AS success FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
+{smooth("counts", range(1995, 2002))}
+SELECT series_id, year, success, trials, round(rate, 8) AS rate FROM counts JOIN smooth USING (series_id, year)""",
+)
 def smoothed_share(spark, sf_dir):
     """Smoothed yearly share of finished orders per customer segment."""
     orders = table(spark, sf_dir, "orders").select(
@@ -394,4 +402,4 @@ def smoothed_share(spark, sf_dir):
         .groupBy("series_id", "year")
         .agg(F.sum("done").alias("success"), F.sum("trials").alias("trials"))
     )
-    return binomial_smooth(counts, "success", "trials")
+    return rounded(binomial_smooth(counts, "success", "trials"), 8, "rate")
