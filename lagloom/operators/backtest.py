@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lagloom.functions.safe import as_list
@@ -103,13 +103,20 @@ def fitted_values(
     forecasts: DataFrame,
     keys: str | Iterable[str] = KEYS,
     time: str = "t",
+    value: str | None = None,
 ) -> DataFrame:
     """In-sample values of linear fits: each fit applied to its training rows.
 
-    Fits with terms that are no column of ``df`` (autoregressive, moving
-    average, drift) have no value there: the query fails rather than return NULL.
+    With ``value``, the response, the lags of ``fit_ar`` are taken from it; a row
+    without the lags of its fit has no value.  Fits with other terms that are no column of ``df``
+    (moving average, drift) have none anywhere: the query fails rather than return NULL.
     """
     keys = as_list(keys)
+    if value is not None:
+        terms = forecasts.select(F.explode(F.map_keys("coef")).alias("term")).filter("term LIKE '\\\\_lag\\\\_log%'").distinct().collect()
+        ordered = Window.partitionBy(*keys).orderBy(time)
+        lags = {row.term: F.lag(F.ln(value), int(row.term[len("_lag_log") :] or 1)).over(ordered) for row in terms}
+        df = df.withColumns(lags).drop(value)
     known = F.array(F.lit("intercept"), *[F.lit(c) for c in df.columns])
     stray = F.filter(F.map_keys("coef"), lambda c: ~F.array_contains(known, c))
     message = F.concat(F.lit("no fitted values for fits with "), F.array_join(stray, ", "))

@@ -10,6 +10,7 @@ from lagloom.operators import rolling as ro
 from lagloom.operators import tuning as tu
 from lagloom.plans.forecast import forecast
 from lagloom.plans.refresh import refresh as refresh_table
+from lagloom.plans.state import advance_state, build_state, forecast_new
 from lagloom.queries import panels as pa
 from lagloom.queries import sql
 from lagloom.queries.registry import query, rounded, shown
@@ -23,8 +24,8 @@ from lagloom.queries.scoring import (
     ranked,
     stored_fits,
 )
-from lagloom.queries.sql import METRICS, SLIDE, TOP, VALUES, YEARS
-from lagloom.sources import readers, writers
+from lagloom.queries.sql import LAST, METRICS, SLIDE, TOP, VALUES, YEARS
+from lagloom.sources import readers, snapshots, writers
 
 # --- sweeps ------------------------------------------------------------------
 
@@ -181,6 +182,50 @@ def refresh(spark, sf_dir):
     return _chosen_view(run(spark, sf_dir, supplied=old, update_last_year=True).chosen)
 
 
+@query("q_refresh_state", CHOSEN_SQL)
+def refresh_from_state(spark, sf_dir):
+    """The last two origins are refitted from stored sums of all earlier rows; the history is not read for it."""
+    features = pa.supplier_features(spark, sf_dir).withColumn("_end", F.max("t").over(Window.partitionBy("series_id")))
+    features = writers.cut_lineage(features, "features")
+    earlier, new = features.filter("t <= _end - 2").drop("_end"), writers.cut_lineage(features.filter("t > _end - 2").drop("_end"), "new")
+    # the sums as they were two times ago: those of three times ago and one time's rows
+    state = writers.cut_lineage(build_state(features.filter("t <= _end - 3"), SINGLES), "state")
+    state = writers.cut_lineage(advance_state(state, features.filter("t = _end - 2"), SINGLES), "state")
+    fresh = forecast_new(state, new, SINGLES, carry=["period"])
+    fresh = writers.cut_lineage(fresh, "fresh").filter("error IS NULL").drop("error")
+    old = fits(spark, sf_dir).join(fresh.select("series_id", "t", "model"), ["series_id", "t", "model"], "left_anti")
+    return _chosen_view(run(spark, sf_dir, supplied=old.unionByName(fresh)).chosen)
+
+
+TWO_PERIODS = (
+    CHOSEN_SQL.replace(f"WHERE t > last_t - {LAST} AND", f"WHERE t % 2 = 1 AND t // 2 > last_t // 2 - {LAST} AND")
+    .replace("fits AS (\n  SELECT series_id, t, abundance,", "fits AS (\n  SELECT series_id, CAST(t // 2 AS INTEGER) AS t, abundance,")
+    .replace("LEFT JOIN feat f ON f.series_id = c.series_id AND f.t = c.t", "LEFT JOIN feat f ON f.series_id = c.series_id AND f.t = 2 * c.t + 1")
+    .replace(" SELECT series_id, t, model_name, abundance, ", " SELECT series_id, 2 AS period, t, model_name, abundance, ")
+)
+
+
+@query("q_chosen_two_period", TWO_PERIODS)
+def chosen_two_period(spark, sf_dir):
+    """The whole run on months as halves of two-month times, the second half forecast after the first."""
+    halves = {"period": (F.col("t") % 2 + 1).cast("int"), "t": F.floor(F.col("t") / 2).cast("int")}
+    rows = pa.supplier_features(spark, sf_dir).withColumns(halves)
+    result = forecast(rows, SINGLES, YEARS, SLIDE, TOP, freq=2, first_period=2)
+    keep = ("series_id", "period", "t", "model_name", "abundance")
+    return shown(result.chosen, keep, {4: (*VALUES, "error"), 6: ("pct_error", "log10_ratio")})
+
+
+@query("q_write_snapshot", FIT_SQL)
+def write_snapshot(spark, sf_dir):
+    """A published table whose refitted times are published again, beside the old ones."""
+    path = writers.scratch_path(spark, "published")
+    everything = writers.cut_lineage(fits(spark, sf_dir).select("series_id", "t", "model", *FIT_COLUMNS, "aicc"), "fits")
+    end = everything.agg(F.max("t")).first()[0] or 0
+    snapshots.publish(everything.withColumn("aicc", F.when(F.col("t") < end - 1, F.col("aicc"))), path)
+    snapshots.publish(everything.filter(F.col("t") >= end - 1), path)
+    return _fit_view(snapshots.snapshot(spark, path))
+
+
 @query(
     "q_chart_data",
     f"""WITH {TABLES} SELECT series_id, t, 'forecast' AS chart, line, round(value, 4) AS value FROM (

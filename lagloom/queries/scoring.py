@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import partial
+from itertools import combinations
 
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from lagloom.operators.candidates import Candidates, with_labels
 from lagloom.operators.error_orders import choose_differences, fit_orders
 from lagloom.operators.fit_linear import fit_ar, fit_linear
 from lagloom.operators.screen import screen_subsets
+from lagloom.operators.subsets import best_subset, screen_all
 from lagloom.plans.forecast import score
 from lagloom.queries import panels as pa
 from lagloom.queries import sql
@@ -47,6 +49,24 @@ def stored_fits(spark, sf_dir):
     return bt.succeeded(cut_lineage(every, "fits"))
 
 
+LAGGED = f"""{pa.SUP_FEATURES}, lags AS (
+  SELECT series_id, t, abundance, CASE WHEN abundance > 0 THEN ln(abundance) END AS y, max(t) OVER (PARTITION BY series_id) AS last_t,
+    lag(CASE WHEN abundance > 0 THEN ln(abundance) END) OVER (PARTITION BY series_id ORDER BY t) AS x FROM feat)"""
+
+ORDERS_BY_SUMS = """sums AS (
+  SELECT *, count(y) OVER w AS n0, var_pop(y) OVER w * count(y) OVER w AS rss0, avg(y) OVER w AS mu0 FROM lags
+  WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+with_lag AS (
+  SELECT *, regr_count(y, x) OVER w AS n1, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a,
+    regr_sxx(y, x) OVER w AS sxx, regr_syy(y, x) OVER w - regr_slope(y, x) OVER w * regr_sxy(y, x) OVER w AS rss1
+  FROM lags WHERE x IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+each AS (
+  SELECT series_id, t, last_t, 0 AS p, mu0 AS mu, mu0 AS a, 0.0 AS b, n0 * (ln(2 * pi() * rss0 / n0) + 1) + 4 + 12.0 / (n0 - 3) AS aicc
+  FROM sums WHERE n0 > 3 AND rss0 > 0 UNION ALL
+  SELECT series_id, t, last_t, 1, a + b * x, a, b, n1 * (ln(2 * pi() * rss1 / n1) + 1) + 6 + 24.0 / (n1 - 4)
+  FROM with_lag WHERE n1 > 4 AND sxx > 1e-9 AND rss1 > 0)"""
+
+
 # --- candidates --------------------------------------------------------------
 
 MASKS = (
@@ -147,11 +167,64 @@ def backtest_gram(spark, sf_dir):
     return shown(out, ("series_id", "t", "model"), {4: ("predicted_abundance",), 6: ("aicc",), 8: ("sigma2",)})
 
 
-@query("q_backtest_all_subsets")
+def _subset_sql(response: str, lagged: bool, whole: bool) -> str:
+    """Tables up to ``fitted``: all subsets of the covariates, each by its own elimination, with the lagged response or not."""
+    n = len(pa.COVARIATES)
+    sets = sorted((c for size in range(1, n + 1) for c in combinations(range(n), size)), key=lambda c: (len(c), c)) + [()]
+    tables, parts = [], []
+    pool = [f"x{i}" for i in range(n)] + ["z1"] * lagged
+    for number, chosen in enumerate(sets, 1):
+        xs = [f"x{i}" for i in chosen] + ["z1"] * lagged
+        params = len(xs) + 2
+        tables.append(so.regression(f"s{number}", "design", xs, [*pool, "z"], "series_id", "t"))
+        parts.append(
+            f"SELECT series_id, t, last_t, level, {number} AS model, n, mu, rss, rss / (n - {len(xs) + 1}) AS sigma2, n * (ln(2 * pi() * rss / n) + 1) "
+            f"+ {2 * params} + {2.0 * params * (params + 1)} / (n - {params + 1}) AS aicc FROM s{number} WHERE n > {params + 1} AND rss > 1e-12 * c0_z_z"
+        )
+    own = ", ".join(f"{c} - avg({c}) OVER s AS x{i}" for i, c in enumerate(pa.COVARIATES))
+    # for the whole sample a row after the last holds the sums of all rows
+    rows = "feat" if not whole else (
+        f"(SELECT series_id, t, abundance, {', '.join(pa.COVARIATES)} FROM feat WHERE abundance IS NOT NULL UNION ALL "
+        f"SELECT series_id, max(t) + 1, NULL, {', '.join('0' for _ in pa.COVARIATES)} FROM feat GROUP BY 1)"
+    )
+    return f"""{pa.SUP_FEATURES}, design AS (
+  SELECT series_id, t, max(t) OVER s AS last_t, coalesce(avg(ln(abundance)) OVER s, 0) AS level, ln(abundance) - avg(ln(abundance)) OVER s AS z,
+    lag(ln(abundance)) OVER (PARTITION BY series_id ORDER BY t) - avg(ln(abundance)) OVER s AS z1, {own}
+  FROM {rows} WINDOW s AS (PARTITION BY series_id)),
+{", ".join(tables)}, fitted AS ({" UNION ALL ".join(parts)})"""
+
+
+@query(
+    "q_backtest_all_subsets",
+    f"WITH {_subset_sql('abundance', True, False)} SELECT series_id, t, model, {so.bounds('(mu + level)', 'sigma2', 4)}, round(aicc, 6) AS aicc "
+    f"FROM fitted WHERE t > last_t - {LAST} AND mu IS NOT NULL",
+)
 def backtest_all_subsets(spark, sf_dir):
     """All 15 subsets plus the intercept-only model with the lagged response in each."""
     every = Candidates(pa.COVARIATES, 0, len(pa.COVARIATES), include_null=True)
-    return fits(spark, sf_dir, every, ar=1).select("series_id", "t", "model", *VALUES, "aicc")
+    return shown(fits(spark, sf_dir, every, ar=1), ("series_id", "t", "model"), {4: VALUES, 6: ("aicc",)})
+
+
+ALL = Candidates(pa.COVARIATES, 0, len(pa.COVARIATES), include_null=True)
+
+
+@query(
+    "q_screen_all",
+    f"WITH {_subset_sql('abundance', False, True)} SELECT series_id, model, n AS n_obs, round(aicc, 6) AS aicc FROM fitted WHERE t = last_t",
+)
+def screen_tree(spark, sf_dir):
+    """Every subset and the empty one, each by one pivot more than its parent."""
+    return rounded(screen_all(pa.supplier_features(spark, sf_dir), ALL), 6, "aicc").drop("formula").filter("aicc IS NOT NULL")
+
+
+@query(
+    "q_best_subset",
+    f"WITH {_subset_sql('abundance', False, True)} SELECT series_id, arg_min(model, aicc) AS model, max(n) AS n_obs, round(min(aicc), 6) AS aicc "
+    "FROM fitted WHERE t = last_t GROUP BY 1",
+)
+def best_by_bounds(spark, sf_dir):
+    """The subset of least AICc, found without looking at branches whose bound is worse."""
+    return rounded(best_subset(pa.supplier_features(spark, sf_dir), ALL), 6, "aicc").drop("formula", "visited")
 
 
 @query(
@@ -298,6 +371,23 @@ def fitted(spark, sf_dir):
     )
 
 
+@query(
+    "q_fitted_ar",
+    f"""WITH {LAGGED}, {ORDERS_BY_SUMS}, chosen AS (
+  SELECT series_id, t, arg_min(p, aicc) AS p, arg_min(a, aicc) AS a, arg_min(b, aicc) AS b FROM each WHERE t > last_t - {LAST} GROUP BY 1, 2)
+SELECT c.series_id, c.t AS target, count(*) AS n, round(avg(exp(a + b * coalesce(l.x, 0))), 4) AS fitted FROM chosen c
+JOIN lags l ON l.series_id = c.series_id AND l.t < c.t WHERE p = 0 OR l.x IS NOT NULL GROUP BY 1, 2""",
+)
+def fitted_ar(spark, sf_dir):
+    """The same of fits whose autoregressive order is chosen by AICc."""
+    series = pa.supplier_features(spark, sf_dir)
+    forecasts = bt.backtest(series, Candidates((), 0, 0), LAST, fit_ar, max_p=1)
+    rows = bt.fitted_values(series.select("series_id", "t", "abundance"), forecasts, value="abundance")
+    return rows.filter("fitted IS NOT NULL").groupBy("series_id", "target").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg("fitted"), 4).alias("fitted")
+    )
+
+
 @query(
     "q_failed_fits",
     f"""WITH {pa.SUP_FEATURES}, long AS (SELECT series_id, t, abundance, max(t) OVER (PARTITION BY series_id) AS last_t,
@@ -324,21 +414,7 @@ def backtest_offset(spark, sf_dir):
 
 @query(
     "q_backtest_order",
-    f"""WITH {pa.SUP_FEATURES}, lags AS (
-  SELECT series_id, t, abundance, CASE WHEN abundance > 0 THEN ln(abundance) END AS y, max(t) OVER (PARTITION BY series_id) AS last_t,
-    lag(CASE WHEN abundance > 0 THEN ln(abundance) END) OVER (PARTITION BY series_id ORDER BY t) AS x FROM feat),
-sums AS (
-  SELECT *, count(y) OVER w AS n0, var_pop(y) OVER w * count(y) OVER w AS rss0, avg(y) OVER w AS mu0 FROM lags
-  WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-with_lag AS (
-  SELECT *, regr_count(y, x) OVER w AS n1, regr_slope(y, x) OVER w AS b, regr_intercept(y, x) OVER w AS a,
-    regr_sxx(y, x) OVER w AS sxx, regr_syy(y, x) OVER w - regr_slope(y, x) OVER w * regr_sxy(y, x) OVER w AS rss1
-  FROM lags WHERE x IS NOT NULL WINDOW w AS (PARTITION BY series_id ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
-each AS (
-  SELECT series_id, t, last_t, 0 AS p, mu0 AS mu, n0 * (ln(2 * pi() * rss0 / n0) + 1) + 4 + 12.0 / (n0 - 3) AS aicc
-  FROM sums WHERE n0 > 3 AND rss0 > 0 UNION ALL
-  SELECT series_id, t, last_t, 1, a + b * x, n1 * (ln(2 * pi() * rss1 / n1) + 1) + 6 + 24.0 / (n1 - 4)
-  FROM with_lag WHERE n1 > 4 AND sxx > 1e-9 AND rss1 > 0)
+    f"""WITH {LAGGED}, {ORDERS_BY_SUMS}
 SELECT series_id, t, arg_min(p, aicc)::INT AS p, round(exp(arg_min(mu, aicc)), 6) AS predicted_abundance, round(min(aicc), 6) AS aicc
 FROM each WHERE t > last_t - {LAST} GROUP BY 1, 2""",
 )
