@@ -37,6 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagloom.functions.safe import spread
 from lagloom.llm.arrow import lists, mapped
 from lagloom.llm.suffixes import block_files, by_range, in_use, listed, read_block, shared_anchors
 from lagloom.llm.words import U64, grams, sliding, word_hashes, word_spans
@@ -132,7 +133,7 @@ def sent_anchors(blocks: DataFrame, ranges: int, window: int, gram: int) -> Data
         return longs | {c: pa.array(out[c], pa.binary()) for c in ("hashes", "twice")}
 
     one = blocks.select("block", "path", "size", "leaders")
-    return mapped(one, "part long, block long, n long, hashes binary, twice binary", work)
+    return mapped(spread(one, "block"), "part long, block long, n long, hashes binary, twice binary", work)
 
 
 def sent_segments(blocks: DataFrame, ranges: int, window: int, gram: int) -> DataFrame:
@@ -157,7 +158,7 @@ def sent_segments(blocks: DataFrame, ranges: int, window: int, gram: int) -> Dat
         return longs | {c: pa.array(v, pa.binary()) for c, v in out.items()}
 
     schema = "part long, block long, first long, value binary, start binary, size binary, count binary, text binary"
-    return mapped(blocks, schema, work)
+    return mapped(spread(blocks, "block"), schema, work)
 
 
 def longest_matches(group: np.ndarray, count: np.ndarray, start: np.ndarray, words: np.ndarray, heads: np.ndarray, width: int, columns: int):
@@ -311,7 +312,7 @@ def factors(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFram
                 out += [(k1[i], k2[i], a, b - a, len(own) - 2) for a, b in zip(change[::2], change[1::2])] or [(k1[i], k2[i], 0, 0, len(own) - 2)]
         return {c: np.array([x[j] for x in out], np.int64) for j, c in enumerate(("k1", "k2", "start", "length", "n"))} if out else None
 
-    found = mapped(blocks, "k1 long, k2 long, start long, length long, n long", work).join(classes, ["k1", "k2"])
+    found = mapped(spread(blocks, "block"), "k1 long, k2 long, start long, length long, n long", work).join(classes, ["k1", "k2"])
     whole = (F.col("copies") > 1) & (F.col("n") >= window)
     start = F.when(whole, F.lit(0)).otherwise(F.col("start")).cast("long").alias("start")
     length = F.when(whole, F.col("n")).otherwise(F.col("length")).alias("length")
@@ -340,7 +341,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
         longs = {c: np.array(out[c], np.int64) for c in ("k1", "k2", "n_words", "n_removed")}
         return longs | {"kept_sha256": pa.array(out["kept_sha256"], pa.string())}
 
-    done = mapped(blocks, "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string", work)
+    done = mapped(spread(blocks, "block"), "k1 long, k2 long, n_words long, n_removed long, kept_sha256 string", work)
     done = done.join(classes.select("k1", "k2", "copies"), ["k1", "k2"])
     every = (F.col("copies") > 1) & (F.col("n_words") >= window)
     done = cut_lineage(

@@ -6,7 +6,8 @@ footer: the ends of the documents and their ids as two Elias-Fano sequences
 with select samples.  An offset is found by ``select`` without a table of
 64-bit numbers.  Rows without ``doc_id`` come first, in one shard each range
 gives them; NULL text counts as empty and yields the end id alone; repeated
-ids stay repeated rows.  Further columns are ignored.
+ids stay repeated rows, in any order.  A very long text is a slice of its own; an empty table
+has no shards and no rows.  Further columns are ignored.  Any tokenizer file works.
 
 Shards are written by tasks, under names that no other attempt uses; only the
 manifest, a table, says which of them count.  A task that is repeated after a
@@ -101,13 +102,27 @@ def _byte_kinds() -> np.ndarray:
     return kinds
 
 
+#: A tokenizer with this pattern, lower-casing, never joins across white space, and within a word of
+#: ASCII and À-ÿ letters it splits runs of letters, single digits and runs of other signs (fixed value).
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def splits_into_pieces(settings: dict) -> bool:
+    """Whether a tokenizer file's rules are those that ``Encoder`` builds pieces by."""
+    steps = (settings.get("normalizer") or {}).get("normalizers", [])
+    lower = [s.get("type") for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1].get("pattern") == {"Regex": "\\s+"}
+    parts = (settings.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    split = bool(parts) and parts[0].get("type") == "Split" and parts[0].get("pattern") == {"Regex": PIECES}
+    whole = [p.get("type") for p in parts] == ["Split", "ByteLevel"] and parts[0].get("invert") is True and not parts[1].get("use_regex")
+    return lower and split and whole and not parts[1].get("add_prefix_space")
+
+
 class Encoder:
     """Ids of whole batches; every distinct piece of text meets the tokenizer once per worker.
 
-    The tokenizer never joins across white space, and within a word of ASCII
-    and À-ÿ letters it splits runs of letters, single digits and runs of other
-    signs.  Words with anything else (apostrophes, other scripts, special
-    tokens) are pieces as a whole.
+    Words with anything but ASCII and À-ÿ (apostrophes, other scripts, special
+    tokens) are pieces as a whole.  A tokenizer file with other rules than those
+    of ``splits_into_pieces`` gets whole texts.
     """
 
     KINDS = _byte_kinds()
@@ -118,6 +133,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.between = self._ids(["0"])[0]
+        self.in_pieces = splits_into_pieces(json.loads(self.tokenizer.to_str()))
         self._reset()
 
     def _reset(self):
@@ -199,6 +215,9 @@ class Encoder:
 
     def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, ``end`` after each, and the number of ids of each text."""
+        if not self.in_pieces:
+            found = [np.array([*ids, end], self.dtype) for ids in self._ids([t or "" for t in texts.to_pylist()])]
+            return np.concatenate(found) if found else np.zeros(0, self.dtype), np.array([len(f) for f in found], np.int64)
         w = Words(texts, hashed=False)
         starts, ends, plain = self._spans(w)
         keys, first, back = np.unique(word_hashes(w.buf, starts, ends, True), return_index=True, return_inverse=True)

@@ -422,3 +422,42 @@ def test_periodic_and_chained_passages(spark):
     for i, w in enumerate(split):
         gone = {s + k for s in range(len(w) - window + 1) if len(seen[tuple(w[s : s + window])]) > 1 for k in range(window)}
         assert (got[i].n_words, got[i].n_removed) == (len(w), len(gone)), i
+
+
+def test_any_tokenizer_file_gives_the_librarys_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rng = random.Random(31)
+    signs = "abcXYZ éßñ0123'\"<|>.,;!?\t\n  -_日本×İ"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randrange(60))) for _ in range(1500)] + ["", None, "<|endoftext|> it's 12x'll"]
+    for name, pieces in (("word_bpe_49k.json", True), ("byte_bpe_50k.json", False)):
+        path = public_tokenizers.path(name)
+        enc = tokens.Encoder(path)
+        assert enc.in_pieces is pieces
+        ids, count = enc.encode(pa.array(texts, pa.string()), 1)
+        want = [[*e.ids, 1] for e in Tokenizer.from_file(path).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+        assert count.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
+def test_context_after_a_place_and_beyond_a_hundred_letters(spark):
+    rng = random.Random(13)
+    long = "x" * 150
+    texts = [f"{' '.join(corpus.words(rng, 4))} {long} +1 (555) 555-{1000 + i} {' '.join(corpus.words(rng, 3))}" for i in range(20)]
+    texts += [f"{' '.join(corpus.words(rng, 4))} user{i}@a.example.org wrote {' '.join(corpus.words(rng, 2))}" for i in range(20)]
+    texts += [f"so {long} 555-0199 it", f"so {'x' * 149} 555-0198 it", "then bob@localhost wrote more", "then 17 came"]
+    spans = {r.doc_id: r.spans for r in private.personal_data(frame(spark, texts)).collect()}
+    assert spans[40] == "phone:154:162" and spans[42] == "email:5:18" and spans[41] == spans[43] == ""
+
+
+def test_a_text_of_very_many_numbers(spark):
+    import time
+
+    took = []
+    for n in (4000, 16000):
+        text = " ".join(f"10.0.{i % 200}.{i % 100} 77{i}" for i in range(n // 2))
+        began = time.time()
+        row = private.personal_data(frame(spark, [text])).first()
+        took.append(time.time() - began)
+        assert row.n_ip == n // 2 and len(row.spans.split(",")) == n // 2
+    assert took[1] < 8 * took[0] + 5
