@@ -174,6 +174,40 @@ def exact_weights(stacked: DataFrame, keys: str | Iterable[str] = KEYS) -> DataF
     return rows.filter("score IS NOT NULL").groupBy(*by).agg(best).select(*by, "b.*")
 
 
+def _mixed_bits(x: np.ndarray) -> np.ndarray:
+    """A finaliser of 64-bit counters: every bit of the input reaches every bit of the output."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def uniform_draws(chain: np.ndarray, turn: int, slot: int, trial: int) -> np.ndarray:
+    """Numbers between 0 and 1, one per chain, a function of chain, turn, slot and trial."""
+    counter = np.uint64((turn * 0x9E3779B97F4A7C15 + slot * 0xD1B54A32D192ED03 + trial * 0x8CB92BA72F3D8DD7) & 0xFFFFFFFFFFFFFFFF)
+    return ((_mixed_bits(chain + counter) >> np.uint64(11)).astype(float) + 0.5) * 2.0**-53
+
+
+def gamma_draws(chain: np.ndarray, turn: int, shape: np.ndarray) -> np.ndarray:
+    """Gamma variates ``[chain, slot]`` of the given shapes, by squeezed normal cubes; small shapes by a power of a uniform."""
+    out = np.empty_like(shape)
+    for slot in range(shape.shape[1]):
+        a = shape[:, slot]
+        d = np.where(a < 1, a + 1, a) - 1 / 3
+        c = 1 / np.sqrt(9 * d)
+        value, left, trial = np.empty(len(a)), np.arange(len(a)), 0
+        while len(left):
+            u = [uniform_draws(chain[left], turn, 4 * slot + 1 + i, trial) for i in range(3)]
+            x = np.sqrt(-2 * np.log(u[0])) * np.cos(2 * np.pi * u[1])
+            v = (1 + c[left] * x) ** 3
+            with np.errstate(invalid="ignore", divide="ignore"):
+                good = (v > 0) & (np.log(u[2]) < 0.5 * x * x + d[left] * (1 - v + np.log(np.where(v > 0, v, 1.0))))
+            value[left[good]] = d[left[good]] * v[good]
+            left, trial = left[~good], trial + 1
+        power = np.where(a < 1, 1 / a, 0.0)
+        out[:, slot] = value * uniform_draws(chain, turn, 4 * slot + 4, 0) ** power
+    return out
+
+
 def find_stack_weights(
     stacked: DataFrame,
     metric: str = "MAPE",
@@ -187,7 +221,8 @@ def find_stack_weights(
     A better vector is kept; a worse one is kept as the starting point of the
     next proposal with probability best/current.  Proposals are Dirichlet with
     parameters ``current * tau + 0.01``; the chain stops after ``patience``
-    proposals without improvement.  The seed of a chain depends only on its key.
+    proposals without improvement.  Every draw is a function of seed, key and step, so
+    all chains of a batch are drawn together and none depends on its neighbours.
 
     Returns keys, target, models, weights, score and the score history.
     """
@@ -236,10 +271,11 @@ def find_stack_weights(
         return 100 * (np.exp(centre) - 1)
 
     def _chains(obs: np.ndarray, preds: np.ndarray, seeds: np.ndarray):
-        """All chains of one shape, stepped together; each draws from its own generator."""
+        """All chains of one shape, stepped together."""
         count, _, k = preds.shape
         mixed = lambda w, own: np.matmul(preds[own], w[:, :, None])[:, :, 0]
-        draws = [np.random.default_rng([seed, int(s) & 0xFFFFFFFFFFFFFFFF]) for s in seeds]
+        start = _mixed_bits(seeds.astype(np.int64).view(np.uint64) ^ np.uint64(seed & 0xFFFFFFFFFFFFFFFF))
+        turn = 0
         best = np.full((count, k), 1 / k)
         current, idle = best.copy(), np.ones(count, int)
         with np.errstate(all="ignore"):
@@ -247,8 +283,9 @@ def find_stack_weights(
             history = [[v] for v in least]
             own = np.flatnonzero(np.isfinite(least) & (idle < patience))
             while len(own):
-                raw = np.stack([draws[i].standard_gamma(a) for i, a in zip(own, current[own] * tau + 0.01)])
-                toss = np.array([draws[i].random() for i in own])
+                turn += 1
+                raw = gamma_draws(start[own], turn, current[own] * tau + 0.01)
+                toss = uniform_draws(start[own], turn, 0, 0)
                 total = raw.sum(axis=1, keepdims=True)
                 proposal = np.where(total > 0, raw / total, best[own])
                 value = score(obs[own], mixed(proposal, own))

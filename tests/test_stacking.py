@@ -89,3 +89,15 @@ def test_exact_weights_of_dependent_perfect_and_single_members(spark):
     assert got["same"].weights == [1.0, 0.0] and got["same"].score == pytest.approx(1)
     assert got["between"].weights == pytest.approx([0.5, 0.5]) and got["between"].score == pytest.approx(0, abs=1e-9)
     assert got["perfect"].weights == [0.0, 1.0, 0.0] and got["perfect"].score == 0
+
+
+def test_draws_follow_their_distributions():
+    chain = np.arange(20000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    u = st.uniform_draws(chain, 3, 1, 0)
+    assert 0 < u.min() and u.max() < 1 and abs(u.mean() - 0.5) < 0.01 and abs(np.corrcoef(u, st.uniform_draws(chain, 4, 1, 0))[0, 1]) < 0.03
+    for a in (0.01, 0.34, 1.0, 2.5):
+        g = st.gamma_draws(chain, 1, np.full((len(chain), 2), a))
+        assert g.mean(axis=0) == pytest.approx([a, a], rel=0.1, abs=2e-3) and g.var(axis=0) == pytest.approx([a, a], rel=0.25, abs=4e-3)
+        assert abs(np.corrcoef(g.T)[0, 1]) < 0.03
+    part = st.gamma_draws(chain[5:9], 1, np.full((4, 2), 2.5))
+    assert (part == g[5:9]).all()
