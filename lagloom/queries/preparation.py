@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lagloom.operators import features as op
 from lagloom.operators import reshape as rs
 from lagloom.operators.smooth import binomial_smooth
-from lagloom.plans.features import make_features
+from lagloom.plans.features import INDICATORS, make_features
 from lagloom.queries import panels as pa
 from lagloom.queries.registry import month_number, query, rounded, table
 from lagloom.queries.sql_smooth import smooth
@@ -336,15 +336,25 @@ def feature_table(spark, sf_dir):
 RETURN_COVARIATES = (
     "lag1_log_jack",
     "lag4_log_adults",
+    "lag5_log_adults",
+    "lag1_log_sar",
+    "lag2_log_sar",
     "lag1_pdo",
     "lag2_pdo",
     "lag1_npgo",
+    "lag2_npgo",
+    "lag2_pc1",
+    "lag2_pc2",
+    "lag2_sp_phys_trans",
     "lag2_fall_nino",
     "lag1_log_socksmolt",
     "pink_ind",
 )
+# The segments that stand for the three indicators, and a year after the data, whose counts are not in yet.
+SHEET = dict(zip(INDICATORS, ("AUTOMOBILE", "BUILDING", "FURNITURE")))
+ASOF = 2002
 
-RETURNS_SQL = f"""WITH {pa.IDX},
+RETURNS_SQL = f"""WITH RECURSIVE {pa.IDX}, {pa.SEG},
 ret AS (SELECT CAST(c_nationkey AS VARCHAR) AS series_id, CAST(year(o_orderdate) AS INTEGER) AS t,
         round(sum(o_totalprice), 2) AS abundance, CAST(count(*) AS BIGINT) AS jack
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2),
@@ -353,13 +363,26 @@ yearly AS (SELECT CAST(year(date) AS INTEGER) AS t, avg(value) AS pdo,
            avg(value) FILTER (month(date) IN (4, 5)) AS npgo,
            avg(value) FILTER (month(date) IN (10, 11, 12)) AS fall,
            max(value) FILTER (month(date) = 6 AND day(date) = 30) AS smolt FROM idx GROUP BY 1),
+sheet AS (SELECT CAST((t - 1) // 12 AS INTEGER) AS t, round(sum(abundance) FILTER (series_id = 'AUTOMOBILE'), 2) AS a,
+  round(sum(abundance) FILTER (series_id = 'BUILDING'), 2) AS b, round(sum(abundance) FILTER (series_id = 'FURNITURE'), 2) AS c FROM seg GROUP BY 1),
+scaled AS (SELECT t, a, (b - avg(b) OVER ()) / stddev_samp(b) OVER () AS b, (c - avg(c) OVER ()) / stddev_samp(c) OVER () AS c FROM sheet),
+indicators AS (SELECT x.t, y.a AS lag2_sp_phys_trans, y.b AS lag2_pc1, y.c AS lag2_pc2 FROM scaled x LEFT JOIN scaled y ON y.t = x.t - 2),
+pit AS (SELECT 0 AS series_id, CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS trials, count(*) FILTER (o_orderstatus = 'F') AS one,
+  count(*) FILTER (o_orderstatus = 'O') AS two FROM orders GROUP BY 2),
+pit1 AS (SELECT series_id, year, trials, one AS success FROM pit), pit2 AS (SELECT series_id, year, trials, two AS success FROM pit),
+{smooth("pit1", range(1995, 2002), name="sar1")},
+{smooth("pit2", range(1995, 2001), name="sar2")},
+survival AS (
+  SELECT p.year + 2 AS t, ln(sar1.rate) AS lag1_log_sar, lag(ln(sar2.rate)) OVER (ORDER BY p.year) AS lag2_log_sar
+  FROM pit p LEFT JOIN sar1 USING (year) LEFT JOIN sar2 USING (year)),
 raw AS (
   SELECT series_id, t, abundance, lag(ln(jack)) OVER w AS lag1_log_jack, lag(ln(abundance), 4) OVER w AS lag4_log_adults,
+    lag(ln(abundance), 5) OVER w AS lag5_log_adults, lag1_log_sar, lag2_log_sar, lag2_pc1, lag2_pc2, lag2_sp_phys_trans,
     lag(pdo) OVER w AS lag1_pdo, CASE WHEN lag(pdo) OVER w IS NOT NULL THEN lag(pdo, 2) OVER w END AS lag2_pdo,
-    lag(npgo) OVER w AS lag1_npgo, lag(fall, 2) OVER w AS lag2_fall_nino,
+    lag(npgo) OVER w AS lag1_npgo, lag(npgo, 2) OVER w AS lag2_npgo, lag(fall, 2) OVER w AS lag2_fall_nino,
     CASE WHEN s.before IS NOT NULL THEN s.v END AS lag1_log_socksmolt, CAST(t % 2 AS DOUBLE) AS pink_ind,
     max(t) OVER (PARTITION BY series_id) AS last_t
-  FROM spine LEFT JOIN yearly USING (t) LEFT JOIN (
+  FROM spine LEFT JOIN yearly USING (t) LEFT JOIN indicators USING (t) LEFT JOIN survival USING (t) LEFT JOIN (
     SELECT a.t, ln(b.smolt) AS v, b.smolt AS before FROM yearly a JOIN yearly b ON b.t = a.t - 1
     WHERE a.smolt IS NOT NULL) s USING (t)
   WINDOW w AS (PARTITION BY series_id ORDER BY t))
@@ -371,14 +394,22 @@ SELECT series_id, t AS year, 'fish' AS species, 1 AS period, abundance, """ + ",
 
 @query("q_make_features", RETURNS_SQL)
 def returns_features(spark, sf_dir):
-    """The annual feature table with all feeds, per nation."""
+    """The annual feature table with all feeds and all its features, per nation."""
     returns = pa.orders_by(spark, sf_dir, "c_nationkey", F.year("o_orderdate")).select(
         "series_id", F.col("t").alias("year"), "abundance", F.col("n_orders").alias("jack")
     )
     index = pa.discount_index(spark, sf_dir)
     daily = index.select(F.year("date").alias("year"), F.date_format("date", "M-d").alias("mm-dd"), "value")
-    feeds = {"pdo": index, "npgo": index, "enso": index, "smolt": daily}
-    out = make_features(returns, feeds, RETURN_COVARIATES)
+    months = pa.segment_months(spark, sf_dir).withColumn("year", F.floor((F.col("t") - 1) / 12).cast("string"))
+    named = F.create_map(*[F.lit(x) for name, segment in SHEET.items() for x in (segment, name)])
+    months = months.withColumn("indicator", F.try_element_at(named, F.col("series_id")))
+    sheet = months.groupBy("indicator").pivot("year").agg(F.round(F.sum("abundance"), 2))
+    status = table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(
+        F.count(F.lit(1)).alias("juv_count"), F.count_if(F.col("o_orderstatus") == "F").alias("ocean1_count"),
+        F.count_if(F.col("o_orderstatus") == "O").alias("ocean2_count"),
+    )
+    feeds = {"pdo": index, "npgo": index, "enso": index, "smolt": daily, "indicators": sheet, "pit": status}
+    out = make_features(returns, feeds, RETURN_COVARIATES, ASOF)
     return rounded(out, 6, *RETURN_COVARIATES)
 
 

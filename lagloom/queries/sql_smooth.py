@@ -5,8 +5,8 @@ from __future__ import annotations
 from lagloom.operators.smooth import GRID, RIDGE
 
 
-def smooth(source: str, years: range, rounds: int = 25) -> str:
-    """Tables up to ``smooth (series_id, year, rate)`` of ``source (series_id, year, trials, success)``, one row a year."""
+def smooth(source: str, years: range, rounds: int = 25, name: str = "smooth") -> str:
+    """Tables up to ``name (series_id, year, rate)`` of ``source (series_id, year, trials, success)``, one row a year."""
     k = len(years)
     rows, width = range(k), (k - 1) / max(k - 2, 1)
     meets = []
@@ -25,7 +25,7 @@ def smooth(source: str, years: range, rounds: int = 25) -> str:
     def penalty(i: int) -> int:
         return 1 if i in (0, k - 1) else 2
 
-    layers = [f"SELECT {kept}, {', '.join(f'e{i}, 1 / (1 + exp(-e{i})) AS m{i}' for i in rows)} FROM irls WHERE it < {rounds}"]
+    layers = [f"SELECT {kept}, {', '.join(f'e{i}, 1 / (1 + exp(-e{i})) AS m{i}' for i in rows)} FROM {name}_irls WHERE it < {rounds}"]
     layers.append("SELECT *, " + ", ".join(f"greatest(n{i} * m{i} * (1 - m{i}), 1e-10) AS w{i}" for i in rows))
     layers.append("SELECT *, " + ", ".join(f"e{i} + (s{i} - n{i} * m{i}) / w{i} AS z{i}" for i in rows))
     bands = []
@@ -69,11 +69,11 @@ def smooth(source: str, years: range, rounds: int = 25) -> str:
         for i in rows
     )
     grid = ", ".join(f"({g})" for g in GRID)
-    fitted = " UNION ALL ".join(f"SELECT series_id, {y} AS year, 1 / (1 + exp(-e{i})) AS rate FROM best" for i, y in enumerate(years))
-    return f"""wide AS (SELECT series_id, {wide} FROM {source} GROUP BY 1),
-irls AS (
-  SELECT {kept.replace("pen, it", "pen::DOUBLE AS pen, 0 AS it")}, {first}, 0::DOUBLE AS free FROM wide, (VALUES {grid}) g(pen)
+    fitted = " UNION ALL ".join(f"SELECT series_id, {y} AS year, 1 / (1 + exp(-e{i})) AS rate FROM {name}_best" for i, y in enumerate(years))
+    return f"""{name}_wide AS (SELECT series_id, {wide} FROM {source} GROUP BY 1),
+{name}_irls AS (
+  SELECT {kept.replace("pen, it", "pen::DOUBLE AS pen, 0 AS it")}, {first}, 0::DOUBLE AS free FROM {name}_wide, (VALUES {grid}) g(pen)
   UNION ALL {step}),
-scored AS (SELECT *, (2 * ({deviance}) + 2 * free) / {k} AS criterion FROM irls WHERE it = {rounds}),
-best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY criterion, pen) = 1),
-smooth AS ({fitted})"""
+{name}_scored AS (SELECT *, (2 * ({deviance}) + 2 * free) / {k} AS criterion FROM {name}_irls WHERE it = {rounds}),
+{name}_best AS (SELECT * FROM {name}_scored QUALIFY row_number() OVER (PARTITION BY series_id ORDER BY criterion, pen) = 1),
+{name} AS ({fitted})"""
