@@ -14,8 +14,9 @@ next words that can make a phrase of ``least`` occurrences are counted: both the
 first and the last ``k - 1`` words must have reached it, which a Bloom filter of
 fixed size tells; what it lets through by mistake is counted and dropped.
 
-A stripe of a prefix that makes a thousandth of all words is split by next word
-into parts, so no task merges a hot prefix alone; there are at most a thousand
+Stripes travel in bundles by a hash of their prefix, and the number of bundles grows
+with the words.  A stripe of a prefix that makes a thousandth of all words is split by next word
+over several, so no task merges a hot prefix alone; there are at most a thousand
 such prefixes.  Words travel as 64-bit hashes; the table of distinct words
 proves that no two of them share one, otherwise another hash function is taken.
 Scores are exact (38 digits).
@@ -43,6 +44,7 @@ from lagloom.sources.writers import cut_lineage
 LEAST, MOST_WORDS, FIRST = 100, 5, 2000
 SLICE = 1 << 22  # text bytes whose stripes are merged before they move
 HOT, PARTS = 1000, 64
+BUNDLE = 1 << 24  # bytes of entries that meet in a part, at most about
 
 CUT = np.zeros(256, bool)
 CUT[[*b".,;:!?", 10, 11, 12, 13]] = True
@@ -106,8 +108,13 @@ def word_counts(texts: DataFrame, seed: int) -> DataFrame:
     return parts.groupBy("lang", "word", "hash").agg(F.sum("n").alias("n"))
 
 
-def stripes(texts: DataFrame, k: int, seed: int, filled: np.ndarray, hot: np.ndarray) -> DataFrame:
-    """(lang, prefix, part, next, n): per slice, how often each word follows each prefix of ``k - 1`` words; NULL: none counted."""
+def stripes(texts: DataFrame, k: int, seed: int, filled: np.ndarray, hot: np.ndarray, parts: int) -> DataFrame:
+    """A slice's stripes of prefixes of ``k - 1`` words, in bundles by ``part``, a hash of language and prefix.
+
+    A bundle holds its languages, and as numbers the language and words of each prefix, how
+    many entries its stripe has, and the entries (next word, count).  An entry that is marked counts the
+    occurrences without a counted next word.
+    """
     sent = texts.sparkSession.sparkContext.broadcast((filled, hot))
 
     def make():
@@ -134,41 +141,91 @@ def stripes(texts: DataFrame, k: int, seed: int, filled: np.ndarray, hot: np.nda
             more = longer[at]
             following = np.zeros(len(at), np.int64)
             following[more] = local[at[more] + k - 1] + 1
-            part = np.zeros(len(at), np.int64)
+            # a hot prefix is dealt out by its next words as well
+            salt = np.zeros(len(at), U64)
             split = np.isin(phrase[at], hot) & more
-            part[split] = (s.hashes[at[split] + k - 1] % U64(PARTS)).astype(np.int64)
-            # the part is a function of prefix and next word: ordering by it keeps stripes together
-            key = np.unique(key * PARTS + part, return_inverse=True)[1]
-            both, index, n = np.unique(key * size + following, return_index=True, return_counts=True)
+            salt[split] = s.hashes[at[split] + k - 1] % U64(PARTS) + U64(1)
+            part = (mix(phrase[at] + salt) % U64(parts)).astype(np.int64)
+            both, index, n = np.unique((part * (key.max() + 1) + key) * size + following, return_index=True, return_counts=True)
             stripe = both // size
             heads = np.flatnonzero(np.concatenate(([True], stripe[1:] != stripe[:-1])))
+            owner = part[index[heads]]
             none = following[index] == 0
-            follower = np.where(none, U64(0), s.hashes[np.where(none, 0, at[index] + k - 1)]).view(np.int64)
+            follower = np.where(none, U64(0), s.hashes[np.where(none, 0, at[index] + k - 1)])
             first = at[index[heads]]
-            prefix = s.hashes[(first[:, None] + np.arange(k - 1)).ravel()].view(np.int64)
-            ends = pa.array(np.append(heads, len(both)).astype(np.int32))
-            return {
-                "lang": pa.array(s.names).take(pa.array(s.lang[first])),
-                "prefix": lists(prefix, np.arange(len(heads) + 1) * (k - 1)), "part": part[index[heads]],
-                "next": pa.ListArray.from_arrays(ends, pa.array(follower, mask=none)),
-                "n": pa.ListArray.from_arrays(ends, pa.array(n)),
-            }
+            prefix = s.hashes[first[:, None] + np.arange(k - 1)]
+            ends = np.append(heads, len(both))
+            out = {c: [] for c in ("langs", "lang", "prefix", "size", "next", "none", "n")}
+            bundles, begins = np.unique(owner, return_index=True)
+            for x, y in zip(begins.tolist(), [*begins[1:].tolist(), len(heads)]):
+                e = slice(ends[x], ends[y])
+                used, lang = np.unique(s.lang[first[x:y]], return_inverse=True)
+                out["langs"].append([s.names[i] for i in used.tolist()])
+                out["lang"].append(lang.astype(np.int32).tobytes())
+                out["prefix"].append(prefix[x:y].tobytes())
+                out["size"].append(np.diff(ends[x : y + 1]).astype(np.int32).tobytes())
+                out["next"].append(follower[e].tobytes())
+                out["none"].append(np.packbits(none[e]).tobytes())
+                out["n"].append(n[e].astype(np.int32).tobytes())
+            return {"part": bundles, "langs": pa.array(out.pop("langs"), pa.list_(pa.string()))} | {c: pa.array(v, pa.binary()) for c, v in out.items()}
 
         return work
 
-    schema = "lang string, prefix array<long>, part long, next array<long>, n array<long>"
+    schema = "part long, langs array<string>, lang binary, prefix binary, size binary, next binary, none binary, n binary"
     return map_slices(texts, schema, "text", make, SLICE)
 
 
-def merged(parts: DataFrame, least: int) -> DataFrame:
-    """Stripes added up element by element: (lang, prefix, part, total, best, next as (word, n) of those that reach ``least``)."""
-    keys = ["lang", "prefix", "part"]
-    each = parts.repartition(*keys).select(*keys, F.inline(F.arrays_zip(F.col("next").alias("word"), F.col("n").alias("n"))))
-    each = each.groupBy(*keys, "word").agg(F.sum("n").alias("n"))
-    counted = F.col("word").isNotNull() & (F.col("n") >= least)
-    entries = F.collect_list(F.when(counted, F.struct("word", "n"))).alias("next")
-    best = F.coalesce(F.max(F.when(F.col("word").isNotNull(), F.col("n"))), F.lit(0)).alias("best")
-    return each.groupBy(*keys).agg(F.sum("n").alias("total"), best, entries)
+def merged(bundles: DataFrame, k: int, least: int) -> DataFrame:
+    """Stripes added up element by element: (lang, prefix, total, best, next as (word, n) of those that reach ``least``).
+
+    Stripes without such an entry make no phrase and are left out.
+    """
+
+    def work(table: pa.Table) -> pa.Table:
+        def flat(name, kind):
+            return np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
+
+        size, n = flat("size", np.int32), flat("n", np.int32).astype(np.int64)
+        names = sorted({x for own in table.column("langs").to_pylist() for x in own})
+        place = {x: i for i, x in enumerate(names)}
+        lang = np.concatenate([
+            np.array([place[x] for x in own], np.int64)[np.frombuffer(coded.as_py(), np.int32)]
+            for own, coded in zip(table.column("langs").to_pylist(), table.column("lang"))
+        ])
+        prefix = flat("prefix", U64).reshape(-1, k - 1)
+        sizes = [len(x.as_py()) // 4 for x in table.column("n")]
+        none = np.concatenate([np.unpackbits(np.frombuffer(x.as_py(), np.uint8), count=c) for x, c in zip(table.column("none"), sizes)]).view(bool)
+        follower = flat("next", U64)
+        # stripes get numbers by their whole prefix, entries then by (stripe, next word)
+        order = np.lexsort((*prefix.T, lang))
+        new = np.ones(len(order), bool)
+        new[1:] = (lang[order][1:] != lang[order][:-1]) | (prefix[order][1:] != prefix[order][:-1]).any(axis=1)
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        lead = order[new]
+        owner = np.repeat(number, size)
+        by = np.lexsort((follower, none, owner))
+        head = np.ones(len(by), bool)
+        o, f, w = owner[by], follower[by], none[by]
+        head[1:] = (o[1:] != o[:-1]) | (f[1:] != f[:-1]) | (w[1:] != w[:-1])
+        heads = np.flatnonzero(head)
+        count = np.add.reduceat(n[by], heads)
+        o, f, w = o[heads], f[heads], w[heads]
+        total = np.bincount(owner, weights=n, minlength=len(lead)).astype(np.int64)
+        keep = np.flatnonzero(~w & (count >= least))
+        kept, begins = np.unique(o[keep], return_index=True)
+        ends = np.append(begins, len(keep)).astype(np.int32)
+        entries = pa.StructArray.from_arrays([pa.array(f[keep].view(np.int64)), pa.array(count[keep])], names=["word", "n"])
+        best = np.maximum.reduceat(count[keep], begins) if len(keep) else np.zeros(0, np.int64)
+        rows = prefix[lead[kept]]
+        return pa.table({
+            "lang": pa.array(names, pa.string()).take(pa.array(lang[lead[kept]])),
+            "prefix": lists(rows.ravel().view(np.int64), np.arange(len(kept) + 1) * (k - 1)), "total": total[kept], "best": best,
+            "next": pa.ListArray.from_arrays(pa.array(ends), entries),
+        })
+
+    schema = "lang string, prefix array<long>, total long, best long, next array<struct<word:long,n:long>>"
+    return bundles.groupBy("part").applyInArrow(work, schema)
 
 
 def phrase_hashes(batch: pa.RecordBatch) -> np.ndarray:
@@ -199,8 +256,8 @@ def counted_phrases(docs: DataFrame, least: int, most_words: int):
         rare_bound = max(least, every // HOT)
         hot = level.filter(F.col("n") > rare_bound).toArrow()  # a thousand phrases at most
         hot = np.concatenate([phrase_hashes(b) for b in hot.to_batches() if b.num_rows] or [np.zeros(0, U64)])
-        parts = stripes(texts, k, seed, bloom(level, phrase_hashes), hot)
-        table = cut_lineage(merged(parts, least), f"stripes{k}")
+        bundles = stripes(texts, k, seed, bloom(level, phrase_hashes), hot, 1 + every * 12 // BUNDLE)
+        table = cut_lineage(merged(bundles, k, least), f"stripes{k}")
         structure = table if structure is None else structure.union(table)
         level = table.select("lang", "prefix", F.inline("next"))
         level = level.select("lang", F.concat("prefix", F.array("word")).alias("words"), "n")
