@@ -43,6 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lagloom.functions.safe import spread
 from lagloom.llm.arrow import lists, mapped, slices
 from lagloom.llm.files import new_file, opened
 from lagloom.llm.words import U64, mix, sliding, text_buffer
@@ -185,7 +186,7 @@ def sent_anchors(blocks: DataFrame, ranges: int, window: int, gram: int) -> Data
                 "hashes": pa.array(out["hashes"], pa.binary()), "twice": pa.array(out["twice"], pa.binary())}
 
     one = blocks.select("block", "path", "size", "leaders")
-    return mapped(one, "part long, block long, n long, hashes binary, twice binary", work)
+    return mapped(spread(one, "block"), "part long, block long, n long, hashes binary, twice binary", work)
 
 
 def shared_anchors(sent: DataFrame) -> DataFrame:
@@ -274,7 +275,7 @@ def sent_segments(blocks: DataFrame, ranges: int, window: int, gram: int) -> Dat
         return longs | {n: pa.array(out[n], pa.binary()) for n in ("rows", "low", "high")}
 
     schema = "part long, block long, first long, rows binary, low binary, high binary"
-    return mapped(blocks, schema, work)
+    return mapped(spread(blocks, "block"), schema, work)
 
 
 def insert_columns(group: np.ndarray, start: np.ndarray, end: np.ndarray, columns, width: int):
@@ -418,12 +419,7 @@ def cut(blocks: DataFrame, ranges: int, window: int, gram: int) -> DataFrame:
         names = {"k1": pa.int64(), "k2": pa.int64(), "starts": pa.list_(pa.int64()), "ends": pa.list_(pa.int64()), "kept_sha256": pa.string()}
         return {n: pa.array(out[n], t) for n, t in names.items()}
 
-    return mapped(blocks, "k1 long, k2 long, starts array<long>, ends array<long>, kept_sha256 string", work)
-
-
-def one_each(blocks: DataFrame) -> DataFrame:
-    """Dealt out so that a task holds few blocks at a time."""
-    return blocks.repartition("block")
+    return mapped(spread(blocks, "block"), "k1 long, k2 long, starts array<long>, ends array<long>, kept_sha256 string", work)
 
 
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
