@@ -80,7 +80,7 @@ BROOD_INT = "WITH " + pa.COHORT + " SELECT stock, brood_year, " + ", ".join(
 @query("q_read_brood", BROOD_INT + " FROM brood")
 def read_brood(spark, sf_dir):
     brood = pa.cohort_table(spark, sf_dir)
-    whole = brood.select("stock", "brood_year", *[F.floor(a).cast("int").alias(a) for a in pa.ages(brood)])
+    whole = brood.select("stock", "brood_year", *[F.floor(a).cast("bigint").alias(a) for a in pa.ages(brood)])
     folder = writers.write_results(
         {"brood": whole}, writers.scratch_path(spark, "brood"), file_format="csv"
     )["brood"]

@@ -67,7 +67,14 @@ def read_table(spark: SparkSession, path: str, columns: Sequence[tuple[str, str]
 def read_brood(
     spark: SparkSession, path: str, ages: Sequence[str], stock: str = "Stock", cohort: str = "BroodYear"
 ) -> DataFrame:
-    return read_table(spark, path, [(stock, "string"), (cohort, "int"), *[(a, "int") for a in ages]])
+    """Counts by cohort and age, as ``int``; where one passes it, those of all ages are ``bigint``."""
+    wide = read_table(spark, path, [(stock, "string"), (cohort, "int"), *[(a, "bigint") for a in ages]])
+    past = F.lit(False)
+    for a in ages:
+        past = past | (F.col(f"`{a}`").isNotNull() & F.col(f"`{a}`").try_cast("int").isNull())
+    if not wide.filter(past).isEmpty():
+        return wide
+    return wide.withColumns({a: F.col(f"`{a}`").cast("int") for a in ages})
 
 
 def read_forecasts(spark: SparkSession, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from lagloom.operators import features as op
 from lagloom.operators import reshape as rs
 from lagloom.plans.features import INDICATORS, make_features
+from lagloom.queries import QUERIES
 from lagloom.sources import readers, writers
 
 
@@ -116,3 +117,23 @@ def test_make_features_with_every_feed(spark):
     # only what is asked for is planned
     few = make_features(returns, feeds, ["pink_ind"])
     assert "LogicalRDD" not in few._jdf.queryExecution().optimizedPlan().toString().replace("LogicalRDD", "", 1)
+
+
+def test_brood_counts_past_an_int_are_kept(spark, tmp_path):
+    small, large = tmp_path / "small.csv", tmp_path / "large.csv"
+    small.write_text("stock,y,Age2,Age3\nA,2000,5,NA\nB,2001,x,2147483647\n")
+    large.write_text("stock,y,Age2,Age3\nA,2000,5,NA\nB,2001,x,6967293885\n")
+    got = readers.read_brood(spark, str(small), ["Age2", "Age3"], "stock", "y")
+    assert [t for _, t in got.dtypes] == ["string", "int", "int", "int"]
+    assert sorted(map(tuple, got.collect())) == [("A", 2000, 5, None), ("B", 2001, None, 2147483647)]
+    got = readers.read_brood(spark, str(large), ["Age2", "Age3"], "stock", "y")
+    assert [t for _, t in got.dtypes] == ["string", "int", "bigint", "bigint"]
+    assert sorted(map(tuple, got.collect())) == [("A", 2000, 5, None), ("B", 2001, None, 6967293885)]
+
+
+def test_brood_query_of_large_totals(spark, tmp_path):
+    customer = "SELECT 1L AS c_custkey, 'A' AS c_mktsegment"
+    orders = "SELECT id AS o_orderkey, 1L AS o_custkey, DATE'1995-03-01' AS o_orderdate, 4e8D AS o_totalprice FROM range(10)"
+    for name, text in (("customer", customer), ("orders", orders)):
+        spark.sql(text).write.parquet(str(tmp_path / f"{name}.parquet"))
+    assert [tuple(r) for r in QUERIES["q_read_brood"](spark, str(tmp_path)).collect()] == [("A", 1995, 4000000000)]
