@@ -140,6 +140,35 @@ def skill(
     )
 
 
+def skill_beside_best(
+    df: DataFrame,
+    by: str | Iterable[str],
+    best: Column,
+    also: Iterable[Column] = (),
+    time: str = "t",
+    obs: str = "abundance",
+    pred: str = "predicted_abundance",
+) -> DataFrame:
+    """:func:`accuracy` of the groups where ``best`` holds and :func:`skill` of the others, in one pass, with more aggregates of all their rows."""
+    by = as_list(by)
+    order = Window.partitionBy(*by).orderBy(time)
+    complete = F.col(obs).isNotNull() & F.col(pred).isNotNull()
+    known = F.when(complete, F.col(obs))
+    before = F.last(known, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    prev = F.when(best, before).otherwise(F.lag(obs).over(order))
+    pairs = df.select("*", known.alias("_o"), F.when(complete, F.col(pred)).alias("_p"), prev.alias("_prev"))
+    o, p, prev = F.col("_o"), F.col("_p"), F.col("_prev")
+    scored = pairs.groupBy(*by).agg(
+        mape(o, p).alias("mape"),
+        rmse(o, p).alias("rmse"),
+        msa(o, p).alias("msa"),
+        mase(o, p, prev).alias("mase"),
+        F.count(o).alias("_pairs"),
+        *also,
+    )
+    return scored.filter(best | (F.col("_pairs") > 0)).drop("_pairs")
+
+
 def with_errors(
     df: DataFrame,
     obs: str | Column = "abundance",

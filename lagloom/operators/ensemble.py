@@ -144,12 +144,13 @@ def combine(
     schemes: Sequence[str] = tuple(SCHEMES),
     keys: str | Iterable[str] = KEYS,
     time: str = "t",
+    best: str | None = None,
 ) -> DataFrame:
     """Weighted sums of forecast and bounds, one row per (target, scheme).
 
     A NULL weight or value makes the sum NULL.  All schemes and values are
     aggregated in one pass and turned into rows afterwards; the observation of
-    the target comes along.
+    the target comes along.  With ``best``, the model ranked first is one more row by that name.
     """
     by = [*as_list(keys), time]
 
@@ -158,14 +159,16 @@ def combine(
         return F.when(F.count(term) == F.count(F.lit(1)), F.sum(term)).alias(value)
 
     sums = [
-        F.struct(F.lit(s).alias("model"), *[total(v, s) for v in VALUES]).alias(s) for s in schemes
+        F.struct(F.lit(s).alias("model"), *[total(v, s) for v in VALUES], F.max("abundance").alias("abundance")).alias(s)
+        for s in schemes
     ]
-    return (
-        weighted.groupBy(*by)
-        .agg(F.max("abundance").alias("abundance"), *sums)
-        .select(*by, "abundance", F.explode(F.array(*schemes)).alias("_row"))
-        .select(*by, "_row.*", "abundance")
-    )
+    if best is not None:
+        first = F.col("rank") == 1  # of one row at most, ties having averaged ranks
+        own = F.struct(F.lit(best).alias("model"), *[F.max(F.when(first, F.col(c))).alias(c) for c in (*VALUES, "abundance")])
+        sums.append(F.when(F.count(F.when(first, 1)) > 0, own).alias(best))
+    every = F.array(*schemes, *[best] * (best is not None))
+    rows = weighted.groupBy(*by).agg(*sums).select(*by, F.explode(every).alias("_row"))
+    return rows.filter("_row IS NOT NULL").select(*by, "_row.*")
 
 
 def ensemble(

@@ -8,8 +8,10 @@ so scoring a whole panel takes one shuffle for each.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from lagloom.functions.metrics import abs_log_ratio, abs_pct_error, accuracy, sq
 from lagloom.functions.safe import as_list, per_key, ratio, spread
 from lagloom.operators.candidates import Candidates
 from lagloom.operators.features import KEYS
+from lagloom.sources.session import ship
 
 
 def with_obs(
@@ -60,53 +63,88 @@ def score_grid(
     alpha: str,
     keys: str | Iterable[str] = KEYS,
     time: str = "t",
+    wanted: Column | None = None,
+    deal: Iterable[str] | None = None,
 ) -> DataFrame:
-    """Trailing MAPE and window metrics of every row for every value of ``grid``.
+    """Trailing MAPE and window metrics of every row for every value of ``grid``; of the ``wanted`` rows alone, if given.
 
     ``window`` and ``alpha`` are SQL expressions of ``grid``; no window may
     exceed ``rows``.  The trailing MAPE counts rows back (NULL unless ``window``
     of them are there), the window metrics count times back; the j-th back
     weighs (1 - alpha)^j.
 
-    A row keeps its recent past as one array, which the grid is spread over;
-    the sums run over the array's ``rows`` places in generated code.  So there
-    is one shuffle, by (keys, model), and never more than rows x grid rows.
+    A row keeps its recent past as one array, from which a batch of rows is scored for the
+    whole grid at once.  Rows move by (keys, model) to look back and then by ``deal`` (keys and time),
+    each with its scores as arrays; the grid multiplies them after that.
     """
     by = [*as_list(keys), "model", time]
     order = Window.partitionBy(*by[:-1]).orderBy(time)
     past = F.collect_list(past_entry(fc, time)).over(order.rowsBetween(-rows, -1))
     kept = [*by, *[c for c in fc.columns if c not in by]]
-    wide = spread(fc, *by[:-1]).withColumn("_past", past).select(*kept, "_past", F.explode(grid).alias("grid"))
-    wide = wide.withColumns({f"_e{j}": F.try_element_at("_past", F.lit(-j)) for j in range(1, rows + 1)})
-    near = {j: F.expr(f"{j} <= {window}") & F.col(f"_e{j}").isNotNull() for j in range(1, rows + 1)}
-    age = {j: F.col(time) - F.col(f"_e{j}.at") for j in near}
-    used = {j: near[j] & (age[j] <= F.expr(window)) & F.col(f"_e{j}.se").isNotNull() for j in near}
-    wide = wide.withColumns({f"_w{j}": F.when(used[j], F.pow(F.expr(f"1 - {alpha}"), age[j])) for j in near})
-
-    def total(terms: Iterable[Column]) -> Column:
-        return reduce(Column.__add__, [F.coalesce(t.cast("double"), F.lit(0.0)) for t in terms])
-
-    def mean(term: str) -> Column:
-        value, weight = (lambda j: F.col(f"_e{j}.{term}")), (lambda j: F.col(f"_w{j}"))
-        shares = total(F.when(value(j).isNotNull(), weight(j)) for j in near)
-        return ratio(total(value(j) * weight(j) for j in near), shares)
-
-    back = {j: F.when(near[j], F.pow(F.expr(f"1 - {alpha}"), F.lit(j))) for j in near}
-    ape = {j: F.when(near[j], F.col(f"_e{j}.ape")) for j in near}
-    whole = total(ape[j].isNotNull() for j in near) == F.expr(window)
-    roll = 100 * ratio(total(ape[j] * back[j] for j in near), total(back.values()))
-    latest = F.lit(None).cast("double")
-    for j in reversed(near):
-        latest = F.when(F.col(f"_w{j}").isNotNull(), F.col(f"_e{j}.aicc")).otherwise(latest)
-    return wide.select(
-        *kept,
-        "grid",
-        F.when(whole, roll).alias("mape"),
-        F.sqrt(mean("se")).alias("w_rmse"),
-        mean("ape").alias("w_mape"),
-        (100 * (F.exp(mean("alr")) - 1)).alias("w_msa"),
-        latest.alias("w_aicc"),
-    )
+    wide = spread(fc, *by[:-1]).withColumn("_past", past)
+    if wanted is not None:
+        wide = wide.filter(wanted)
+    spark = fc.sparkSession
+    steps = spark.sql("SELECT 1 AS _").select(F.explode(grid).alias("grid"))
+    steps = steps.select("grid", F.expr(window).cast("double"), F.expr(alpha).cast("double")).collect()  # the caller's grid
+    grids, lengths, decays = ([r[i] for r in steps] for i in range(3))
+    names = ("mape", "w_rmse", "w_mape", "w_msa", "w_aicc")
+
+    def scores(now: pa.Array, past: pa.Array) -> pa.Array:
+        return _grid_scores(now, past, rows, np.array(lengths), np.array(decays), names)
+
+    ship(spark)
+    shape = ", ".join(f"{c}: array<double>" for c in names)
+    wide = wide.withColumn("_s", F.arrow_udf(scores, f"struct<{shape}>")(F.col(time).cast("int"), "_past")).select(*kept, "_s.*")
+    wide = spread(wide, *(deal or [*as_list(keys), time]))
+    values = F.array(*[F.lit(g) for g in grids]) if grids else F.array().cast("array<int>")
+    cells = F.explode(F.arrays_zip(values.alias("grid"), *[F.col(c).alias(c) for c in names])).alias("_c")
+    return wide.select(*kept, cells).select(*kept, "_c.*").select(*kept, F.col("grid"), *names)
+
+
+def _grid_scores(now: pa.Array, past: pa.Array, rows: int, window: np.ndarray, alpha: np.ndarray, names: Iterable[str]) -> pa.Array:
+    """The metrics of ``score_grid`` as one array per row and metric, NULL where undefined; ``past`` has the oldest entry first."""
+    entries, ends, t = past.values, past.offsets.to_numpy()[1:], now.to_numpy(zero_copy_only=False)
+    lengths, shape = np.diff(past.offsets.to_numpy()), (len(t), len(window))
+    column = {c: pc.struct_field(entries, c) for c in ("at", "ape", "se", "alr", "aicc")}
+    is_known = {c: v.is_valid().to_numpy(zero_copy_only=False) for c, v in column.items()}
+    value = {c: np.where(is_known[c], v.to_numpy(zero_copy_only=False), 0.0) for c, v in column.items()}
+    sums = {c: np.zeros(shape) for c in ("back", "roll", "se", "se_w", "ape", "ape_w", "alr", "alr_w")}
+    seen, latest, has_latest, settled = np.zeros(shape), np.zeros(shape), np.zeros(shape, bool), np.zeros(shape, bool)
+    with np.errstate(all="ignore"):
+        for j in range(1, rows + 1):
+            own = np.flatnonzero(lengths >= j)
+            if not len(own):
+                break
+            at = ends[own] - j
+            near = np.broadcast_to(j <= window, (len(own), len(window)))
+            age = (t[own] - value["at"][at])[:, None]
+            back = np.where(near, (1 - alpha) ** j, 0.0)
+            known = is_known["ape"][at][:, None]
+            sums["back"][own] += back
+            sums["roll"][own] += np.where(known, value["ape"][at][:, None] * back, 0.0)
+            seen[own] += near & known
+            used = near & (age <= window) & is_known["se"][at][:, None]
+            weight = np.where(used, (1 - alpha) ** age, 0.0)
+            for c in ("se", "ape", "alr"):
+                share = used & is_known[c][at][:, None]
+                sums[c][own] += np.where(share, value[c][at][:, None] * weight, 0.0)
+                sums[c + "_w"][own] += np.where(share, weight, 0.0)
+            first = used & ~settled[own]
+            latest[own] = np.where(first, value["aicc"][at][:, None], latest[own])
+            has_latest[own] |= first & is_known["aicc"][at][:, None]
+            settled[own] |= used
+        mean = {c: sums[c] / sums[c + "_w"] for c in ("se", "ape", "alr")}
+        out = {
+            "mape": (100 * (sums["roll"] / sums["back"]), (seen == window) & (sums["back"] != 0)),
+            "w_rmse": (np.sqrt(mean["se"]), sums["se_w"] != 0),
+            "w_mape": (mean["ape"], sums["ape_w"] != 0),
+            "w_msa": (100 * (np.exp(mean["alr"]) - 1), sums["alr_w"] != 0),
+            "w_aicc": (latest, has_latest),
+        }
+    cuts = pa.array(np.arange(len(t) + 1) * len(window), pa.int32())
+    lists = [pa.ListArray.from_arrays(cuts, pa.array(out[c][0].ravel(), mask=~out[c][1].ravel())) for c in names]
+    return pa.StructArray.from_arrays(lists, list(names))
 
 
 def score_array(fc: DataFrame, past: str, time: str, slide: str, alpha: float, wanted: Iterable[str]) -> DataFrame:

@@ -12,26 +12,12 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lagloom.functions.metrics import skill_beside_best
 from lagloom.functions.safe import as_list
-from lagloom.operators.ensemble import (
-    SCHEMES,
-    VALUES,
-    combine,
-    ensemble_skill,
-    in_targets,
-    with_stack_weights,
-    with_weights,
-)
+from lagloom.operators.ensemble import SCHEMES, VALUES, combine, with_stack_weights, with_weights
 from lagloom.operators.features import KEYS
 from lagloom.operators.report import BEST
-from lagloom.operators.rolling import (
-    best_individual,
-    rank_models,
-    score_grid,
-    top_models,
-    with_bounds,
-)
-from lagloom.sources.writers import cut_lineage
+from lagloom.operators.rolling import rank_models, score_grid, top_models, with_bounds
 
 
 def _sweep(
@@ -50,22 +36,19 @@ def _sweep(
     by = ["grid", *keys]
     needed = [*keys, time, "model", "abundance", *VALUES, "aicc", "series_end", "series_observed"]
     rows = with_bounds(fc, keys, time).select(*needed)
-    scored = score_grid(rows, longest, grid, window, alpha, keys, time)
-    # Ranked rows feed four branches; store them once instead of repeating the scoring.
-    ranked = cut_lineage(rank_models(scored, metric, by, time), "sweep")
-    rows = in_targets(ranked, years, by, time).filter(F.col("rank") <= n)
+    # Times that are scored look back at all, but they alone meet the grid; a series' rows stay together from there on.
+    recent = F.col(time) > F.col("series_end") - years
+    scored = score_grid(rows, longest, grid, window, alpha, keys, time, wanted=recent, deal=keys)
+    top = top_models(rank_models(scored, metric, by, time), n, years, by, time)
     schemes = [s for s in SCHEMES if s != "Stack_weighted"]
-    weighted = with_stack_weights(with_weights(rows, k, by, time), None, by, time)
-    ensembles = cut_lineage(combine(weighted, schemes, by, time), "sweep-ensembles")
-    best = best_individual(top_models(ranked, n, years, by, time), by, time)
-    skill = ensemble_skill(ranked, ensembles, years, by, time).filter(F.col("model").contains("weight"))
-    table = best.withColumn("model", F.lit(BEST)).unionByName(skill)
-    final = ensembles.groupBy(*by, "model").agg(
-        F.max_by(F.struct(time, "predicted_abundance", "lo_50", "hi_50", "lo_95", "hi_95"), time).alias("_f")
-    )
-    last = ensembles.groupBy(*by).agg(F.max(time).alias("_last"))
-    latest = final.join(last, by).filter(F.col(f"_f.{time}") == F.col("_last"))
-    return table.join(latest.select(*by, "model", "_f.*"), [*by, "model"], "left")
+    weighted = with_stack_weights(with_weights(top, k, by, time), None, by, time)
+    target = F.coalesce(F.col(time) <= F.col("series_observed") + 1, F.lit(False))
+    members = combine(weighted.withColumn("_target", target), schemes, [*by, "_target"], time, best=BEST)
+    own = F.col("model") == BEST
+    latest = F.max_by(F.struct(time, *VALUES), time).alias("_f")
+    table = skill_beside_best(members.filter(own | F.col("_target")), [*by, "model"], own, [latest], time)
+    metrics = [*by, "model", "mape", "rmse", "msa", "mase"]
+    return table.withColumn("_f", F.when(~own, F.col("_f"))).select(*metrics, "_f.*")
 
 
 def sweep_window(

@@ -1,11 +1,16 @@
 """Plans and results under a hot key."""
 
+import glob
+
+import pytest
 from pyspark.sql import functions as F
 
 from lagloom.functions.safe import per_key
 from lagloom.operators import features as op
+from lagloom.operators import stacking as st
+from lagloom.queries import QUERIES
 from lagloom.queries import panels as pa
-from lagloom.queries.scoring import ranked
+from lagloom.queries.scoring import _stacked, ranked
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -44,3 +49,11 @@ def test_models_of_a_series_are_not_gathered_to_score_them(spark):
 
 def test_feature_table_joins_nothing(spark):
     assert "Join" not in physical(pa.supplier_features(spark, SMALL))
+
+
+def spread_by_grid(df):
+    return [line for line in physical(df).splitlines() if "Exchange hashpartitioning" in line and "grid#" in line]
+
+
+def test_sweep_alpha_meets_the_grid_after_its_last_shuffle(spark):
+    assert not spread_by_grid(QUERIES["q_sweep_alpha"](spark, SMALL))
