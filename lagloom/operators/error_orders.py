@@ -19,17 +19,20 @@ as its lag, an error of zero, and the variance that this adds.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lagloom.functions.safe import as_list, present, spread
 from lagloom.operators.candidates import Candidates
 from lagloom.operators.features import KEYS, drop_incomplete
 from lagloom.operators.fit_linear import intervals
-from lagloom.operators.sweep import corner, dot, gram, slopes, submatrix, swept
+from lagloom.operators.sweep import dot, eliminated, gram
+from lagloom.sources.session import ship
 
 # 5 % critical value of the level-stationarity statistic (fixed value).
 CRITICAL = 0.463
@@ -165,7 +168,7 @@ def fit_orders(
     if freq > 1:
         folds = folds.filter(F.col("period") == first_period)
     terms = [*names, *[f"ar{j}" for j in range(1, max_p + 1)], *[f"ma{j}" for j in range(1, max_q + 1)], *["sar1"] * bool(seasonal)]
-    fits = _best(_fitted(_with_orders(folds, candidates, max_p, max_q, seasonal), terms), [*keys, time, *tags, "model"])
+    fits = _best(_with_orders(folds, candidates, max_p, max_q, seasonal), [*keys, time, *tags, "model"])
     fits = _two_steps(fits, terms, time) if two_steps else fits
     fits = intervals(fits.withColumn("mu", F.col("mu") + F.col("_level")), "_variance")
     order = F.array("p", "q", "sp", F.lit(0), F.lit(freq), "d", F.lit(0))
@@ -192,12 +195,12 @@ def _folds(rows, d, n_x, max_p, max_q, seasonal, long, keys, two_steps, kept) ->
         first = [*xs, *[F.col(f"_z{j}") for j in range(1, long + 1)]]
         k = len(first)
         rows = rows.withColumns(gram([*first, F.col("_z")], past))
-        whole = swept(submatrix(F.sequence(F.lit(0), F.lit(k - 1)), k + 1), F.sequence(F.lit(0), F.lit(k - 1)), F.lit(k + 1))
-        b = slopes(F.when(F.col("_n") > k + 2, whole), F.lit(k))
-        rows = rows.withColumn("_b", b)
-        off = F.transform(F.slice("_s", 1, k), lambda s: s / F.col("_n"))
-        mean = F.get("_s", F.lit(k)) / F.col("_n")
-        rows = rows.withColumn("_e", F.col("_z") - mean - dot(F.col("_b"), F.zip_with(F.array(*first), off, lambda x, m: x - m)))
+        ship(rows.sparkSession)
+
+        def missed(n: pa.Array, s: pa.Array, q: pa.Array, x: pa.Array, z: pa.Array) -> pa.Array:
+            return _prediction_errors(k, n, s, q, x, z)
+
+        rows = rows.withColumn("_e", F.arrow_udf(missed, "double")("_n", "_s", "_q", F.array(*first).cast("array<double>"), "_z"))
         rows = rows.withColumns({f"_e{j}": F.lag("_e", j).over(order) for j in range(1, max_q + 1)})
     pool = [*xs, *[F.col(f"_z{j}") for j in range(1, max_p + 1)], *[F.col(f"_e{j}") for j in range(1, max_q + 1)]]
     if seasonal:
@@ -216,53 +219,125 @@ def _folds(rows, d, n_x, max_p, max_q, seasonal, long, keys, two_steps, kept) ->
     return out.filter(F.col("d") == d).select(*kept, "d", "_level", "_last", "_n", "_s", "_q", "_x", "_base", *extra)
 
 
+SOLUTION = T.StructType([
+    *[T.StructField(c, T.IntegerType()) for c in ("p", "q", "sp")], T.StructField("positions", T.ArrayType(T.IntegerType())),
+    T.StructField("_b", T.ArrayType(T.DoubleType())), *[T.StructField(c, T.DoubleType()) for c in ("_constant", "mu", "sigma2", "aicc")],
+    T.StructField("error", T.StringType()),
+])
+
+
 def _with_orders(folds: DataFrame, candidates: Candidates, max_p: int, max_q: int, seasonal: int) -> DataFrame:
-    """Every fold with every model and order; ``positions`` are those of its regressors in ``_x``."""
+    """Every fold with every model, fitted with all orders; the one of least AICc is kept, the smaller one on ties.
+
+    ``positions`` are those of its regressors in ``_x``.
+    """
     n_x = len(candidates.covariates)
     orders = []
     for p in range(max_p + 1):
         for q in range(max_q + 1):
             for s in range(2 if seasonal else 1):
                 at = [n_x + j for j in range(p)] + [n_x + max_p + j for j in range(q)] + [n_x + max_p + max_q] * s
-                at = F.array(*[F.lit(i) for i in at]) if at else F.array().cast("array<int>")
-                orders.append(F.struct(F.lit(p).alias("p"), F.lit(q).alias("q"), F.lit(s).alias("sp"), at.alias("at")))
-    tasks = candidates.pair(folds).withColumn("_order", F.explode(F.array(*orders)))
-    return tasks.withColumn("positions", F.concat("positions", "_order.at")).select("*", "_order.p", "_order.q", "_order.sp").drop("_order")
-
-
-def _fitted(tasks: DataFrame, terms: Sequence[str]) -> DataFrame:
-    """Coefficients, variance, AICc and the mean one step ahead of each task."""
-    width = len(terms) + 1
-    size = F.size("positions")
-    pivots = F.filter(F.sequence(F.lit(0), F.lit(width)), lambda i: i < size)
-    tasks = tasks.withColumn("_a", submatrix(F.col("positions"), width))
-    tasks = tasks.withColumn("_a", F.struct(F.element_at("_a", -1).alias("first"), swept(F.col("_a"), pivots, size + 1).alias("m")))
-    n, params = F.col("_n"), size + 2
-    tasks = tasks.withColumns({"_b": slopes(F.col("_a.m"), size), "rss": corner(F.col("_a.m"))})
-    mean = F.transform("positions", lambda i: F.get("_s", i) / n)
-    response = F.get("_s", F.lit(width - 1)) / n
-    tasks = tasks.withColumn("_constant", response - dot(F.col("_b"), mean))
-    at = F.transform("positions", lambda i: F.get("_x", i))
-    tasks = tasks.withColumn("mu", F.col("_constant") + dot(F.col("_b"), at) + F.col("_base"))
-    error = (
-        F.when(n <= params + 1, F.lit("too few observations"))
-        .when(F.col("_a.m").isNull(), F.lit("singular design"))
-        .when(present("rss").isNull(), F.lit("not finite"))
-        .when(F.col("rss") <= 1e-12 * F.col("_a.first"), F.lit("perfect fit"))
-        .when(F.col("mu").isNull(), F.lit("no regressors at the target"))
-    )
-    tasks = tasks.withColumn("error", error)
-    good = F.col("error").isNull()
-    loglik = -n / 2.0 * (F.ln(2 * np.pi * F.col("rss") / n) + 1)
-    tasks = tasks.withColumns({
-        "sigma2": F.when(good, F.col("rss") / (n - size - 1)), "mu": F.when(good, F.col("mu")),
-        "aicc": F.when(good, -2 * loglik + 2 * params + 2 * params * (params + 1) / (n - params - 1)),
-    })
-    return tasks.withColumn("_variance", F.col("sigma2")).drop("_a", "_q", "covariates")
+                orders.append((p, q, s, at))
+    orders.sort(key=lambda o: (sum(o[:3]), *o[:2]))
+    width = n_x + max_p + max_q + bool(seasonal) + 1
+    tasks = candidates.pair(folds).drop("covariates").withColumn("_base", F.col("_base").cast("double"))
+    used = ("positions", "_s", "_q", "_x")
+    kept = [f for f in tasks.schema if f.name not in used]
+
+    def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            solved = _solve_orders(batch, orders, width)
+            rest = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*rest, *solved], names=[*[f.name for f in kept], *SOLUTION.names])
+
+    ship(folds.sparkSession)
+    return tasks.mapInArrow(fitted, T.StructType([*kept, *SOLUTION.fields])).withColumn("_variance", F.col("sigma2"))
+
+
+def _places(width: int) -> np.ndarray:
+    """Where a packed upper triangle holds each entry of the matrix."""
+    place = np.zeros((width, width), int)
+    place[np.triu_indices(width)] = np.arange(width * (width + 1) // 2)
+    return np.maximum(place, place.T)
+
+
+def _prediction_errors(k: int, n: pa.Array, s: pa.Array, q: pa.Array, x: pa.Array, z: pa.Array) -> pa.Array:
+    """What the regression of all ``k`` regressors on earlier rows misses of ``z``; NULL with too few rows or dependent regressors."""
+    count = len(n)
+    sums, products, own = (a.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(count, -1) for a in (s, q, x))
+    m, value = (a.to_numpy(zero_copy_only=False).astype(float) for a in (n, z))
+    with np.errstate(all="ignore"):
+        matrix = products[:, _places(k + 1)] - sums[:, :, None] * sums[:, None, :] / m[:, None, None]
+        solved, solid = eliminated(matrix, k)
+        fitted = np.zeros(count)
+        for i in range(k):
+            fitted = fitted + solved[:, i, k] * (own[:, i] - sums[:, i] / m)
+        out = np.where(solid & (m > k + 2), value - sums[:, k] / m - fitted, np.nan)
+    return pa.array(out, from_pandas=True)
+
+
+def _solve_orders(batch: pa.RecordBatch, orders: Sequence[tuple], width: int) -> list[pa.Array]:
+    """The columns of ``SOLUTION``: coefficients, variance, AICc and the mean one step ahead of each row's best order."""
+    count = batch.num_rows
+
+    def table(name: str) -> np.ndarray:
+        return batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(count, -1)
+
+    n, base = (batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in ("_n", "_base"))
+    sums, products, x = table("_s"), table("_q"), table("_x")
+    positions = [tuple(p) for p in batch.column("positions").to_pylist()]
+    choice, least = np.full(count, -1), np.full(count, np.nan)
+    numbers = {c: np.full(count, np.nan) for c in ("_constant", "mu", "sigma2", "aicc")}
+    slopes_of, error = [None] * count, np.full(count, None, object)
+    place = _places(width)
+    for own in set(positions):
+        rows = np.flatnonzero([p == own for p in positions])
+        for number, (*_, at) in enumerate(orders):
+            used = [*own, *at]
+            size, with_response = len(used), [*used, width - 1]
+            m, s = n[rows], sums[rows]
+            with np.errstate(all="ignore"):
+                crossed = products[rows][:, place[np.ix_(with_response, with_response)]]
+                matrix = crossed - s[:, with_response][:, :, None] * s[:, with_response][:, None, :] / m[:, None, None]
+                swept_matrix, solid = eliminated(matrix, size)
+                b, rss = swept_matrix[:, :size, size], swept_matrix[:, size, size]
+                step, ahead = np.zeros(len(rows)), np.zeros(len(rows))
+                for i, position in enumerate(used):
+                    step = step + b[:, i] * (s[:, position] / m)
+                    ahead = ahead + b[:, i] * x[rows, position]
+                constant = s[:, width - 1] / m - step
+                mu = constant + ahead + base[rows]
+                params = size + 2
+                found = np.select(
+                    [m <= params + 1, ~solid, ~np.isfinite(rss), rss <= 1e-12 * matrix[:, size, size], np.isnan(mu)],
+                    ["too few observations", "singular design", "not finite", "perfect fit", "no regressors at the target"], "",
+                )
+                loglik = -m / 2.0 * (np.log(2 * np.pi * rss / m) + 1)
+                aicc = -2 * loglik + 2 * params + 2 * params * (params + 1) / (m - params - 1)
+                variance = rss / (m - size - 1)
+            good = found == ""
+            aicc = np.where(good, aicc, np.nan)
+            values = (np.where(solid, constant, np.nan), np.where(good, mu, np.nan), np.where(good, variance, np.nan), aicc)
+            better = (choice[rows] < 0) | (good & (np.isnan(least[rows]) | (aicc < least[rows])))
+            new = rows[better]
+            choice[new], least[new] = number, aicc[better]
+            for c, value in zip(numbers, values):
+                numbers[c][new] = value[better]
+            error[new] = np.where(good, None, found)[better]
+            for row, coefficients, ok in zip(new.tolist(), b[better], solid[better].tolist()):
+                slopes_of[row] = coefficients if ok else None
+    taken = [orders[c] for c in choice.tolist()]
+    return [
+        *[pa.array([o[i] for o in taken], pa.int32()) for i in range(3)],
+        pa.array([[*p, *o[3]] for p, o in zip(positions, taken)], pa.list_(pa.int32())),
+        pa.array(slopes_of, pa.list_(pa.float64())),
+        *[pa.array(v, from_pandas=True) for v in numbers.values()],
+        pa.array(error.tolist(), pa.string()),
+    ]
 
 
 def _best(tasks: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The order of least AICc of each fit, the smaller one on ties."""
+    """The order of least AICc of each fit, the smaller one on ties; rows that repeat a key and time are one fit."""
     rest = [c for c in tasks.columns if c not in on]
     rank = F.struct(F.col("error").isNotNull(), F.col("aicc"), F.col("p") + F.col("q") + F.col("sp"), "p", "q")
     best = tasks.groupBy(*on).agg(F.min_by(F.struct(*rest), rank).alias("_best"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
@@ -71,6 +72,19 @@ def swept(matrix: Column, pivots: Column, width: Column) -> Column:
     return F.aggregate(pivots, matrix, step)
 
 
+def eliminated(a: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray]:
+    """``swept`` for a batch of matrices ``[row, i, j]`` on their first variables, and whether none of these was dependent."""
+    first, solid = np.einsum("bii->bi", a).copy(), np.ones(len(a), bool)
+    with np.errstate(all="ignore"):
+        for j in range(pivots):
+            d, left, up = a[:, j, j].copy(), a[:, :, j].copy(), a[:, j, :].copy()
+            solid &= (d > 0) & (d > TOLERANCE * first[:, j])
+            a = a - left[:, :, None] * up[:, None, :] / d[:, None, None]
+            a[:, j, :], a[:, :, j] = up / d[:, None], -left / d[:, None]
+            a[:, j, j] = 1 / d
+    return a, solid
+
+
 def slopes(matrix: Column, size: Column) -> Column:
     """Coefficients of the first ``size`` variables of a swept matrix."""
     width = size + 1
