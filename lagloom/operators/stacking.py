@@ -10,6 +10,7 @@ from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,7 +19,7 @@ from lagloom.functions.metrics import BY_NAME
 from lagloom.functions.safe import as_list, spread
 from lagloom.operators.ensemble import in_targets
 from lagloom.operators.features import KEYS
-from lagloom.operators.sweep import corner, slopes, swept
+from lagloom.operators.sweep import eliminated
 from lagloom.sources.session import ship
 
 
@@ -127,51 +128,73 @@ def exact_weights(stacked: DataFrame, keys: str | Iterable[str] = KEYS) -> DataF
     errors, so all that matters is the members' Gram matrix of errors.  On each support the
     weights solve a small system in the differences to the support's last member; supports
     with a negative weight or dependent members are no optimum of their own, and the least of the rest is the
-    optimum.  The supports of n models are 2 ** n - 1, rows of a few numbers.
+    optimum.  The 2 ** n - 1 supports of n models are solved one after the other for all rows of a batch.
     """
     by = [*as_list(keys), "target"]
-    n = F.size("models")
-    members = F.sequence(F.lit(0), n - 1)
-
-    def product(i: Column, j: Column) -> Column:
-        terms = F.zip_with("preds", "obs", lambda p, o: (F.get(p, i) - o) * (F.get(p, j) - o))
-        return F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v)
-
-    gram = F.flatten(F.transform(members, lambda i: F.transform(members, lambda j: product(i, j))))
-    rows = stacked.filter((n > 0) & (F.size("obs") > 0)).select(*by, "models", F.size("obs").alias("_t"), gram.alias("_g"))
-    masks = F.sequence(F.lit(1), (F.pow(F.lit(2), n) - 1).cast("int"))
-    rows = rows.withColumn("_mask", F.explode(masks))
-    rows = rows.withColumn("_in", F.filter(members, lambda i: F.expr("_mask").bitwiseAND(F.pow(F.lit(2), i).cast("int")) > 0))
-    size = F.size("_in") - 1
-    last = F.element_at("_in", -1)
-
-    def g(i: Column, j: Column) -> Column:
-        return F.get("_g", i * n + j)
-
-    # regressors: the other members' errors less the last one's; response: minus the last one's
-    def cell(i: Column, j: Column) -> Column:
-        left, right = i == last, j == last
-        return (
-            F.when(left & right, g(last, last))
-            .when(left, g(last, last) - g(last, j))
-            .when(right, g(last, last) - g(i, last))
-            .otherwise(g(i, j) - g(i, last) - g(j, last) + g(last, last))
-        )
-
-    matrix = F.flatten(F.transform("_in", lambda i: F.transform("_in", lambda j: cell(i, j))))
-    rows = rows.withColumn("_m", matrix)
-    pivots = F.filter(members, lambda i: i < size)
-    rows = rows.withColumn("_m", swept(F.col("_m"), pivots, size + 1)).filter("_m IS NOT NULL")
-    rows = rows.withColumn("_w", F.when(size > 0, slopes(F.col("_m"), size)).otherwise(F.array().cast("array<double>")))
-    total = F.aggregate("_w", F.lit(0.0), lambda acc, v: acc + v)
-    rows = rows.withColumn("_w", F.concat("_w", F.array(1 - total))).filter(F.forall("_w", lambda w: w >= 0))
-    weights = F.transform(
-        members, lambda i: F.coalesce(F.get("_w", F.when(F.array_contains("_in", i), F.array_position("_in", i) - 1).cast("int")), F.lit(0.0))
-    )
-    score = F.sqrt(F.greatest(corner(F.col("_m")), F.lit(0.0)) / F.col("_t"))
-    rows = rows.select(*by, "models", F.when(score.isNotNull(), weights).alias("weights"), score.alias("score"), size.alias("_size"), "_mask")
-    best = F.min_by(F.struct("models", "weights", "score"), F.struct("score", "_size", "_mask")).alias("b")
-    return rows.filter("score IS NOT NULL").groupBy(*by).agg(best).select(*by, "b.*")
+    rows = stacked.filter((F.size("models") > 0) & (F.size("obs") > 0)).select(*by, "models", "obs", "preds")
+    found = [T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("score", T.DoubleType())]
+    result = T.StructType([*[rows.schema[c] for c in (*by, "models")], *found])
+    ship(stacked.sparkSession)
+    return spread(rows, *by).mapInArrow(_exact_batches, result).filter("score IS NOT NULL")
+
+
+def _exact_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``weights`` and ``score`` in place of ``obs`` and ``preds``, rows of one shape solved together."""
+    for batch in batches:
+        obs, preds = batch.column("obs"), batch.column("preds")
+        times, members = (batch.column(c).value_lengths().to_numpy(zero_copy_only=False).astype(int) for c in ("obs", "models"))
+        weights, score = [None] * batch.num_rows, np.full(batch.num_rows, np.nan)
+        known = np.zeros(batch.num_rows, bool)
+        for t, n in set(zip(times.tolist(), members.tolist())):
+            rows = np.flatnonzero((times == t) & (members == n))
+            o = obs.take(pa.array(rows)).flatten()
+            p = preds.take(pa.array(rows)).flatten().flatten()
+            gone = p.is_null().to_numpy(zero_copy_only=False).reshape(-1, t, n).any(axis=1)
+            gone |= o.is_null().to_numpy(zero_copy_only=False).reshape(-1, t).any(axis=1)[:, None]
+            o, p = o.to_numpy(zero_copy_only=False).reshape(-1, t), p.to_numpy(zero_copy_only=False).reshape(-1, t, n)
+            w, s, good = _exact(p - o[:, :, None], gone)
+            known[rows], score[rows] = good, s
+            for row, own, ok in zip(rows.tolist(), w, good.tolist()):
+                weights[row] = own if ok else None
+        kept = [c for c in batch.schema.names if c not in ("obs", "preds")]
+        solved = [pa.array(weights, pa.list_(pa.float64())), pa.array(score, mask=~known)]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in kept], *solved], names=[*kept, "weights", "score"])
+
+
+def _exact(errors: np.ndarray, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(weights, score, whether there are any) of errors ``[row, time, member]``; members that are ``gone`` take no part."""
+    count, t, n = errors.shape
+    with np.errstate(all="ignore"):
+        g = np.zeros((count, n, n))
+        for at in range(t):
+            g = g + errors[:, at, :, None] * errors[:, at, None, :]
+        best, least, found = np.zeros((count, n)), np.full(count, np.nan), np.zeros(count, bool)
+        # smaller supports first, so that an equal score keeps them
+        for mask in sorted(range(1, 2**n), key=lambda m: (m.bit_count(), m)):
+            own = [i for i in range(n) if mask >> i & 1]
+            size, end = len(own) - 1, own[-1]
+            # regressors: the other members' errors less the last one's; response: minus the last one's
+            matrix = np.empty((count, size + 1, size + 1))
+            last = g[:, end, end]
+            for a, i in enumerate(own[:-1]):
+                for b, j in enumerate(own[:-1]):
+                    matrix[:, a, b] = g[:, i, j] - g[:, i, end] - g[:, j, end] + last
+                matrix[:, a, size], matrix[:, size, a] = last - g[:, i, end], last - g[:, end, i]
+            matrix[:, size, size] = last
+            matrix, good = eliminated(matrix, size)
+            w = matrix[:, :size, size]
+            total = np.zeros(count)
+            for a in range(size):
+                total = total + w[:, a]
+            w = np.column_stack([w, 1 - total])
+            value = np.sqrt(np.maximum(matrix[:, size, size], 0.0) / t)
+            good = good & ~(w < 0).any(axis=1) & ~gone[:, own].any(axis=1)
+            better = good & (~found | (value < least) | (np.isnan(least) & ~np.isnan(value)))
+            least, found = np.where(better, value, least), found | better
+            here = np.zeros((count, n))
+            here[:, own] = w
+            best = np.where(better[:, None], here, best)
+    return best, least, found
 
 
 def _mixed_bits(x: np.ndarray) -> np.ndarray:

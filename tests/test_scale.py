@@ -62,3 +62,7 @@ def test_sweep_alpha_meets_the_grid_after_its_last_shuffle(spark):
 def test_orders_of_a_fit_are_no_rows(spark):
     plan = physical(QUERIES["q_backtest_differences"](spark, SMALL))
     assert "_order#" not in plan and plan.count("MapInArrow") >= 1
+
+
+def test_supports_of_a_stack_are_no_rows(spark):
+    assert "_mask#" not in physical(QUERIES["q_stack_exact"](spark, SMALL))
