@@ -193,7 +193,7 @@ def refresh_from_state(spark, sf_dir):
     state = writers.cut_lineage(advance_state(state, features.filter("t = _end - 2"), SINGLES), "state")
     fresh = forecast_new(state, new, SINGLES, carry=["period"])
     fresh = writers.cut_lineage(fresh, "fresh").filter("error IS NULL").drop("error")
-    old = fits(spark, sf_dir).join(fresh.select("series_id", "t", "model"), ["series_id", "t", "model"], "left_anti")
+    old = stored_fits(spark, sf_dir, ()).join(fresh.select("series_id", "t", "model"), ["series_id", "t", "model"], "left_anti")
     return _chosen_view(run(spark, sf_dir, supplied=old.unionByName(fresh)).chosen)
 
 

@@ -43,9 +43,12 @@ def ranked(spark, sf_dir, metric="aicc", alpha=0.0, stretch=False):
     return score(stored_fits(spark, sf_dir), YEARS, SLIDE, alpha, metric, stretch)
 
 
-def stored_fits(spark, sf_dir):
-    """Fits written once and then filtered, as every later step reads them."""
-    every = bt.backtest(pa.supplier_features(spark, sf_dir), SINGLES, LAST, carry=["abundance"])
+def stored_fits(spark, sf_dir, carry=("abundance",)):
+    """Fits written once and then filtered, as every later step reads them.
+
+    A filter on ``error`` before that would go below the fits and repeat them in itself.
+    """
+    every = bt.backtest(pa.supplier_features(spark, sf_dir), SINGLES, LAST, carry=carry)
     return bt.succeeded(cut_lineage(every, "fits"))
 
 

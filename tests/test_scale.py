@@ -66,3 +66,15 @@ def test_orders_of_a_fit_are_no_rows(spark):
 
 def test_supports_of_a_stack_are_no_rows(spark):
     assert "_mask#" not in physical(QUERIES["q_stack_exact"](spark, SMALL))
+
+
+def stored(spark):
+    return len(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/lagloom/fits-*"))
+
+
+@pytest.mark.parametrize("name, times", [("q_refresh_state", 1)])
+def test_fits_are_stored_before_they_are_filtered(spark, name, times):
+    """A filter on a fit's error goes below the fit and makes it anew; several readers make it once more each."""
+    before = stored(spark)
+    QUERIES[name](spark, SMALL)
+    assert stored(spark) == before + times
