@@ -6,6 +6,7 @@ number of eligible models, both parameters; it never grows with the data.
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
@@ -23,6 +24,10 @@ from lagloom.operators.sweep import eliminated
 from lagloom.sources.session import ship
 
 
+#: Chains stepped together; a worker holds the histories of so many, however many rows a batch has.
+CHAINS = 4096
+
+
 def stack_input(
     ranked: DataFrame,
     years: int,
@@ -266,7 +271,8 @@ def find_stack_weights(
     )
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        pieces = (batch.iloc[at : at + CHAINS].reset_index(drop=True) for batch in batches for at in range(0, len(batch), CHAINS))
+        for batch in pieces:
             found = pd.DataFrame({"weights": None, "score": np.nan, "history": None}, index=range(len(batch)), dtype=object)
             sizes = batch["preds"].map(lambda p: (len(p), len(p[0]) if len(p) else 0)).to_numpy()
             for shape in sorted(set(sizes)):
@@ -277,6 +283,7 @@ def find_stack_weights(
                 preds = np.array([[list(r) for r in p] for p in batch["preds"].iloc[rows]], float)
                 for i, chain in zip(rows, _chains(obs, preds, batch["_seed"].iloc[rows].to_numpy())):
                     found.iloc[i] = chain
+                del obs, preds
             found["score"] = found["score"].astype(float)
             yield pd.concat([batch[kept].reset_index(drop=True), found], axis=1)
 
@@ -303,7 +310,7 @@ def find_stack_weights(
         current, idle = best.copy(), np.ones(count, int)
         with np.errstate(all="ignore"):
             least = score(obs, mixed(best, slice(None)))
-            history = [[v] for v in least]
+            history = [array("d", [v]) for v in least]
             own = np.flatnonzero(np.isfinite(least) & (idle < patience))
             while len(own):
                 turn += 1
@@ -322,7 +329,7 @@ def find_stack_weights(
                     history[i].append(v)
                 own = own[idle[own] < patience]
         for i in range(count):
-            yield (best[i], least[i], history[i]) if np.isfinite(least[i]) else (None, np.nan, None)
+            yield (best[i], least[i], np.array(history[i])) if np.isfinite(least[i]) else (None, np.nan, None)
 
     ship(stacked.sparkSession)
     return spread(tasks, *keys, "target").mapInPandas(search, result)

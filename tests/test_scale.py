@@ -78,3 +78,10 @@ def test_fits_are_stored_before_they_are_filtered(spark, name, times):
     before = stored(spark)
     QUERIES[name](spark, SMALL)
     assert stored(spark) == before + times
+
+
+def test_search_is_the_same_whatever_is_stepped_together(spark, monkeypatch):
+    stacked = _stacked(spark, SMALL)
+    whole = {(r.series_id, r.target): r for r in st.find_stack_weights(stacked, patience=40).collect()}
+    monkeypatch.setattr(st, "CHAINS", 3)
+    assert {(r.series_id, r.target): r for r in st.find_stack_weights(stacked, patience=40).collect()} == whole
