@@ -53,15 +53,25 @@ def _aicc(rss: Column, size: Column) -> Column:
     return F.when((n > params + 1) & (rss > 1e-12 * F.element_at("first", -1)), value)
 
 
-def _children(nodes: DataFrame, p: int) -> DataFrame:
-    """Every node with one more, later covariate, swept into its matrix; dependent ones are left out."""
+def _children(nodes: DataFrame, p: int, keep: bool = False) -> DataFrame:
+    """Every node with one more, later covariate, swept into its matrix; NULL where it depends on those before.
+
+    With ``keep`` nodes have ``_open``; the parents stay, closed, and closed ones have no children.
+    """
     last = F.coalesce(F.try_element_at("positions", F.lit(-1)), F.lit(-1))
     later = F.filter(F.sequence(F.lit(0), F.lit(p - 1)), lambda i: i > last)
+    if keep:
+        later = F.concat(F.array(F.lit(-1)), F.when(F.col("_open"), later).otherwise(F.array().cast("array<int>")))
     out = nodes.withColumn("_add", F.explode(later))
+    grow = F.col("_add") >= 0
     solid = F.get("m", F.col("_add") * (p + 2)) > TOLERANCE * F.get("first", F.col("_add"))
-    out = out.withColumn("m", F.when(solid, swept(F.col("m"), F.array("_add"), F.lit(p + 1))))
-    out = out.withColumn("positions", F.concat("positions", F.array("_add"))).drop("_add")
-    return out.withColumn("aicc", _aicc(corner(F.col("m")), F.size("positions")))
+    made = F.when(solid, swept(F.col("m"), F.array("_add"), F.lit(p + 1)))
+    out = out.withColumn("m", F.when(grow, made).otherwise(F.col("m")) if keep else made)
+    out = out.withColumn("positions", F.when(grow, F.concat("positions", F.array("_add"))).otherwise(F.col("positions")))
+    if keep:
+        out = out.withColumn("_open", grow)
+    aicc = _aicc(corner(F.col("m")), F.size("positions"))
+    return out.withColumn("aicc", F.when(grow, aicc).otherwise(F.col("aicc")) if keep else aicc).drop("_add")
 
 
 def _root(df: DataFrame, names: list[str], keys: list[str], value: str) -> DataFrame:
@@ -82,11 +92,10 @@ def screen_all(
 ) -> DataFrame:
     """AICc of every subset, as ``screen_subsets`` gives it, by one pivot each; NULL where covariates depend on each other."""
     keys, names = as_list(keys), list(candidates.covariates)
-    level = _root(df, names, keys, value)
-    found = level
+    # a level keeps its parents, closed; beside one another the levels would each hold their own sums in every task
+    found = _root(df, names, keys, value).withColumn("_open", F.lit(True))
     for _ in range(candidates.sizes[-1] if candidates.sizes else 0):
-        level = _children(level, len(names))
-        found = found.union(level)
+        found = _children(found, len(names), keep=True)
     size = F.size("positions")
     wanted = size.isin([*candidates.sizes, *[0] * candidates.with_null])
     return _labelled(found.filter(wanted), candidates, keys, [])

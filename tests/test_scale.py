@@ -85,3 +85,7 @@ def test_search_is_the_same_whatever_is_stepped_together(spark, monkeypatch):
     whole = {(r.series_id, r.target): r for r in st.find_stack_weights(stacked, patience=40).collect()}
     monkeypatch.setattr(st, "CHAINS", 3)
     assert {(r.series_id, r.target): r for r in st.find_stack_weights(stacked, patience=40).collect()} == whole
+
+
+def test_subsets_of_all_sizes_come_from_one_pass(spark):
+    assert "Union" not in physical(QUERIES["q_screen_all"](spark, SMALL))
