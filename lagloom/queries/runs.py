@@ -174,7 +174,7 @@ def supplied(spark, sf_dir):
 @query("q_refresh", CHOSEN_SQL)
 def refresh(spark, sf_dir):
     """Only the last two origins are refitted; stale rows of the store are replaced."""
-    old = fits(spark, sf_dir).withColumn("_end", F.max("t").over(Window.partitionBy("series_id")))
+    old = stored_fits(spark, sf_dir, ()).withColumn("_end", F.max("t").over(Window.partitionBy("series_id")))
     stale = F.col("t") > F.col("_end") - 2
     old = old.withColumn(
         "predicted_abundance", F.when(stale, F.lit(1.0)).otherwise(F.col("predicted_abundance"))
