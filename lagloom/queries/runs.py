@@ -298,7 +298,7 @@ def write_tasks(spark, sf_dir):
 def refresh_store(spark, sf_dir):
     """A stored table whose touched time partitions alone are rewritten."""
     path = writers.scratch_path(spark, "store")
-    everything = fits(spark, sf_dir).select("series_id", "t", "model", *FIT_COLUMNS, "aicc")
+    everything = stored_fits(spark, sf_dir, ()).select("series_id", "t", "model", *FIT_COLUMNS, "aicc")
     end = everything.agg(F.max("t")).first()[0] or 0  # the refit replaces the last two times
     stale = everything.withColumn("aicc", F.when(F.col("t") < end - 1, F.col("aicc")))
     stale.write.partitionBy("t").parquet(f"{path}/forecasts")
