@@ -287,7 +287,7 @@ def write_results(spark, sf_dir):
 def write_tasks(spark, sf_dir):
     """One folder per (origin, model) beside a combined table, read back by folder."""
     path = writers.scratch_path(spark, "tasks")
-    writers.write_tasks(fits(spark, sf_dir).select("series_id", "t", "model", "predicted_abundance"), path)
+    writers.write_tasks(stored_fits(spark, sf_dir, ()).select("series_id", "t", "model", "predicted_abundance"), path)
     back = spark.read.parquet(f"{path}/by_task")
     return back.groupBy("origin_year", "model").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.sum("predicted_abundance"), 3).alias("total")

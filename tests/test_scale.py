@@ -72,7 +72,7 @@ def stored(spark):
     return len(glob.glob(spark.conf.get("spark.checkpoint.dir") + "/lagloom/fits-*"))
 
 
-@pytest.mark.parametrize("name, times", [("q_refresh_state", 1), ("q_refresh", 2), ("q_write_refresh", 1)])
+@pytest.mark.parametrize("name, times", [("q_refresh_state", 1), ("q_refresh", 2), ("q_write_refresh", 1), ("q_write_tasks", 1)])
 def test_fits_are_stored_before_they_are_filtered(spark, name, times):
     """A filter on a fit's error goes below the fit and makes it anew; several readers make it once more each."""
     before = stored(spark)
