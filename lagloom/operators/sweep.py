@@ -1,9 +1,9 @@
-"""Small linear systems as Columns: expanding Gram matrices and the sweep operator.
+"""Small linear systems: expanding Gram matrices as Columns, and the sweep operator.
 
 A Gram matrix holds the centred cross products of the regressors and, last, the
 response.  Sweeping it on the regressors of a model leaves their coefficients in
-the last column and the residual sum of squares in the corner.  Everything is a
-higher-order function over arrays, so a fit stays in the JVM.
+the last column and the residual sum of squares in the corner.  ``swept`` takes
+a step or two of one row as a Column; whole systems are ``eliminated`` in batches.
 """
 
 from __future__ import annotations
@@ -38,18 +38,6 @@ def gram(columns: Sequence[Column], over: WindowSpec) -> dict[str, Column]:
     }
 
 
-def _entry(i: Column, j: Column, k: int) -> Column:
-    low, high = F.least(i, j), F.greatest(i, j)
-    at = (low * k - F.shiftright(low * (low - 1), 1) + high - low).cast("int")
-    return F.get("_q", at) - F.get("_s", low) * F.get("_s", high) / F.col("_n")
-
-
-def submatrix(positions: Column, k: int) -> Column:
-    """Centred products of the chosen regressors and the response (the last of ``k``), row by row."""
-    chosen = F.concat(positions, F.array(F.lit(k - 1)))
-    return F.flatten(F.transform(chosen, lambda i: F.transform(chosen, lambda j: _entry(i, j, k))))
-
-
 def swept(matrix: Column, pivots: Column, width: Column) -> Column:
     """``matrix`` after sweeping on each pivot in turn; NULL where one is (almost) dependent on those before."""
 
@@ -85,12 +73,6 @@ def eliminated(a: np.ndarray, pivots: int) -> tuple[np.ndarray, np.ndarray]:
     return a, solid
 
 
-def slopes(matrix: Column, size: Column) -> Column:
-    """Coefficients of the first ``size`` variables of a swept matrix."""
-    width = size + 1
-    return F.transform(F.slice(matrix, F.lit(1), size), lambda _, i: F.get(matrix, (i * width + size).cast("int")))
-
-
 def corner(matrix: Column) -> Column:
     return F.element_at(matrix, -1)
 
