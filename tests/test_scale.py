@@ -63,6 +63,10 @@ def test_sweep_window_meets_the_grid_after_its_last_shuffle(spark):
     assert not spread_by_grid(QUERIES["q_sweep_window"](spark, SMALL))
 
 
+def test_sweep_view_meets_the_grid_after_its_last_shuffle(spark):
+    assert not spread_by_grid(QUERIES["q_sweep_view"](spark, SMALL))
+
+
 def test_orders_of_a_fit_are_no_rows(spark):
     plan = physical(QUERIES["q_backtest_differences"](spark, SMALL))
     assert "_order#" not in plan and plan.count("MapInArrow") >= 1
