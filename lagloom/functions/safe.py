@@ -26,11 +26,14 @@ def present(c: str | Column) -> Column:
     return F.when(~F.isnan(col(c)) & (F.abs(col(c)) < float("inf")), col(c))
 
 
-def spread(df: DataFrame, *columns: str, partitions: int | None = None) -> DataFrame:
-    """Hash rows evenly over every core before a step whose cost is not its bytes."""
+def spread(df: DataFrame, *columns: str, partitions: int | None = None, times: int = 1) -> DataFrame:
+    """Hash rows evenly over every core before a step whose cost is not its bytes.
+
+    Before a step that makes ``times`` rows of each, over so many times more tasks.
+    """
     spark = df.sparkSession
     width = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(partitions or width, *columns)
+    return df.repartition((partitions or width) * times, *columns)
 
 
 def per_key(df: DataFrame, keys: Iterable[str], *aggs: Column) -> DataFrame:

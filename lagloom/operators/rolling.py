@@ -8,6 +8,8 @@ so scoring a whole panel takes one shuffle for each.
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -74,14 +76,16 @@ def score_grid(
     weighs (1 - alpha)^j.
 
     A row keeps its recent past as one array, from which a batch of rows is scored for the
-    whole grid at once.  Rows move by (keys, model) to look back and then by ``deal`` (keys and time),
-    each with its scores as arrays; the grid multiplies them after that.
+    whole grid at once.  Rows move by (keys, model) to look back and then by keys and time,
+    each with its scores as arrays; the grid multiplies them after that.  With ``deal``, some of the
+    keys, they are taken as lying together by these and look back where they are, and then move by
+    these.  As the rows of a task are multiplied, so is the number of tasks.
     """
     by = [*as_list(keys), "model", time]
     order = Window.partitionBy(*by[:-1]).orderBy(time)
     past = F.collect_list(past_entry(fc, time)).over(order.rowsBetween(-rows, -1))
     kept = [*by, *[c for c in fc.columns if c not in by]]
-    wide = spread(fc, *by[:-1]).withColumn("_past", past)
+    wide = (fc if deal else spread(fc, *by[:-1])).withColumn("_past", past)
     if wanted is not None:
         wide = wide.filter(wanted)
     spark = fc.sparkSession
@@ -96,7 +100,7 @@ def score_grid(
     ship(spark)
     shape = ", ".join(f"{c}: array<double>" for c in names)
     wide = wide.withColumn("_s", F.arrow_udf(scores, f"struct<{shape}>")(F.col(time).cast("int"), "_past")).select(*kept, "_s.*")
-    wide = spread(wide, *(deal or [*as_list(keys), time]))
+    wide = spread(wide, *(deal or [*as_list(keys), time]), times=max(len(grids), 1))
     values = F.array(*[F.lit(g) for g in grids]) if grids else F.array().cast("array<int>")
     cells = F.explode(F.arrays_zip(values.alias("grid"), *[F.col(c).alias(c) for c in names])).alias("_c")
     return wide.select(*kept, cells).select(*kept, "_c.*").select(*kept, F.col("grid"), *names)
@@ -228,6 +232,20 @@ def with_bounds(fc: DataFrame, keys: str | Iterable[str] = KEYS, time: str = "t"
     return per_key(fc, keys, F.max(time).alias("series_end"), observed.alias("series_observed"))
 
 
+def with_bounds_in_place(fc: DataFrame, keys: str | Iterable[str] = KEYS, time: str = "t") -> DataFrame:
+    """``with_bounds`` for rows that lie together by their keys: neither they nor the bounds move.
+
+    As there, a row without its whole key has no bounds.  Rows are sorted as models look back, and so only once.
+    """
+    if "series_end" in fc.columns:
+        return fc
+    ordered = Window.partitionBy(*as_list(keys)).orderBy("model", time)
+    series = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    observed = F.max(F.when(F.col("abundance").isNotNull(), F.col(time))).over(series)
+    known = reduce(and_, [F.col(c).isNotNull() for c in as_list(keys)])
+    return fc.withColumns({"series_end": F.when(known, F.max(time).over(series)), "series_observed": F.when(known, observed)})
+
+
 def top_models(
     ranked: DataFrame, n: int, years: int, keys: str | Iterable[str] = KEYS, time: str = "t"
 ) -> DataFrame:

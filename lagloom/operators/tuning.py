@@ -13,11 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lagloom.functions.metrics import skill_beside_best
-from lagloom.functions.safe import as_list
+from lagloom.functions.safe import as_list, spread
 from lagloom.operators.ensemble import SCHEMES, VALUES, combine, with_stack_weights, with_weights
 from lagloom.operators.features import KEYS
 from lagloom.operators.report import BEST
-from lagloom.operators.rolling import rank_models, score_grid, top_models, with_bounds
+from lagloom.operators.rolling import rank_models, score_grid, top_models, with_bounds_in_place
 
 
 def _sweep(
@@ -35,8 +35,10 @@ def _sweep(
 ) -> DataFrame:
     by = ["grid", *keys]
     needed = [*keys, time, "model", "abundance", *VALUES, "aicc", "series_end", "series_observed"]
-    rows = with_bounds(fc, keys, time).select(*needed)
-    # Times that are scored look back at all, but they alone meet the grid; a series' rows stay together from there on.
+    given = [c for c in needed if c in fc.columns]
+    # A series' rows lie together from here on: bounds, looking back and all that follows need no other move.
+    rows = with_bounds_in_place(spread(fc.select(*given), *keys), keys, time).select(*needed)
+    # Times that are scored look back at all, but they alone meet the grid.
     recent = F.col(time) > F.col("series_end") - years
     scored = score_grid(rows, longest, grid, window, alpha, keys, time, wanted=recent, deal=keys)
     top = top_models(rank_models(scored, metric, by, time), n, years, by, time)

@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from lagloom.functions.safe import per_key
 from lagloom.operators import features as op
 from lagloom.operators import stacking as st
+from lagloom.operators.rolling import with_bounds, with_bounds_in_place
 from lagloom.queries import QUERIES
 from lagloom.queries import panels as pa
 from lagloom.queries.scoring import _stacked, ranked
+from lagloom.queries.sql import YEARS
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -67,6 +69,34 @@ def test_sweep_view_meets_the_grid_after_its_last_shuffle(spark):
     assert not spread_by_grid(QUERIES["q_sweep_view"](spark, SMALL))
 
 
+def moves(df):
+    """Partitions of each explicit repartition, the last one first; other exchanges and joins count as none."""
+    lines = physical(df).splitlines()
+    asked = [int(line.split("), REPARTITION_BY_NUM")[0].rsplit(", ", 1)[1]) for line in lines if "REPARTITION_BY_NUM" in line]
+    return asked, [line for line in lines if "Join" in line or "ENSURE_REQUIREMENTS" in line]
+
+
+def test_sweep_moves_fits_by_series_and_spreads_what_it_multiplies(spark):
+    asked, others = moves(QUERIES["q_sweep_view"](spark, SMALL))
+    assert len(asked) == 2 and asked[0] == (YEARS - 1) * asked[1] and not others
+
+
+def test_bounds_of_a_sweep_need_no_sort_of_their_own(spark):
+    """Rows are sorted to look back, to rank and to score."""
+    assert sum("- Sort [" in line for line in physical(QUERIES["q_sweep_view"](spark, SMALL)).splitlines()) == 3
+
+
+def test_bounds_in_place_are_those_of_the_join(spark):
+    rows = [("a", 1, 1, 5.0), ("a", 1, 2, None), ("a", 2, 2, None), ("b", 1, 4, None), (None, 1, 9, 3.0), ("a", 1, 1, 5.0)]
+    fc = spark.createDataFrame(rows, "series_id string, model int, t int, abundance double")
+
+    def found(df):
+        return sorted((tuple(r) for r in df.select(*fc.columns, "series_end", "series_observed").collect()), key=str)
+
+    assert found(with_bounds_in_place(fc)) == found(with_bounds(fc))
+    assert found(with_bounds_in_place(with_bounds(fc).withColumn("series_end", F.lit(7))))[0][4] == 7
+
+
 def test_orders_of_a_fit_are_no_rows(spark):
     plan = physical(QUERIES["q_backtest_differences"](spark, SMALL))
     assert "_order#" not in plan and plan.count("MapInArrow") >= 1
